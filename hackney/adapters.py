@@ -7,8 +7,6 @@ fixed formulae; nothing is dropped or sampled.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hackney.schemas import TRIP_COLUMNS
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,7 +38,7 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trip_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same trips as raw text, every kind of defect written in by formula."""
+    """The same trips as raw text plus ``event_id``, with every kind of defect."""
     typed = trips(spark, sf_dir).withColumn("_n", F.col("id").cast("bigint"))
     n = F.col("_n")
 
@@ -56,6 +54,7 @@ def trip_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return chain.otherwise(value).alias(name)
 
     return typed.select(
+        n.alias("event_id"),
         F.when(n % 101 == 1, F.lit("  "))
         .when(n % 103 == 2, F.lit(None).cast("string"))
         .when(n % 5 == 0, F.concat(F.lit(" "), F.col("id"), F.lit(" ")))
@@ -76,4 +75,4 @@ def trip_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("store_and_fwd_flag"))
         .alias("store_and_fwd_flag"),
         text("trip_duration", (113, 21, "0"), (127, 22, "1e3"), (131, 23, None)),
-    ).select(*TRIP_COLUMNS)
+    )

@@ -15,8 +15,14 @@ from pyspark.sql import types as T
 from hackney.operators.incremental import first_delivery, new_files
 from hackney.operators.numbering import batch_of, check_chunk_size, rows_before
 from hackney.schemas import LOAD_LOG, RAW, TRIP_COLUMNS
-from hackney.sources.files import FILE_COLUMNS, discover_csv, fingerprint, single_file
-from hackney.sources.storage import append_small, delete_path, read_or_empty
+from hackney.sources.files import FILE, discover_csv, fingerprint, single_file
+from hackney.sources.storage import (
+    append_small,
+    control_rows,
+    delete_path,
+    no_rows,
+    read_or_empty,
+)
 from hackney.sources.trip_csv import read_trip_csv
 
 LOAD_MODES = ("incremental", "full")
@@ -69,7 +75,7 @@ def transactions_raw(
         log = load_log(spark, warehouse).where("row_count > 0")
         loads = [r.load_id for r in log.select("load_id").distinct().collect()]
     if not loads:
-        return spark.createDataFrame([], RAW_WITH_LOAD)
+        return no_rows(spark, RAW_WITH_LOAD)
     path = f"{warehouse}/raw/transactions_raw"
     return (
         spark.read.schema(RAW_WITH_LOAD)
@@ -124,9 +130,9 @@ def ingest_files(
     listing = files.orderBy("path").collect()
     if not listing:
         return IngestResult(load_mode, False)
-    listed = spark.createDataFrame(listing, FILE_COLUMNS)
-    hashed = spark.createDataFrame(
-        fingerprint(spark, listed).collect(), f"{FILE_COLUMNS}, file_hash string"
+    listed = control_rows(spark, listing, FILE.names)
+    hashed = control_rows(
+        spark, fingerprint(spark, listed).collect(), [*FILE.names, "file_hash"]
     )
     if load_mode == "full":
         chosen = hashed
@@ -145,12 +151,13 @@ def ingest_files(
 def _load(spark, fresh, warehouse: str, chunk_size: int, multi_line: bool) -> None:
     load_id = f"load-{uuid.uuid4().hex}"
     stage = f"{warehouse}/raw/stage/{load_id}"
-    chosen = spark.createDataFrame(
+    chosen = control_rows(
+        spark,
         [
             (number, row.path, row.file_path, row.file_name, row.file_hash)
             for number, row in enumerate(fresh)
         ],
-        "file_no int, path string, file_path string, file_name string, file_hash string",
+        ["file_no", "path", "file_path", "file_name", "file_hash"],
     )
 
     # 1. Write the rows once with their place in the file. Numbering a second

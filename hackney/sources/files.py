@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from hackney.sources.storage import no_rows
 
 # Files up to this size are hashed by Spark's own sha2 on their content.
 WHOLE_FILE_BYTES = 128 * 1024**2
@@ -14,7 +17,14 @@ WHOLE_FILE_BYTES = 128 * 1024**2
 BLOCK_BYTES = 8 * 1024**3
 READ_BYTES = 4 * 1024**2
 
-FILE_COLUMNS = "path string, file_path string, file_name string, length bigint"
+FILE = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("file_path", T.StringType()),
+        T.StructField("file_name", T.StringType()),
+        T.StructField("length", T.LongType()),
+    ]
+)
 
 
 def _listing(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -41,7 +51,7 @@ def discover_csv(spark: SparkSession, prefix: str) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], FILE_COLUMNS)
+        return no_rows(spark, FILE)
 
 
 def single_file(spark: SparkSession, path: str) -> DataFrame:

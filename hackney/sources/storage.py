@@ -1,10 +1,24 @@
 """Paths on the cluster's shared file system, through Hadoop's own client."""
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    return spark.range(0).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
+
+
+def control_rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A few driver-side rows as a local relation, whose size Catalyst knows."""
+    columns = {name: [row[n] for row in rows] for n, name in enumerate(names)}
+    return spark.createDataFrame(pa.table(columns))
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The Parquet table at ``path``, or no rows while it does not exist yet."""
     try:
@@ -12,7 +26,7 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return no_rows(spark, schema)
 
 
 def append_small(rows: DataFrame, path: str) -> None:

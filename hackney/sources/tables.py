@@ -5,7 +5,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hackney.operators.latest import merge_by_key
-from hackney.sources.storage import append_small, delete_path, read_or_empty
+from hackney.sources.storage import (
+    append_small,
+    control_rows,
+    delete_path,
+    no_rows,
+    read_or_empty,
+)
 
 VERSIONS = T.StructType(
     [
@@ -69,7 +75,7 @@ class KeyedTable:
             for bucket, version in sorted(versions.items())
         ]
         if not paths:
-            return self.spark.createDataFrame([], self.schema)
+            return no_rows(self.spark, self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
     def read(self) -> DataFrame:
@@ -77,40 +83,50 @@ class KeyedTable:
 
     def merge(self, incoming: DataFrame, keep: str = "incoming") -> None:
         """Upsert ``incoming``, which holds a key at most once."""
-        spread = {"bucket": self._hash(self.buckets, 0), "_part": self._hash(self.parts, 1)}
         versions = self._versions()
         version = max(versions.values(), default=0) + 1
+        rows = incoming.select(*self.schema.names).withColumn(
+            "bucket", self._hash(self.buckets, 0)
+        )
+        if self.buckets == 1:
+            if versions or not rows.isEmpty():
+                self._rewrite(rows, [0], versions, version, keep)
+            return
 
         # Written out once: it decides which buckets are touched, and the merge
-        # then joins rows whose size is known and whose lineage is short.
+        # then reads rows whose size is known and whose lineage is short.
         stage = f"{self.path}/stage/version={version}"
-        incoming.select(*self.schema.names).withColumns(spread).repartition(
-            "bucket", "_part"
-        ).drop("_part").write.mode("overwrite").partitionBy("bucket").parquet(stage)
-        staged_schema = T.StructType(
-            [*self.schema.fields, T.StructField("bucket", T.IntegerType())]
-        )
-        staged = self.spark.read.schema(staged_schema).parquet(stage)
+        rows.write.mode("overwrite").parquet(stage)
+        staged = self.spark.read.schema(rows.schema).parquet(stage)
         touched = sorted(r.bucket for r in staged.select("bucket").distinct().collect())
-
         if touched:
-            stored = self._read({b: versions[b] for b in touched if b in versions})
-            merged = merge_by_key(
-                stored.withColumns(spread),
-                staged.withColumn("_part", spread["_part"]),
-                self.keys,
-                keep,
-                partition_columns=["bucket", "_part"],
-            )
-            # Mode overwrite: a version left by a job that died is written anew.
-            merged.drop("_part").write.mode("overwrite").partitionBy("bucket").parquet(
-                f"{self.path}/data/version={version}"
-            )
-            append_small(
-                self.spark.createDataFrame(
-                    [(version, b, self.buckets) for b in touched],
-                    "version int, bucket int, buckets int",
-                ).withColumn("committed_at", F.current_timestamp()),
-                f"{self.path}/versions",
-            )
+            self._rewrite(staged, touched, versions, version, keep)
         delete_path(self.spark, stage)
+
+    def _rewrite(self, rows, touched, versions, version, keep) -> None:
+        stored = self._read({b: versions[b] for b in touched if b in versions})
+        stored = stored.withColumn("bucket", self._hash(self.buckets, 0))
+        part = self._hash(self.parts, 1)
+        merged = merge_by_key(
+            stored.withColumn("_part", part),
+            rows.withColumn("_part", part),
+            self.keys,
+            keep,
+            partition_columns=["bucket", "_part"],
+        ).drop("_part")
+        # Mode overwrite: a version left by a job that died is written anew.
+        data = f"{self.path}/data/version={version}"
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(data)
+        append_small(
+            control_rows(
+                self.spark,
+                [(version, bucket, self.buckets) for bucket in touched],
+                ["version", "bucket", "buckets"],
+            ).select(
+                F.col("version").cast("int"),
+                F.col("bucket").cast("int"),
+                F.col("buckets").cast("int"),
+                F.current_timestamp().alias("committed_at"),
+            ),
+            f"{self.path}/versions",
+        )
