@@ -6,7 +6,12 @@ from hackney.operators.incremental import (
     new_files,
     pending_batches,
 )
-from hackney.operators.latest import latest_by_key, merge_by_key, repeated_keys
+from hackney.operators.latest import (
+    first_by_key,
+    latest_by_key,
+    merge_by_key,
+    repeated_keys,
+)
 from hackney.operators.numbering import assign_batches, number_by_key, rows_before
 from hackney.operators.rolling import Frame, rolling_statistics
 from hackney.operators.validation import RULES, clean, rule_counts, validate
@@ -17,6 +22,7 @@ __all__ = [
     "assign_batches",
     "clean",
     "distinct_batches",
+    "first_by_key",
     "first_delivery",
     "insert_if_absent",
     "latest_by_key",

@@ -3,20 +3,12 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hackney.operators.latest import first_by_key
+
 
 def first_delivery(files: DataFrame, order: str = "path") -> DataFrame:
     """One row per (file_name, file_hash): the first by ``order``."""
-    others = [c for c in files.columns if c not in ("file_name", "file_hash")]
-    return (
-        files.groupBy("file_name", "file_hash")
-        .agg(F.min_by(F.struct(*others), order).alias("_first"))
-        .select(
-            *[
-                F.col(f"_first.{c}").alias(c) if c in others else F.col(c)
-                for c in files.columns
-            ]
-        )
-    )
+    return first_by_key(files, ["file_name", "file_hash"], F.col(order).asc())
 
 
 def new_files(files: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -1,34 +1,42 @@
 """One row per key: deduplication and keyed merge.
 
-Both are a ``max_by`` over a struct, not a ranking window: the partial
-aggregate keeps one row per key and map task, so a key that holds a third of
-all rows never meets in one task before it is reduced.
+Both keep ``row_number() = 1``. Spark cuts each map task down to one row per
+key before it shuffles (a partial window group limit), so a key that holds a
+third of all rows never meets in one task before it is reduced.
 """
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _one_per_key(
-    rows: DataFrame, keys: Sequence[str], columns: Sequence[str], rank: Column
+def first_by_key(
+    rows: DataFrame, keys: Sequence[str], *order: Column, where: Column | None = None
 ) -> DataFrame:
-    values = [c for c in columns if c not in keys]
-    if not values:
-        return rows.select(*keys).distinct()
-    picked = rows.groupBy(*keys).agg(
-        F.max_by(F.struct(*values), rank).alias("_picked")
-    )
-    by_name = {c: F.col(f"_picked.{c}").alias(c) for c in values}
-    return picked.select(*[by_name.get(c, F.col(c)) for c in columns])
+    """The first row of every key by ``order``, all columns kept.
+
+    ``where`` restricts the choice. It is part of the order instead of a filter
+    below the window, where Catalyst would repeat the expressions it rests on.
+    """
+    columns = rows.columns
+    first = F.col("_place") == 1
+    if where is not None:
+        rows = rows.withColumn("_eligible", F.coalesce(where, F.lit(False)))
+        order = (F.col("_eligible").desc(), *order)
+        first = first & F.col("_eligible")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_place", place).where(first).select(*columns)
 
 
 def latest_by_key(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str]
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    where: Column | None = None,
 ) -> DataFrame:
-    """The row of every key that is greatest by ``order``, all columns kept."""
-    return _one_per_key(rows, keys, rows.columns, F.struct(*order))
+    """The row of every key that is greatest by ``order``."""
+    return first_by_key(rows, keys, *[F.col(c).desc() for c in order], where=where)
 
 
 def merge_by_key(
@@ -47,15 +55,14 @@ def merge_by_key(
     """
     if keep not in ("incoming", "stored"):
         raise ValueError(f"keep must be 'incoming' or 'stored', not {keep!r}")
-    old, new = (0, 1) if keep == "incoming" else (1, 0)
     columns = stored.columns
-    both = stored.withColumn("_side", F.lit(old)).unionByName(
-        incoming.select(*columns).withColumn("_side", F.lit(new))
+    both = stored.withColumn("_incoming", F.lit(False)).unionByName(
+        incoming.select(*columns).withColumn("_incoming", F.lit(True))
     )
     if partition_columns:
         both = both.repartition(*partition_columns)
-    grouping = [*partition_columns, *[k for k in keys if k not in partition_columns]]
-    return _one_per_key(both, grouping, columns, F.col("_side"))
+    wins = F.col("_incoming").desc() if keep == "incoming" else F.col("_incoming").asc()
+    return first_by_key(both, [*partition_columns, *keys], wins).select(*columns)
 
 
 def repeated_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,9 +9,6 @@ from hackney.plans.silver import batch_log, log_batches, silver_table
 from hackney.schemas import DIM_DATE, DIM_VENDOR, FACT_TRIPS
 from hackney.sources.tables import KeyedTable
 
-# A date dimension has one row per calendar day: years 1 to 9999 at most.
-MAX_DATES = 3_652_059
-
 REPORT_COLUMNS = [
     "id",
     "year",
@@ -104,9 +101,8 @@ def build_gold(
 def v_trip_report(fact: DataFrame, dates: DataFrame) -> DataFrame:
     """Trips with the parts of their date; needs the date in ``dates``.
 
-    The dimension is broadcast once a count has shown that it is no larger than
-    a calendar; otherwise Catalyst joins as its statistics say.
+    Without a hint: Catalyst broadcasts the dimension when its stored size
+    allows, and otherwise joins by shuffle, where adaptive execution splits a
+    day that holds most trips.
     """
-    if dates.limit(MAX_DATES + 1).count() <= MAX_DATES:
-        dates = F.broadcast(dates)
     return fact.join(dates, "date_id").select(*REPORT_COLUMNS)

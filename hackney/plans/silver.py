@@ -45,8 +45,8 @@ def silver_rows(raw: DataFrame) -> DataFrame:
 
 def latest_valid(judged: DataFrame) -> DataFrame:
     """Per id the valid row of the latest batch, and in it the last one."""
-    valid = judged.where("is_valid")
-    return latest_by_key(valid, ["id"], ["batch_no", "raw_id"]).drop("raw_id")
+    order = ["batch_no", "raw_id"]
+    return latest_by_key(judged, ["id"], order, where=F.col("is_valid")).drop("raw_id")
 
 
 def rejects(spark: SparkSession, warehouse: str) -> DataFrame:
