@@ -5,7 +5,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,11 @@ FILE = T.StructType(
 )
 
 
+def base_name(path: Column) -> Column:
+    # Not the metadata's file_name, which is percent-encoded.
+    return F.substring_index(path, "/", -1)
+
+
 def _listing(spark: SparkSession, path: str, **options: str) -> DataFrame:
     # Only names and sizes are selected, so no content is read.
     return (
@@ -36,14 +41,14 @@ def _listing(spark: SparkSession, path: str, **options: str) -> DataFrame:
         .select(
             "path",
             F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_name").alias("file_name"),
+            base_name(F.col("path")).alias("file_name"),
             "length",
         )
     )
 
 
 def discover_csv(spark: SparkSession, prefix: str) -> DataFrame:
-    """CSV files anywhere below ``prefix``, suffix in any case."""
+    """CSV files anywhere below ``prefix``, suffix in any case; empty ones aside."""
     try:
         return _listing(
             spark, prefix, pathGlobFilter="*.[cC][sS][vV]", recursiveFileLookup="true"

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from hackney.plans.gold import build_gold
 from hackney.plans.ingest import DEFAULT_CHUNK_SIZE, ingest_files
 from hackney.plans.silver import build_silver
+from hackney.sources.files import base_name
 
 # The fixed schema of Spark's binaryFile source.
 BINARY_FILE = (
@@ -36,7 +37,7 @@ def csv_arrivals(
     return reader.load(source).select(
         "path",
         F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_name").alias("file_name"),
+        base_name(F.col("path")).alias("file_name"),
         "length",
     )
 

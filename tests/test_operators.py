@@ -1,0 +1,149 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from hackney.operators import (
+    assign_batches,
+    clean,
+    first_delivery,
+    insert_if_absent,
+    latest_by_key,
+    max_batch_no,
+    merge_by_key,
+    new_files,
+    number_by_key,
+    pending_batches,
+    repeated_keys,
+    rule_counts,
+    validate,
+)
+from hackney.schemas import TRIP_COLUMNS, TRIP_TEXT
+from trip_files import trip
+
+# Change to a valid row -> resulting error text.
+DIRTY = [
+    ({}, ""),
+    ({"id": "  "}, "missing id; "),
+    ({"id": None}, "missing id; "),
+    ({"id": " a1 ", "store_and_fwd_flag": " n "}, ""),
+    ({"vendor_id": "x"}, "bad vendor_id; "),
+    ({"vendor_id": "1.0"}, "bad vendor_id; "),
+    ({"vendor_id": " 2 "}, ""),
+    ({"pickup_datetime": "14/03/2016"}, "bad pickup_datetime; "),
+    ({"dropoff_datetime": "17:24"}, "bad dropoff_datetime; "),
+    ({"dropoff_datetime": "2016-03-14 17:00:00"}, "dropoff before pickup; "),
+    ({"dropoff_datetime": "2016-03-14 17:24:55"}, ""),
+    ({"passenger_count": "0"}, "bad passenger_count; "),
+    ({"passenger_count": "-1"}, "bad passenger_count; "),
+    ({"pickup_latitude": "abc"}, "bad coordinates; "),
+    ({"pickup_latitude": "NaN"}, ""),
+    ({"dropoff_longitude": None}, "bad coordinates; "),
+    ({"store_and_fwd_flag": "Z"}, "bad store_and_fwd_flag; "),
+    ({"store_and_fwd_flag": ""}, "bad store_and_fwd_flag; "),
+    ({"store_and_fwd_flag": None}, ""),
+    ({"trip_duration": "0"}, "bad trip_duration; "),
+    (
+        {
+            "id": "",
+            "vendor_id": None,
+            "pickup_datetime": None,
+            "dropoff_datetime": "bad",
+            "passenger_count": None,
+            "dropoff_longitude": None,
+            "store_and_fwd_flag": "q",
+            "trip_duration": "x",
+        },
+        "missing id; bad vendor_id; bad pickup_datetime; bad dropoff_datetime; "
+        "bad passenger_count; bad coordinates; bad store_and_fwd_flag; bad trip_duration; ",
+    ),
+]
+
+
+def texts(spark, changes):
+    rows = [tuple(trip(**c)[name] for name in TRIP_COLUMNS) for c in changes]
+    return spark.createDataFrame(rows, TRIP_TEXT)
+
+
+def test_every_rule(spark):
+    rows = [(n, *[trip(**c)[name] for name in TRIP_COLUMNS]) for n, (c, _) in enumerate(DIRTY)]
+    named = spark.createDataFrame(rows, "n int, " + ", ".join(f"{c} string" for c in TRIP_COLUMNS))
+    got = validate(clean(named)).orderBy("n").collect()
+    assert [r.validation_error for r in got] == [error for _, error in DIRTY]
+    assert [r.is_valid for r in got] == [error == "" for _, error in DIRTY]
+    assert (got[3].id, got[3].store_and_fwd_flag) == ("a1", "N")
+    assert got[6].vendor_id == 2
+
+
+def test_rule_counts_list_every_rule(spark):
+    counts = {r.rule: r.rows for r in rule_counts(clean(texts(spark, [c for c, _ in DIRTY]))).collect()}
+    assert len(counts) == 9
+    assert counts["missing id"] == 3 and counts["dropoff before pickup"] == 1
+
+
+def test_latest_by_key(spark):
+    rows = spark.createDataFrame(
+        [("a", 1, 1, "old"), ("a", 2, 1, "new"), ("a", 2, 0, "mid"), ("b", 1, 5, None), (None, 1, 1, "n")],
+        "k string, batch int, n int, v string",
+    )
+    got = {r.k: r.v for r in latest_by_key(rows, ["k"], ["batch", "n"]).collect()}
+    assert got == {"a": "new", "b": None, None: "n"}
+    only = latest_by_key(rows, ["k"], ["batch", "n"], where=F.col("v") != "new")
+    assert {r.k: r.v for r in only.collect()} == {"a": "mid", None: "n"}
+
+
+def random_side(pick, count):
+    return {pick.randrange(60): pick.randrange(1000) for _ in range(count)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_merge_equals_a_dictionary_and_is_idempotent(spark, seed):
+    pick = random.Random(seed)
+    old, new = random_side(pick, 40), random_side(pick, 40)
+    stored = spark.createDataFrame(list(old.items()), "k int, v int")
+    incoming = spark.createDataFrame(list(new.items()), "k int, v int")
+
+    def run(keep, base):
+        return merge_by_key(base, incoming, ["k"], keep)
+
+    replaced, kept = run("incoming", stored), run("stored", stored)
+    assert dict(map(tuple, replaced.collect())) == old | new
+    assert dict(map(tuple, kept.collect())) == new | old
+    assert dict(map(tuple, run("incoming", replaced).collect())) == old | new
+    with pytest.raises(ValueError, match="keep"):
+        run("newest", stored)
+
+
+def test_repeated_keys(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2)], "id string, batch_no int")
+    assert [tuple(r) for r in repeated_keys(rows, ["id", "batch_no"]).collect()] == [("a", 1, 2)]
+
+
+def test_numbering_is_dense_and_ordered(spark):
+    keys = random.Random(3).sample(range(-5000, 5000), 2000)
+    rows = spark.createDataFrame([(k,) for k in keys], "k long").repartition(7)
+    got = number_by_key(rows, "k", piece_width=37).orderBy("k").collect()
+    assert [(r.k, r.row_index) for r in got] == [(k, n) for n, k in enumerate(sorted(keys))]
+    batches = assign_batches(rows, "k", chunk_size=300, after=5, piece_width=1000)
+    sizes = {r.batch_no: r["count"] for r in batches.groupBy("batch_no").count().collect()}
+    assert sizes == {6: 300, 7: 300, 8: 300, 9: 300, 10: 300, 11: 300, 12: 200}
+    with pytest.raises(ValueError, match="chunk_size"):
+        assign_batches(rows, "k", 0)
+
+
+def test_incremental_sets(spark):
+    files = spark.createDataFrame(
+        [("p2", "a", "h1"), ("p1", "a", "h1"), ("p3", "a", "h2"), ("p4", "b", "h1")],
+        "path string, file_name string, file_hash string",
+    )
+    ledger = spark.createDataFrame([("a", "h2")], "file_name string, file_hash string")
+    fresh = new_files(first_delivery(files), ledger)
+    assert sorted(r.path for r in fresh.collect()) == ["p1", "p4"]
+    added = insert_if_absent(ledger, files.select("file_name", "file_hash"), ["file_name", "file_hash"])
+    assert sorted(map(tuple, added.collect())) == [("a", "h1"), ("b", "h1")]
+
+    batches = spark.createDataFrame([(1,), (2,), (3,)], "batch_no int")
+    done = spark.createDataFrame([(2,), (9,)], "batch_no int")
+    assert sorted(r.batch_no for r in pending_batches(batches, done).collect()) == [1, 3]
+    assert max_batch_no(batches).first()[0] == 3
+    assert max_batch_no(batches.where("false")).first()[0] == 0

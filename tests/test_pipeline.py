@@ -27,11 +27,11 @@ def run(spark, base, **options):
 
 def test_batches_follow_the_order_of_files_and_rows(spark, tmp_path):
     write_csv(tmp_path / "in/b.csv", many(25, start=100))
-    write_csv(tmp_path / "in/sub/c.CSV", many(3, start=200))
+    write_csv(tmp_path / "in/sub/c d.CSV", many(3, start=200))
     write_csv(tmp_path / "in/a.csv", many(12))
     (tmp_path / "in/notes.txt").write_text("no trips")
     result = ingest(spark, str(tmp_path / "in"), str(tmp_path / "wh"), chunk_size=10)
-    assert [os.path.basename(p) for p in result.processed_files] == ["a.csv", "b.csv", "c.CSV"]
+    assert [os.path.basename(p) for p in result.processed_files] == ["a.csv", "b.csv", "c d.CSV"]
     rows = transactions_raw(spark, str(tmp_path / "wh")).orderBy("raw_id").collect()
     assert [r.raw_id for r in rows] == list(range(1, 41))
     assert [r.id for r in rows] == [
