@@ -11,7 +11,7 @@ back when it leaves the frame, so a frame total is one prefix sum.
    cut into short time slices. A (zone, slice) group is bounded by the clock,
    not by the data.
 3. Totals per slice, summed in order per zone, give the state each slice
-   starts from; it joins the slice as its first mark.
+   starts from; it joins the slice as its first marks.
 4. Running sums inside each slice give the statistics of every instant.
 5. The trips pick them up by an equi-join on (zone, instant), whose right side
    is unique, so adaptive execution can split a hot key freely.
@@ -44,7 +44,10 @@ class Frame:
             raise ValueError("averages are defined for frames that look back")
 
 
+# Kinds of marks: 0 an arrival; n a departure from frame n; -n an early mark of
+# look-ahead frame n; OPENING + n the state frame n starts a slice with.
 ARRIVAL = 0
+OPENING = 1000
 
 
 def _slice_number(at: Column, seconds: int) -> Column:
@@ -58,20 +61,17 @@ def _slice_number(at: Column, seconds: int) -> Column:
     return F.floor(clock / F.lit(seconds))
 
 
-def _deltas(frames: Sequence[Frame]) -> dict[str, Column]:
-    """What each mark adds to each running total."""
-    kind = F.col("_kind")
-    out = {}
-    for number, frame in enumerate(frames, start=1):
-        measures = ["_rows"] + (["_values", "_total"] if frame.average else [])
-        for measure in measures:
-            amount = F.col(measure)
-            if frame.back is not None:
-                change = F.when(kind == ARRIVAL, amount).when(kind == number, -amount)
-            else:
-                change = F.when(kind == -number, amount).when(kind == ARRIVAL, -amount)
-            out[f"{measure}_{number}"] = change.otherwise(F.lit(0))
-    return out
+def _change(number: int, frame: Frame, measure: str) -> Column:
+    """What a mark adds to a running total of frame ``number``."""
+    kind, amount = F.col("_kind"), F.col(measure)
+    enters, leaves = (
+        (ARRIVAL, number) if frame.back is not None else (-number, ARRIVAL)
+    )
+    return (
+        F.when(kind.isin(enters, OPENING + number), amount)
+        .when(kind == leaves, -amount)
+        .otherwise(F.lit(0))
+    )
 
 
 def rolling_statistics(
@@ -80,7 +80,7 @@ def rolling_statistics(
     order: str,
     frames: Sequence[Frame],
     value: str | None = None,
-    slice_seconds: int = 60,
+    slice_seconds: int = 600,
 ) -> DataFrame:
     """``rows`` plus the count (and average of an integer ``value``) per frame.
 
@@ -107,61 +107,86 @@ def rolling_statistics(
             kind, moment = -number, at - F.lit(frame.ahead)
         marks.append(F.struct(F.lit(kind).alias("kind"), moment.alias("at")))
 
-    deltas = _deltas(frames)
+    measures = ["_rows", "_values", "_total"]
     events = (
         instants.withColumn("_mark", F.explode(F.array(*marks)))
+        .select("_zone", "_mark.at", "_mark.kind", *measures)
         .select(
             "_zone",
-            F.col("_mark.at").alias("_at"),
-            F.col("_mark.kind").alias("_kind"),
-            "_rows",
-            "_values",
-            "_total",
-        )
-        .select(
-            "_zone",
-            _slice_number(F.col("_at"), slice_seconds).alias("_slice"),
-            "_at",
-            "_kind",
-            "_rows",
-            *[change.alias(name) for name, change in deltas.items()],
+            _slice_number(F.col("at"), slice_seconds).alias("_slice"),
+            F.col("at").alias("_at"),
+            F.col("kind").alias("_kind"),
+            *measures,
         )
     )
 
+    totals = {
+        f"{measure}_{number}": _change(number, frame, measure)
+        for number, frame in enumerate(frames, start=1)
+        for measure in (measures if frame.average else measures[:1])
+    }
+
+    # The state before each slice, as one opening mark per frame.
     earlier = (
         Window.partitionBy("_zone")
         .orderBy("_slice")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    openings = (
+    before = (
         events.groupBy("_zone", "_slice")
-        .agg(*[F.sum(name).alias(name) for name in deltas])
+        .agg(
+            F.max(F.col("_kind") == ARRIVAL).alias("_arrives"),
+            *[F.sum(change).alias(name) for name, change in totals.items()],
+        )
         .select(
             "_zone",
             "_slice",
-            F.lit(None).cast("timestamp_ntz").alias("_at"),
-            F.lit(None).cast("int").alias("_kind"),
-            F.lit(None).cast("bigint").alias("_rows"),
+            "_arrives",
             *[
                 F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(name)
-                for name in deltas
+                for name in totals
             ],
         )
+        # Nobody asks a slice in which trips only leave their frames.
+        .where("_arrives")
+    )
+    openings = before.select(
+        "_zone",
+        "_slice",
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(None).cast("timestamp_ntz").alias("_at"),
+                        F.lit(OPENING + number).alias("_kind"),
+                        *[
+                            F.col(name).alias(measure)
+                            if (name := f"{measure}_{number}") in totals
+                            else F.lit(0).cast("bigint").alias(measure)
+                            for measure in measures
+                        ],
+                    )
+                    for number in range(1, len(frames) + 1)
+                ]
+            )
+        ),
     )
 
+    # Openings have no time, so they sort first. In the slice of rows without a
+    # time, everything before it is zero and their place does not matter.
     running = (
         Window.partitionBy("_zone", "_slice")
         .orderBy("_at", "_kind")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    totals = (
+    arrivals = (
         events.unionByName(openings)
         .select(
             "_zone",
             "_at",
             "_kind",
             "_rows",
-            *[F.sum(name).over(running).alias(name) for name in deltas],
+            *[F.sum(change).over(running).alias(name) for name, change in totals.items()],
         )
         .where(F.col("_kind") == ARRIVAL)
     )
@@ -177,7 +202,7 @@ def rolling_statistics(
             results.append(
                 F.when(held > 0, F.col(f"_total_{number}") / held).alias(frame.average)
             )
-    statistics = totals.select("_zone", "_at", *results)
+    statistics = arrivals.select("_zone", "_at", *results)
 
     return rows.join(
         statistics,

@@ -20,7 +20,6 @@ from hackney.sources.storage import (
     append_small,
     control_rows,
     delete_path,
-    no_rows,
     read_or_empty,
 )
 from hackney.sources.trip_csv import read_trip_csv
@@ -71,17 +70,11 @@ def transactions_raw(
     spark: SparkSession, warehouse: str, loads: list[str] | None = None
 ) -> DataFrame:
     """Committed raw rows; ``loads`` prunes the scan to those load directories."""
-    if loads is None:
-        log = load_log(spark, warehouse).where("row_count > 0")
-        loads = [r.load_id for r in log.select("load_id").distinct().collect()]
-    if not loads:
-        return no_rows(spark, RAW_WITH_LOAD)
-    path = f"{warehouse}/raw/transactions_raw"
-    return (
-        spark.read.schema(RAW_WITH_LOAD)
-        .parquet(path)
-        .where(F.col("load_id").isin(*loads))
-    )
+    rows = read_or_empty(spark, f"{warehouse}/raw/transactions_raw", RAW_WITH_LOAD)
+    if loads is not None:
+        return rows.where(F.col("load_id").isin(*loads))
+    committed = load_log(spark, warehouse).select("load_id").distinct()
+    return rows.join(committed, "load_id", "left_semi")
 
 
 def raw_batch(spark: SparkSession, warehouse: str, batch_no: int) -> DataFrame:
@@ -140,7 +133,8 @@ def ingest_files(
         chosen = new_files(first_delivery(hashed), ingestion_log(spark, warehouse))
     fresh = sorted(chosen.collect(), key=lambda row: row.path)
     processed = [row.path for row in fresh]
-    skipped = [row.path for row in listing if row.path not in set(processed)]
+    loading = set(processed)
+    skipped = [row.path for row in listing if row.path not in loading]
 
     if fresh:
         _load(spark, fresh, warehouse, chunk_size, multi_line)

@@ -27,15 +27,10 @@ NEXT_HOUR = Frame("trips_count_next_1h", ahead=HOUR)
 MORNING_HOURS = (6, 9)
 
 
-def with_zones(trips: DataFrame) -> DataFrame:
-    return trips.withColumns(
-        {
-            "pickup_zone": zone_key(F.col("pickup_longitude"), F.col("pickup_latitude")),
-            "dropoff_zone": zone_key(
-                F.col("dropoff_longitude"), F.col("dropoff_latitude")
-            ),
-        }
-    )
+def with_zone(trips: DataFrame, side: str) -> DataFrame:
+    """Adds ``<side>_zone`` for the side "pickup" or "dropoff"."""
+    zone = zone_key(F.col(f"{side}_longitude"), F.col(f"{side}_latitude"))
+    return trips.withColumn(f"{side}_zone", zone)
 
 
 def with_distance(trips: DataFrame) -> DataFrame:
@@ -64,10 +59,10 @@ def eta_training(
     fact: DataFrame, levels: tuple[int, int] = ROLLING_LEVELS
 ) -> DataFrame:
     """One row per trip with the features an arrival-time model trains on."""
-    # The distance is a function of the row, so it is computed after the
-    # shuffle that fetches the rolling statistics, not carried through it.
-    rolled = with_distance(with_rolling(with_zones(fact), LAST_HOUR, LAST_DAY))
-    return rolled.select(
+    rolled = with_rolling(with_zone(fact, "pickup"), LAST_HOUR, LAST_DAY)
+    # Distance and dropoff zone follow from the row, so they are computed after
+    # the shuffle that fetches the rolling statistics, not carried through it.
+    return with_distance(with_zone(rolled, "dropoff")).select(
         "pickup_datetime",
         "dropoff_datetime",
         "pickup_longitude",
@@ -95,9 +90,7 @@ def demand_prediction(
     fact: DataFrame, levels: tuple[int, int] = ROLLING_LEVELS
 ) -> DataFrame:
     """One row per trip with recent demand and the next hour's demand as label."""
-    zoned = fact.withColumn(
-        "pickup_zone", zone_key(F.col("pickup_longitude"), F.col("pickup_latitude"))
-    )
+    zoned = with_zone(fact, "pickup")
     rolled = with_rolling(zoned, LAST_HOUR, LAST_DAY_COUNT, NEXT_HOUR)
     return rolled.select(
         "pickup_datetime",
@@ -142,10 +135,8 @@ def traffic_analysis(
     default keeps it as it is.
     """
     moment = _truncated(F.col("pickup_datetime"), time_grain)
-    measured = with_distance(fact).select(
-        zone_key(F.col("pickup_longitude"), F.col("pickup_latitude")).alias(
-            "pickup_zone"
-        ),
+    measured = with_distance(with_zone(fact, "pickup")).select(
+        "pickup_zone",
         moment.alias("pickup_datetime"),
         "trip_duration",
         "trip_distance_km",
@@ -198,12 +189,8 @@ def heatmap_points(
 def heatmap_grid(trips: DataFrame, hours: tuple[int, int] = MORNING_HOURS) -> DataFrame:
     """The same points counted per grid zone."""
     return (
-        _between_hours(trips, hours)
-        .groupBy(
-            zone_key(F.col("pickup_longitude"), F.col("pickup_latitude")).alias(
-                "pickup_zone"
-            )
-        )
+        with_zone(_between_hours(trips, hours), "pickup")
+        .groupBy("pickup_zone")
         .agg(F.count(F.lit(1)).alias("trips"))
     )
 

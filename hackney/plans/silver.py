@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hackney.operators.incremental import pending_batches
+from hackney.operators.incremental import insert_if_absent, pending_batches
 from hackney.operators.latest import latest_by_key, repeated_keys
 from hackney.operators.validation import clean, validate
 from hackney.plans.ingest import check_load_mode, committed_batches, transactions_raw
@@ -28,8 +28,8 @@ def log_batches(
     spark: SparkSession, warehouse: str, batches: DataFrame, layer: str = "silver"
 ) -> None:
     """Mark batches as processed; ones already in the log stay as they are."""
-    entries = pending_batches(
-        batches.select("batch_no").distinct(), batch_log(spark, warehouse, layer)
+    entries = insert_if_absent(
+        batch_log(spark, warehouse, layer), batches.select("batch_no"), ["batch_no"]
     )
     append_small(
         entries.withColumn("processed_at", F.current_timestamp()),

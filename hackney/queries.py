@@ -15,7 +15,6 @@ from hackney.functions import (
     congestion_level,
     haversine_km,
     speed_kmh,
-    zone_key,
 )
 from hackney.operators import (
     assign_batches,
@@ -105,14 +104,9 @@ def heatmap_grid(spark, sf_dir):
 
 @query_named("zone_key")
 def zone_keys(spark, sf_dir):
-    return trips(spark, sf_dir).select(
-        "id",
-        zone_key(F.col("pickup_longitude"), F.col("pickup_latitude")).alias(
-            "pickup_zone"
-        ),
-        zone_key(F.col("dropoff_longitude"), F.col("dropoff_latitude")).alias(
-            "dropoff_zone"
-        ),
+    zoned = products.with_zone(trips(spark, sf_dir), "pickup")
+    return products.with_zone(zoned, "dropoff").select(
+        "id", "pickup_zone", "dropoff_zone"
     )
 
 
@@ -147,7 +141,9 @@ def calendar_features(spark, sf_dir):
 
 
 def _rolled(spark, sf_dir, *frames):
-    return products.with_rolling(products.with_zones(trips(spark, sf_dir)), *frames)
+    return products.with_rolling(
+        products.with_zone(trips(spark, sf_dir), "pickup"), *frames
+    )
 
 
 @query

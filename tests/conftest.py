@@ -4,8 +4,5 @@ from hackney.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    session = local_session("hackney-tests", "8")
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
-    return session
+def spark():
+    return local_session("hackney-tests", "8")

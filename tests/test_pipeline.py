@@ -16,7 +16,7 @@ from hackney.plans.silver import batch_log, build_silver, rejects, silver_table
 from hackney.streaming.arrivals import process_arrivals
 from trip_files import csv_text, many, trip, write_csv
 
-B = 4
+B = 2
 
 
 def run(spark, base, **options):
