@@ -45,13 +45,14 @@ def merge_by_key(
     keys: Sequence[str],
     keep: str = "incoming",
     partition_columns: Sequence[str] = (),
+    partitions: int | None = None,
 ) -> DataFrame:
     """``stored`` upserted with ``incoming``; nothing is ever deleted.
 
     On a shared key ``keep="incoming"`` replaces the stored row and
     ``keep="stored"`` leaves it. Each side holds a key at most once.
-    ``partition_columns`` are functions of the key; given an input already
-    partitioned by them, the merge adds no shuffle of its own.
+    ``partition_columns`` are functions of the key. Both sides are laid out by
+    them (in ``partitions`` tasks), which is the only shuffle of the merge.
     """
     if keep not in ("incoming", "stored"):
         raise ValueError(f"keep must be 'incoming' or 'stored', not {keep!r}")
@@ -60,7 +61,8 @@ def merge_by_key(
         incoming.select(*columns).withColumn("_incoming", F.lit(True))
     )
     if partition_columns:
-        both = both.repartition(*partition_columns)
+        layout = [partitions] if partitions else []
+        both = both.repartition(*layout, *partition_columns)
     wins = F.col("_incoming").desc() if keep == "incoming" else F.col("_incoming").asc()
     return first_by_key(both, [*partition_columns, *keys], wins).select(*columns)
 

@@ -34,8 +34,21 @@ def append_small(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("append").parquet(path)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a staging directory this library wrote itself."""
+def _hadoop(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def child_directories(spark: SparkSession, path: str) -> list[str]:
+    """``key=value`` directories right below ``path``."""
+    files, target = _hadoop(spark, path)
+    if not files.exists(target):
+        return []
+    found = [entry.getPath() for entry in files.listStatus(target) if entry.isDirectory()]
+    return [child.toString() for child in found if "=" in child.getName()]
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a directory this library wrote itself."""
+    files, target = _hadoop(spark, path)
     files.delete(target, True)

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from hackney.operators.latest import merge_by_key
 from hackney.sources.storage import (
     append_small,
+    child_directories,
     control_rows,
     delete_path,
     no_rows,
@@ -31,8 +32,8 @@ class KeyedTable:
     says so; readers take the newest version of each bucket. A job that dies
     before that append leaves the table as it was.
 
-    ``parts`` spreads a bucket over that many tasks while it is rewritten. One
-    writer at a time.
+    A rewrite runs in one task per touched bucket, or ``parts`` tasks for each.
+    One writer at a time.
     """
 
     def __init__(
@@ -81,6 +82,33 @@ class KeyedTable:
     def read(self) -> DataFrame:
         return self._read(self._versions())
 
+    def drop_replaced(self, keep: int = 2) -> int:
+        """Delete bucket versions older than the newest ``keep``; returns how many.
+
+        A reader that started before the last ``keep - 1`` merges may still be
+        reading what this deletes.
+        """
+        if keep < 1:
+            raise ValueError(f"keep must be at least 1, not {keep}")
+        log = read_or_empty(self.spark, f"{self.path}/versions", VERSIONS)
+        newest = F.slice(F.sort_array(F.collect_set("version"), asc=False), 1, keep)
+        kept = {
+            row.bucket: set(row.versions)
+            for row in log.groupBy("bucket").agg(newest.alias("versions")).collect()
+        }
+        last = max((max(versions) for versions in kept.values()), default=0)
+        dropped = 0
+        for version in child_directories(self.spark, f"{self.path}/data"):
+            number = int(version.rpartition("=")[2])
+            # A later version is one a merge is writing now.
+            if number > last:
+                continue
+            for bucket in child_directories(self.spark, version):
+                if number not in kept.get(int(bucket.rpartition("=")[2]), ()):
+                    delete_path(self.spark, bucket)
+                    dropped += 1
+        return dropped
+
     def merge(self, incoming: DataFrame, keep: str = "incoming") -> None:
         """Upsert ``incoming``, which holds a key at most once."""
         versions = self._versions()
@@ -113,6 +141,7 @@ class KeyedTable:
             self.keys,
             keep,
             partition_columns=["bucket", "_part"],
+            partitions=len(touched) * self.parts,
         ).drop("_part")
         # Mode overwrite: a version left by a job that died is written anew.
         data = f"{self.path}/data/version={version}"

@@ -58,6 +58,12 @@ def test_keyed_table_rewrites_only_touched_buckets(spark, tmp_path):
     second = [p.name for p in (tmp_path / "t/data/version=2").glob("bucket=*")]
     assert 1 <= len(second) <= 2
     assert not list((tmp_path / "t/stage").glob("*"))
+    assert table.drop_replaced(keep=3) == 0
+    assert table.drop_replaced(keep=1) >= 3
+    assert table.drop_replaced(keep=1) == 0
+    assert dict(map(tuple, table.read().collect())) == got
+    with pytest.raises(ValueError, match="keep"):
+        table.drop_replaced(keep=0)
     with pytest.raises(ValueError, match="8 buckets"):
         KeyedTable(spark, path, schema, ["k"], buckets=4).read()
 
