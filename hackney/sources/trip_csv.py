@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hackney.schemas import TRIP_COLUMNS, TRIP_TEXT
 
@@ -28,6 +29,8 @@ MISSING_TEXTS = (
     "null",
 )
 
+MALFORMED = T.StructField("_malformed", T.StringType())
+
 
 def read_trip_csv(
     spark: SparkSession, paths: list[str] | str, multi_line: bool = False
@@ -35,21 +38,36 @@ def read_trip_csv(
     """Trip rows as text, plus where each row lies.
 
     The scan is splittable unless ``multi_line`` is set (quoted line breaks). A
-    header that differs from the trip columns fails the read. ``_split_start``
-    and ``_row_mark`` order the rows of a file: by split, then by mark.
+    header that differs from the trip columns fails the read, and so does a row
+    with more fields than the header; one with fewer ends in NULLs.
+    ``_split_start`` and ``_row_mark`` order the rows of a file: by split, then
+    by mark.
     """
     scan = (
-        spark.read.schema(TRIP_TEXT)
+        spark.read.schema(T.StructType([*TRIP_TEXT.fields, MALFORMED]))
+        .option("columnNameOfCorruptRecord", MALFORMED.name)
         .option("header", True)
         .option("enforceSchema", False)
         .option("multiLine", multi_line)
         .csv(paths)
     )
+    # Spark marks rows of a wrong length; the last column tells which way.
+    line = F.col(MALFORMED.name)
+    too_long = line.isNotNull() & (
+        F.col(TRIP_COLUMNS[-1]).isNotNull()
+        | (F.size(F.split(line, ",")) > len(TRIP_COLUMNS))
+    )
+    complaint = F.concat(
+        F.lit("too many fields in a row of "), F.col("_metadata.file_path")
+    )
+    path = F.when(too_long, F.raise_error(complaint)).otherwise(
+        F.col("_metadata.file_path")
+    )
     texts = [
         F.when(~F.col(c).isin(*MISSING_TEXTS), F.col(c)).alias(c) for c in TRIP_COLUMNS
     ]
     return scan.select(
-        F.col("_metadata.file_path").alias("file_path"),
+        path.alias("file_path"),
         F.col("_metadata.file_block_start").alias("_split_start"),
         F.monotonically_increasing_id().alias("_row_mark"),
         *texts,

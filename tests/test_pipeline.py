@@ -203,6 +203,21 @@ def test_bad_arguments_and_headers(spark, tmp_path):
         run(spark, tmp_path)
 
 
+def test_rows_of_a_wrong_length(spark, tmp_path):
+    wh = str(tmp_path / "wh")
+    text = csv_text(many(3)) + "short,1\n"
+    quoted = csv_text([trip(id='"q,x"')])
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text(text + quoted.splitlines()[1] + "\n")
+    ingest(spark, str(tmp_path / "in"), wh)
+    rows = {r.id: (r.vendor_id, r.trip_duration) for r in transactions_raw(spark, wh).collect()}
+    assert len(rows) == 5 and rows["short"] == ("1", None) and rows["q,x"] == ("1", "455")
+    (tmp_path / "in/b.csv").write_text(csv_text(many(1)).rstrip() + ",more\n")
+    with pytest.raises(Exception, match="too many fields in a row of .*b.csv"):
+        ingest(spark, str(tmp_path / "in"), wh)
+    assert transactions_raw(spark, wh).count() == 5
+
+
 def test_missing_texts_become_null(spark, tmp_path):
     write_csv(
         tmp_path / "in/a.csv",
