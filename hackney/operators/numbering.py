@@ -33,27 +33,37 @@ def batch_of(row_index: Column, chunk_size: int, after: Column | int = 0) -> Col
 
 
 def number_by_key(
-    rows: DataFrame, key: str, piece_width: int = 1_000_000
+    rows: DataFrame,
+    key: str,
+    piece_width: int = 1_000_000,
+    group_width: int = 1_000_000,
 ) -> DataFrame:
     """``rows`` plus a dense zero-based ``row_index`` in order of a unique integer key.
 
-    A piece is a range of ``piece_width`` key values, so it holds at most that
-    many rows whatever the data looks like.
+    A piece is a range of ``piece_width`` key values and a group a range of
+    ``group_width`` pieces, so neither holds more than that many rows whatever
+    the data looks like; 64-bit keys make some nine million groups at most.
     """
-    pieces = rows.withColumn(
-        "_piece", F.floor(F.col(key) / F.lit(float(piece_width)))
+    pieces = rows.withColumn("_piece", F.floor(F.col(key) / F.lit(float(piece_width))))
+    sizes = (
+        pieces.groupBy("_piece")
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .withColumn("_group", F.floor(F.col("_piece") / F.lit(float(group_width))))
+    )
+    groups = rows_before(
+        sizes.groupBy("_group").agg(F.sum("_size").alias("_size")), "_group", "_size"
+    ).select("_group", F.col("rows_before").alias("_group_start"))
+    offsets = (
+        rows_before(sizes, "_piece", "_size", group="_group")
+        .join(groups, "_group")
+        .select("_piece", (F.col("rows_before") + F.col("_group_start")).alias("_start"))
     )
-    offsets = rows_before(
-        pieces.groupBy("_piece").agg(F.count(F.lit(1)).alias("_size")),
-        "_piece",
-        "_size",
-    ).drop("_size")
     position = F.row_number().over(Window.partitionBy("_piece").orderBy(key)) - 1
     return (
         pieces.withColumn("_position", position)
         .join(offsets, "_piece")
-        .withColumn("row_index", F.col("rows_before") + F.col("_position"))
-        .drop("_piece", "_position", "rows_before")
+        .withColumn("row_index", F.col("_start") + F.col("_position"))
+        .drop("_piece", "_position", "_start")
     )
 
 

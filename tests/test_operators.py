@@ -124,6 +124,8 @@ def test_numbering_is_dense_and_ordered(spark):
     rows = spark.createDataFrame([(k,) for k in keys], "k long").repartition(7)
     got = number_by_key(rows, "k", piece_width=37).orderBy("k").collect()
     assert [(r.k, r.row_index) for r in got] == [(k, n) for n, k in enumerate(sorted(keys))]
+    grouped = number_by_key(rows, "k", piece_width=3, group_width=5).orderBy("k").collect()
+    assert [tuple(r) for r in grouped] == [tuple(r) for r in got]
     batches = assign_batches(rows, "k", chunk_size=300, after=5, piece_width=1000)
     sizes = {r.batch_no: r["count"] for r in batches.groupBy("batch_no").count().collect()}
     assert sizes == {6: 300, 7: 300, 8: 300, 9: 300, 10: 300, 11: 300, 12: 200}
