@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_completion, token_frames
+from . import bin_completion, line_rules, link_trust, simhash_bktree, token_frames, wu_manber
 from .scratch import tables
 
 
@@ -14,12 +14,32 @@ def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.op1(spark, tables(spark, sf_dir, "documents"))
 
 
+def op2_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.op2(spark, tables(spark, sf_dir, "pages"))
+
+
+def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.op5(tables(spark, sf_dir, "documents"))
+
+
+def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_bktree.op6(spark, tables(spark, sf_dir, "documents"))
+
+
+def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wu_manber.op7(spark, tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+
+
 def op8_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_completion.op8(spark, tables(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": op1_token_frames,
+    "op2_link_trust": op2_link_trust,
+    "op5_line_rules": op5_line_rules,
+    "op6_simhash_bktree": op6_simhash_bktree,
+    "op7_wu_manber": op7_wu_manber,
     "op8_bin_completion": op8_bin_completion,
 }
 ORACLE: dict[str, str] = {}
