@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_completion, line_rules, link_trust, simhash_bktree, token_frames, wu_manber
+from . import (
+    bin_completion,
+    line_rules,
+    link_trust,
+    simhash_bktree,
+    substring_dedup,
+    token_frames,
+    wu_manber,
+)
 from .scratch import tables
 
 
@@ -18,6 +26,10 @@ def op2_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_trust.op2(spark, tables(spark, sf_dir, "pages"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.op3(spark, tables(spark, sf_dir, "documents"))
+
+
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.op5(tables(spark, sf_dir, "documents"))
 
@@ -37,6 +49,7 @@ def op8_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": op1_token_frames,
     "op2_link_trust": op2_link_trust,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_line_rules": op5_line_rules,
     "op6_simhash_bktree": op6_simhash_bktree,
     "op7_wu_manber": op7_wu_manber,
