@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     bin_completion,
+    cotraining,
     line_rules,
     link_trust,
     simhash_bktree,
     substring_dedup,
     token_frames,
+    toxicity,
     wu_manber,
 )
 from .scratch import tables
@@ -30,6 +32,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.op3(spark, tables(spark, sf_dir, "documents"))
 
 
+def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.op4(spark, tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.op5(tables(spark, sf_dir, "documents"))
 
@@ -46,13 +52,19 @@ def op8_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_completion.op8(spark, tables(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op10(spark, tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": op1_token_frames,
     "op2_link_trust": op2_link_trust,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_cotraining": op4_cotraining,
     "op5_line_rules": op5_line_rules,
     "op6_simhash_bktree": op6_simhash_bktree,
     "op7_wu_manber": op7_wu_manber,
     "op8_bin_completion": op8_bin_completion,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE: dict[str, str] = {}
