@@ -15,6 +15,7 @@ from . import (
     substring_dedup,
     token_frames,
     toxicity,
+    warc_derive,
     wu_manber,
 )
 from .scratch import tables
@@ -52,6 +53,10 @@ def op8_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_completion.op8(spark, tables(spark, sf_dir, "documents"))
 
 
+def op9_warc_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_derive.op9(spark, tables(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10(spark, tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_bktree": op6_simhash_bktree,
     "op7_wu_manber": op7_wu_manber,
     "op8_bin_completion": op8_bin_completion,
+    "op9_warc_derive": op9_warc_derive,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE: dict[str, str] = {}

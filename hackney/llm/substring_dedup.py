@@ -30,6 +30,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -328,9 +329,7 @@ def without_repeats(spark: SparkSession, documents: DataFrame) -> DataFrame:
     cut = fresh(documents, "cut")
 
     @F.pandas_udf("string")
-    def rest(texts, runs):
-        import pandas as pd
-
+    def rest(texts: pd.Series, runs: pd.Series) -> pd.Series:
         out = []
         for text, found in zip(texts, runs, strict=True):
             if text is None or found is None or not len(found):

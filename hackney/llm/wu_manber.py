@@ -385,13 +385,16 @@ def without_leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFram
     """``documents``, all columns, without those that hold a window of the benchmark."""
     kept = documents
     for name, patterns in pattern_blocks(spark, stage(spark, item_windows(benchmark), "items")):
+        kept = kept.filter(_is_clean(name, patterns)("text"))
+    return kept
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, name=name, patterns=patterns) -> pd.Series:
-            return pd.Series([not len(w) for _, _, w in search(texts, _matcher(name, patterns))])
 
-        kept = kept.filter(clean("text"))
-    return kept
+def _is_clean(name: str, patterns):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not len(w) for _, _, w in search(texts, _matcher(name, patterns))], dtype=bool)
+
+    return clean
 
 
 def op7(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
