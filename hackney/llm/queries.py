@@ -18,8 +18,11 @@ from . import (
     warc_derive,
     wu_manber,
 )
+from .oracle import ORACLE
 from .scratch import tables
 
+__all__ = ["ORACLE", "QUERIES"]
+
 
 def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.op1(spark, tables(spark, sf_dir, "documents"))
@@ -73,4 +76,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_derive": op9_warc_derive,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE: dict[str, str] = {}

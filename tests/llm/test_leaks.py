@@ -1,0 +1,105 @@
+import random
+
+import brute
+import numpy as np
+import odd_rows
+import pytest
+
+from hackney.llm import wu_manber as wm
+
+OP7 = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+ITEMS = [
+    (1, odd_rows.SENTENCE),
+    (2, odd_rows.PASSAGE),
+    (2, odd_rows.PASSAGE),
+    (10, "One, two; THREE"),
+    (11, "é" * 700),
+    (12, None),
+    (13, "... !!"),
+    (None, "aaaa aaaa aaaa aaaa aaaa aaaa aaaa aaaa aaaa aaaa aaaa"),
+    (100, "word3 and3 word4 and4 word5 and5 word6 and6 word7 and7 word8"),
+    (14, "the"),
+]
+
+
+def items_of(spark, rows=ITEMS):
+    data = [(i, t, "r", "w") for i, t in rows]
+    return spark.createDataFrame(data, "item_id long, text string, row string, window string")
+
+
+def plain(rows, items):
+    texts = [t for _, t in rows]
+    return odd_rows.by_plain((d, *x) for (d, _), x in zip(rows, brute.leaks(texts, items), strict=True))
+
+
+@pytest.mark.parametrize("block_bytes", [wm.BLOCK_BYTES, 1500])
+def test_op7_on_odd_rows(spark, block_bytes):
+    found = wm.leaks(spark, odd_rows.documents(spark), items_of(spark), block_bytes=block_bytes)
+    assert odd_rows.sorted_rows(found, *OP7) == plain(odd_rows.TEXTS, ITEMS)
+
+
+def test_op7_on_the_driver_tables(spark):
+    docs, items = (spark.read.parquet(f"{odd_rows.SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = odd_rows.sorted_rows(wm.op7(spark, docs, items), *OP7)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = plain(rows, [(r["item_id"], r["text"]) for r in items.collect()])
+    assert got == want and any(r[-1] for r in got)
+
+
+def test_op7_of_empty_tables(spark):
+    none = items_of(spark, [])
+    assert wm.op7(spark, odd_rows.documents(spark, []), items_of(spark)).collect() == []
+    rows = wm.op7(spark, odd_rows.documents(spark), none).collect()
+    assert len(rows) == len(odd_rows.TEXTS) and not any(r["contaminated"] for r in rows)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_search_finds_all_and_only_occurrences(seed):
+    rng = random.Random(seed)
+    text = "".join(rng.choice("ab ") for _ in range(3000)).encode()
+    patterns = {text[k : k + n] for k, n in ((rng.randrange(2900), rng.choice([1, 2, 3, 9, 20, 70])) for _ in range(25))}
+    patterns |= {"".join(rng.choice("ab ") for _ in range(rng.randint(1, 12))).encode() for _ in range(10)}
+    patterns = sorted(patterns)
+    place, which = wm.Matcher(patterns).find(np.frombuffer(text, np.uint8))
+    want = {
+        (k, i) for i, p in enumerate(patterns) for k in range(len(text)) if text.startswith(p, k)
+    }
+    assert sorted(zip(place.tolist(), which.tolist(), strict=True)) == sorted(want)
+
+
+def test_shifts_skip_most_positions():
+    rng = random.Random(1)
+    pattern = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(10)).encode()
+    text = np.frombuffer("".join(rng.choice("abcdefgh ") for _ in range(100_000)).encode(), np.uint8)
+    table = wm.WuManber([pattern], [0])
+    looked = []
+    shift = table.shift
+
+    class Counting:
+        def __getitem__(self, h):
+            looked.append(len(h))
+            return shift[h]
+
+    table.shift = Counting()
+    table.candidates(text)
+    assert sum(looked) < len(text) / 20
+
+
+def test_long_texts_are_searched_in_overlapping_parts(monkeypatch):
+    monkeypatch.setattr(wm, "BATCH_BYTES", 64)
+    items = [(1, "a b c d e f g h i j k l")]
+    texts = ["x " * n + "a b c d e f g h i j k l y" for n in range(40)] + [None, ""]
+    patterns = [p for _, t in items for p in wm.windows_of(t)]
+    matcher = wm.Matcher(patterns)
+    got = [(n, int((s[:, 1] - s[:, 0]).sum())) for n, s, _ in wm.search(texts, matcher)]
+    assert got == [(n, h) for n, h, *_ in brute.leaks(texts, items)]
+
+
+def test_clean_documents_stay_whole(spark):
+    docs = odd_rows.documents(spark)
+    kept = wm.without_leaks(spark, docs, items_of(spark, ITEMS[:3]))
+    assert kept.columns == docs.columns
+    hit = brute.leaks([t for _, t in odd_rows.TEXTS], ITEMS[:3])
+    want = [(d, t) for (d, t), h in zip(odd_rows.TEXTS, hit, strict=True) if not h[-1]]
+    assert odd_rows.sorted_rows(kept, "doc_id", "text") == odd_rows.by_plain(want)
+    assert wm.without_leaks(spark, docs, items_of(spark, [])).count() == docs.count()

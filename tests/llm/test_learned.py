@@ -1,0 +1,165 @@
+import random
+import zlib
+
+import numpy as np
+import odd_rows
+import pandas as pd
+
+from hackney.llm import cotraining as co
+from hackney.llm import toxicity as tox
+from hackney.llm.linear import Sparse, fit_logistic, sigmoid
+
+SF = "/root/testdata/sf0.1"
+
+
+def tables(spark, *names):
+    return [spark.read.parquet(f"{SF}/{n}.parquet") for n in names]
+
+
+def held_out(doc_id):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+def test_op10_on_held_out_rows(spark):
+    docs, labels = tables(spark, "documents", "labels")
+    rows = tox.op10(spark, docs, labels).toPandas()
+    assert len(rows) == docs.count()
+    assert (rows["held_out"] == rows["doc_id"].map(held_out)).all()
+    assert rows["score"].between(0, 1).all()
+    assert (rows["predicted"] == (rows["score"] >= 0.3)).all()
+    both = rows.merge(labels.toPandas(), on="doc_id")
+    both = both[both["held_out"]]
+    toxic, clean = both[both["toxic"] == 1], both[both["toxic"] == 0]
+    assert toxic["predicted"].mean() > 0.85
+    assert clean["predicted"].mean() < 0.01
+
+
+def test_op10_learns_nothing_from_held_out_labels(spark):
+    docs, labels = odd_docs(spark), odd_labels(spark)
+    flipped = labels.toPandas()
+    mask = flipped["doc_id"].map(held_out)
+    flipped.loc[mask, "toxic"] = 1 - flipped.loc[mask, "toxic"]
+    a = tox.op10(spark, docs, labels)
+    b = tox.op10(spark, docs, spark.createDataFrame(flipped))
+    assert odd_rows.sorted_rows(a, "doc_id", "score") == odd_rows.sorted_rows(b, "doc_id", "score")
+
+
+def labelled_texts(n=240):
+    rng = random.Random(0)
+    words = ["".join(rng.choice("bdfgklmn") + rng.choice("aeiou") for _ in range(3)) for _ in range(60)]
+    rows = []
+    for k in range(n):
+        bad = k % 3 == 0
+        text = " ".join(rng.choice(words) for _ in range(30))
+        # the group's name comes mostly with toxic words: a bias to be unlearned
+        named = rng.random() < (0.9 if bad else 0.1)
+        rows.append((k, text + (" vilewort." if bad else ".") + (" they are muslim." if named else ""), int(bad)))
+    return rows
+
+
+def odd_docs(spark):
+    rows = [(k, t) for k, t, _ in labelled_texts()]
+    return odd_rows.documents(spark, rows + [(None, None), (10_000, ""), (10_001, None)])
+
+
+def odd_labels(spark):
+    rows = [(k, 1, y) for k, _, y in labelled_texts()] + [(None, 1, 1), (5000, None, None), (3, 1, 1)]
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def test_counterfactuals_take_the_weight_off_names_of_groups(spark):
+    docs, labels = odd_docs(spark), odd_labels(spark)
+    plain, _ = tox.learn(spark, docs, labels, pair_penalty=0.0)
+    fair, b = tox.learn(spark, docs, labels)
+    gap = lambda w: abs(w.get("muslim", 0.0) - w.get("jewish", 0.0))
+    assert gap(plain) > 0.5 and gap(fair) < 0.3 * gap(plain)
+    score = lambda w, t: float(sigmoid(b + sum(w.get(f, 0.0) for f in tox.features(t))))
+    assert score(fair, "they are muslim.") < 0.3 < score(fair, "vilewort vilewort.")
+
+
+def test_op10_bears_odd_and_empty_tables(spark):
+    docs, labels = odd_docs(spark), odd_labels(spark)
+    rows = tox.op10(spark, docs, labels).collect()
+    assert len(rows) == docs.count() and all(r["score"] is not None for r in rows)
+    assert tox.op10(spark, docs.limit(0), labels).collect() == []
+    none = tox.op10(spark, docs, labels.limit(0)).collect()
+    assert len(none) == docs.count() and not any(r["predicted"] for r in none)
+
+
+def test_twins_swap_within_the_kind():
+    found = tox.twins("Women are here. Nothing. MEN too!", tox.swaps())
+    assert found == [("women are here", "men are here"), (" men too", " women too")]
+    assert tox.twins(None, tox.swaps()) == []
+
+
+def test_features_of_a_long_text_are_those_of_its_words():
+    assert tox.features(odd_rows.LONG) >= {"word", "and"}
+    assert tox.features(None) == tox.features("") == set()
+    assert tox.features("Loweihr") == {"loweihr", "lowe-", "lowei-"}
+
+
+def test_pairs_are_pulled_together():
+    x = Sparse([[0], [0], [1], [1]], 2)
+    y, w = np.array([1.0, 1, 0, 0]), np.ones(4)
+    pairs = (Sparse([[0]], 2), Sparse([[1]], 2))
+    far, _ = fit_logistic(x, y, w)
+    near, _ = fit_logistic(x, y, w, pairs=pairs, pair_penalty=10.0)
+    assert abs(near[0] - near[1]) < 0.2 * abs(far[0] - far[1])
+
+
+def test_op4_tells_good_from_bad(spark):
+    docs, labels = tables(spark, "documents", "labels")
+    rows = co.op4(spark, docs, labels).toPandas()
+    assert len(rows) == docs.count() and rows["score"].between(0, 1).all()
+    both = rows.merge(labels.toPandas(), on="doc_id")
+    assert both[both["quality"] == 1]["kept"].mean() > 0.99
+    assert both[both["quality"] == 0]["kept"].mean() < 0.05
+
+
+def test_op4_bears_odd_and_empty_tables(spark):
+    docs, labels = odd_docs(spark), odd_labels(spark)
+    assert co.op4(spark, docs.limit(0), labels).collect() == []
+    rows = co.op4(spark, docs, labels).collect()  # one class only: everything is kept
+    assert len(rows) == docs.count() and all(r["kept"] for r in rows)
+    some = labels.selectExpr("doc_id", "1 - toxic as quality", "toxic")
+    rows = co.op4(spark, docs, some).collect()
+    assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
+    kept = co.keep_good(spark, docs, labels)
+    assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
+def test_views_share_no_input():
+    a = co.text_features("Some words. And more!")
+    assert not any(f.startswith(("lang", "source", "size", "line")) for f in a)
+    meta = co.meta_features("Some words.\nMore", "en", None, None)
+    assert {"lang:en", "source:None"} <= meta and not any("Some" in f for f in meta)
+    assert co.text_features(None) == {"empty"}
+
+
+def made(n, seed, informative=True):
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 2, n)
+    text = [[f"t{v}", f"n{rng.integers(50)}"] for v in y]
+    flip = rng.random(n) < 0.1
+    meta = [[f"m{v ^ f if informative else 0}"] for v, f in zip(y, flip, strict=True)]
+    return pd.DataFrame({"text": text, "meta": meta, "y": y, "weight": 1.0}), y
+
+
+def test_views_teach_each_other():
+    labelled, _ = made(60, 1)
+    pool, _ = made(2000, 2)
+    vocabulary = [["t0", "t1", *(f"n{k}" for k in range(50))], ["m0", "m1"]]
+    model = co.cotrain(labelled, pool[["text", "meta"]], vocabulary)
+    test, y = made(500, 3)
+    score, *_ = model.scores(list(test["text"]), list(test["meta"]))
+    assert ((score >= 0.5) == (y == 1)).mean() > 0.97
+    blind, _ = made(60, 1, informative=False)
+    model = co.cotrain(blind, pool[["text", "meta"]].iloc[:0], vocabulary)
+    score, *_ = model.scores(list(test["text"]), [["m0"]] * 500)
+    assert ((score >= 0.5) == (y == 1)).mean() > 0.9
+
+
+def test_a_view_hands_over_only_what_it_is_sure_of():
+    p = np.array([0.99, 0.5, 0.01, 0.97, 0.2, 0.96])
+    rows, label = co._surest(p, np.array([True, True, True, False, True, True]), 4)
+    assert set(rows) <= {0, 2, 5} and all(label == (p[rows] > 0.5))

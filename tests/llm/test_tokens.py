@@ -1,0 +1,203 @@
+import io
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import odd_rows
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from hackney.llm import bin_completion as pack
+from hackney.llm import token_frames as frames
+from hackney.llm.scratch import shared_dir
+from hackney.llm.word_tokens import WordTokenizer, default_path, pieces
+
+
+def plain_ids(tokenizer, text, end):
+    return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, end], "<u4")
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(default_path())
+
+
+@pytest.fixture(scope="module")
+def by_words():
+    return WordTokenizer(default_path(), cached_words=40)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abS'.,!|<>é 1\n\t́İ‍ΣK\x1c\x85 -", max_size=80))
+def test_words_give_the_tokenizers_ids(tokenizer, by_words, text):
+    got = [int(x) for part in by_words.encode(text) for x in part]
+    assert got == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_special_tokens_in_texts(tokenizer, by_words):
+    for text in ("<|endoftext|>", "a<|ENDOFTEXT|> b", "x <|startoftext|>y.", "don't. It's, 's."):
+        got = [int(x) for part in by_words.encode(text) for x in part]
+        assert got == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_join_to_the_text_and_cut_before_space():
+    text = b"aa bb\ncc " * 100 + b"x" * 50
+    parts = list(pieces(text, 16))
+    assert b"".join(parts) == text and all(p[:1].isspace() for p in parts[1:])
+
+
+def test_shards_read_back_and_seek():
+    rng, out = np.random.default_rng(0), io.BytesIO()
+    docs = [(3, 5), (3, 0), (None, 7), (9, 9000), (10, 64)]
+    ids = [rng.integers(0, 50_000, n).astype(np.uint32) for _, n in docs]
+    w = frames.ShardWriter(out, frame_ids=100)
+    for (d, _), x in zip(docs, ids, strict=True):
+        w.add(d, [x[:4], x[4:]])
+    w.close()
+    data = out.getvalue()
+    shard = frames.Shard(io.BytesIO(data), len(data))
+    assert shard.doc_ids == [d for d, _ in docs]
+    assert len(shard.frames) > 10
+    for k, x in enumerate(ids):
+        assert np.array_equal(np.concatenate([np.empty(0, np.uint32), *shard.parts(k)]), x)
+    read = []
+    shard.frame = lambda k, f=shard.frame: read.append(k) or f(k)
+    shard._held = (None,)
+    list(shard.parts(4))
+    assert len(read) <= 2
+    broken = bytearray(data)
+    broken[20] ^= 1
+    with pytest.raises(Exception):  # noqa: B017
+        [*frames.Shard(io.BytesIO(bytes(broken)), len(data)).parts(0)]
+
+
+def test_any_zstandard_reader_reads_a_shard():
+    import zstandard
+
+    out = io.BytesIO()
+    w = frames.ShardWriter(out, frame_ids=10)
+    w.add(1, [np.arange(35, dtype=np.uint32)])
+    w.add(2, [np.arange(5, dtype=np.uint32)])
+    w.close()
+    reader = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(out.getvalue()), read_across_frames=True)
+    found = np.frombuffer(reader.read(), "<u4")
+    assert found.tolist() == [*range(35), *range(5)]
+
+
+def test_op1_equals_plain(spark, tokenizer):
+    got = odd_rows.sorted_rows(
+        frames.op1(spark, odd_rows.documents(spark)), "doc_id", "n_tokens", "ids_crc32"
+    )
+    want = []
+    for d, t in odd_rows.TEXTS:
+        ids = plain_ids(tokenizer, t, 1)
+        want.append((d, len(ids), zlib.crc32(ids.tobytes())))
+    assert got == odd_rows.by_plain(want)
+    rows = odd_rows.sorted_rows(frames.op1(spark, odd_rows.documents(spark)), "start", "n_tokens", "doc_id")
+    at = 0
+    for start, n, _ in rows:
+        assert start == at
+        at += n
+    known = [d for _, _, d in rows if d is not None]
+    assert known == sorted(known)
+
+
+def test_fetch_gives_the_wanted_documents(spark, tokenizer):
+    path = shared_dir(spark)
+    manifest = frames.write_tokens(odd_rows.documents(spark), path, frame_ids=50)
+    found = [x for r in manifest.collect() for x in frames.fetch(r["path"], [1, 9, None])]
+    assert sorted(str(d) for d, _ in found) == ["1", "9", "9", "None", "None"]
+    for d, ids in found:
+        if d == 1:
+            assert np.array_equal(ids, plain_ids(tokenizer, odd_rows.SENTENCE, 1))
+
+
+def test_tokens_and_packing_of_empty_tables(spark):
+    empty = odd_rows.documents(spark, [])
+    assert frames.op1(spark, empty).collect() == []
+    assert pack.op8(spark, empty).collect() == []
+
+
+def check_packing(rows, documents, tokenizer, size=2048):
+    at = Counter()
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == at[r["sequence_id"]]
+        at[r["sequence_id"]] += r["length"]
+    assert all(n <= size for n in at.values())
+    got = Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
+    want = Counter()
+    for d, t in documents:
+        ids = plain_ids(tokenizer, t, 0)
+        for k in range(0, len(ids), size):
+            part = ids[k : k + size]
+            want[(d, k // size, k, len(part), zlib.crc32(part.tobytes()))] += 1
+    assert got == want
+    return len(at)
+
+
+def test_op8_packs_every_piece_once(spark, tokenizer):
+    rows = pack.op8(spark, odd_rows.documents(spark)).collect()
+    check_packing(rows, odd_rows.TEXTS, tokenizer)
+
+
+def test_op8_on_the_driver_table_meets_the_bound(spark, tokenizer):
+    docs = spark.read.parquet(f"{odd_rows.SF}/documents.parquet")
+    rows = pack.op8(spark, docs).collect()
+    n = check_packing(rows, [(r["doc_id"], r["text"]) for r in docs.collect()], tokenizer)
+    total = sum(r["length"] for r in rows)
+    assert n <= -(-total // 2048) + 1
+
+
+def fewest(lengths, size):
+    """The true optimum for a handful of pieces."""
+    best = len(lengths)
+
+    def place(k, rest):
+        nonlocal best
+        if len(rest) >= best:
+            return
+        if k == len(lengths):
+            best = len(rest)
+            return
+        for i, r in enumerate(rest):
+            if r >= lengths[k] and r not in rest[:i]:
+                place(k + 1, [*rest[:i], r - lengths[k], *rest[i + 1 :]])
+        place(k + 1, [*rest, size - lengths[k]])
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_bin_completion_is_optimal_on_small_cases(seed):
+    rng = random.Random(seed)
+    lengths = sorted((rng.randint(1, 60) for _ in range(rng.randint(0, 9))), reverse=True)
+    plan = pack.complete_bins(dict(Counter(lengths)), 60)
+    used = Counter()
+    for filling, n in plan:
+        assert sum(a * c for a, c in filling) <= 60
+        for a, c in filling:
+            used[a] += c * n
+    assert used == Counter(lengths)
+    assert sum(n for _, n in plan) == fewest(lengths, 60)
+
+
+def test_search_beats_its_first_incumbent():
+    rng = random.Random(5)
+    counts = Counter(rng.randint(300, 1400) for _ in range(2000))
+    first = sum(n for _, n in pack.best_fit_decreasing(dict(counts), 2048))
+    found = sum(n for _, n in pack.complete_bins(dict(counts)))
+    assert found < first
+
+
+def test_node_bound_still_packs_everything():
+    counts = Counter(random.Random(7).randint(300, 1400) for _ in range(300))
+    plan = pack.complete_bins(dict(counts), max_nodes=1)
+    used = Counter()
+    for filling, n in plan:
+        for a, c in filling:
+            used[a] += c * n
+    assert used == counts
