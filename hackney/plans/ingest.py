@@ -6,7 +6,8 @@ nothing behind that a later stage could read twice.
 """
 
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +21,13 @@ from hackney.sources.storage import (
     append_small,
     control_rows,
     delete_path,
+    hidden_files,
     read_or_empty,
 )
-from hackney.sources.trip_csv import read_trip_csv
+from hackney.sources.trip_csv import HeaderError, header_columns, read_trip_csv
 
 LOAD_MODES = ("incremental", "full")
+HIDDEN = "Spark reads no file whose name or folder begins with _ or ."
 DEFAULT_CHUNK_SIZE = 100_000
 
 RAW_WITH_LOAD = T.StructType([*RAW.fields, T.StructField("load_id", T.StringType())])
@@ -36,6 +39,7 @@ class IngestResult:
     should_continue: bool
     processed_files: list[str] = field(default_factory=list)
     skipped_files: list[str] = field(default_factory=list)
+    failed_files: dict[str, str] = field(default_factory=dict)
 
 
 def check_load_mode(load_mode: str) -> None:
@@ -100,11 +104,19 @@ def ingest(
 ) -> IngestResult:
     """Load the CSV files below ``source`` (or the one ``file``) that are new.
 
-    ``full`` loads every selected file again; the raw layer is a history.
+    ``full`` loads every selected file again; the raw layer is a history. A file that
+    cannot be loaded is named in ``failed_files`` with the reason and tried again
+    by the next run; the others are loaded.
     """
     check_load_mode(load_mode)
-    files = single_file(spark, file) if file else discover_csv(spark, source)
-    return ingest_files(spark, files, warehouse, load_mode, chunk_size, multi_line)
+    if file:
+        return ingest_files(
+            spark, single_file(spark, file), warehouse, load_mode, chunk_size, multi_line
+        )
+    unreadable = dict.fromkeys(hidden_files(spark, source, ".csv"), HIDDEN)
+    files = discover_csv(spark, source)
+    result = ingest_files(spark, files, warehouse, load_mode, chunk_size, multi_line)
+    return replace(result, failed_files=unreadable | result.failed_files)
 
 
 def ingest_files(
@@ -125,24 +137,37 @@ def ingest_files(
         return IngestResult(load_mode, False)
     listed = control_rows(spark, listing, FILE.names)
     hashed = control_rows(
-        spark, fingerprint(spark, listed).collect(), [*FILE.names, "file_hash"]
+        spark, fingerprint(spark, listed).collect(), [*FILE.names, "file_hash", "header"]
     )
+    if hashed.count() != len(listing):
+        raise OSError("files changed while they were listed")
     if load_mode == "full":
         chosen = hashed
     else:
         chosen = new_files(first_delivery(hashed), ingestion_log(spark, warehouse))
     fresh = sorted(chosen.collect(), key=lambda row: row.path)
-    processed = [row.path for row in fresh]
-    loading = set(processed)
-    skipped = [row.path for row in listing if row.path not in loading]
-
+    # Every listed file has its hash, so what is not new is in the ledger already.
+    new = {row.path for row in fresh}
+    skipped = [row.path for row in listing if row.path not in new]
+    failed, layouts = {}, {}
+    for row in fresh:
+        try:
+            layouts.setdefault(tuple(header_columns(row.header)), []).append(row.path)
+        except HeaderError as error:
+            failed[row.path] = str(error)
+    fresh = [row for row in fresh if row.path not in failed]
     if fresh:
-        _load(spark, fresh, warehouse, chunk_size, multi_line)
+        failed |= _load(spark, fresh, layouts, warehouse, chunk_size, multi_line)
+    processed = [row.path for row in fresh if row.path not in failed]
     should_continue = bool(processed) or load_mode == "full"
-    return IngestResult(load_mode, should_continue, processed, skipped)
+    return IngestResult(load_mode, should_continue, processed, skipped, failed)
+
 
+def _load(spark, fresh, layouts, warehouse, chunk_size, multi_line) -> dict[str, str]:
+    """Loads the files that are sound; the others come back with their reason.
 
-def _load(spark, fresh, warehouse: str, chunk_size: int, multi_line: bool) -> None:
+    ``layouts`` has the paths of each header, read together.
+    """
     load_id = f"load-{uuid.uuid4().hex}"
     stage = f"{warehouse}/raw/stage/{load_id}"
     chosen = control_rows(
@@ -156,10 +181,27 @@ def _load(spark, fresh, warehouse: str, chunk_size: int, multi_line: bool) -> No
 
     # 1. Write the rows once with their place in the file. Numbering a second
     #    scan of the CSV would need both scans to be split alike.
-    read_trip_csv(spark, [row.path for row in fresh], multi_line).join(
-        chosen.select("file_no", "file_path", "file_name", "file_hash"), "file_path"
-    ).drop("file_path").write.mode("overwrite").parquet(f"{stage}/rows")
+    scans = [read_trip_csv(spark, paths, list(c), multi_line) for c, paths in layouts.items()]
+    scan = reduce(DataFrame.unionByName, scans).join(
+        chosen.select("file_no", "file_path", "file_name", "file_hash"), "file_path", "left"
+    )
+    lost = F.raise_error(F.concat(F.lit("not among the listed files: "), F.col("file_path")))
+    scan.withColumn("file_no", F.coalesce("file_no", lost)).drop("file_path").write.mode(
+        "overwrite"
+    ).parquet(f"{stage}/rows")
     rows = spark.read.parquet(f"{stage}/rows")
+    long_rows = rows.where("too_long").groupBy("file_no").count().collect()
+    bad = {r["file_no"]: r["count"] for r in long_rows}
+    failed = {
+        row.path: f"{bad[number]} rows with more fields than the header"
+        for number, row in enumerate(fresh)
+        if number in bad
+    }
+    if len(failed) == len(fresh):
+        delete_path(spark, stage)
+        return failed
+    if failed:
+        rows, chosen = (df.where(~F.col("file_no").isin(*bad)) for df in (rows, chosen))
 
     # 2. Count the splits; everything from here to step 3 is one row per split
     #    or per file.
@@ -231,3 +273,4 @@ def _load(spark, fresh, warehouse: str, chunk_size: int, multi_line: bool) -> No
         f"{warehouse}/raw/load_log",
     )
     delete_path(spark, stage)
+    return failed

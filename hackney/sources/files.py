@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hackney.sources.storage import no_rows
+from hackney.sources.storage import literal, no_rows
 
-# Files up to this size are hashed by Spark's own sha2 on their content.
+# Files up to this size are hashed by Spark's own sha2 on their content, larger ones
+# as a stream, by one task each. The value is the same.
 WHOLE_FILE_BYTES = 128 * 1024**2
-# Larger ones are streamed by tasks; beyond this size, block by block.
-BLOCK_BYTES = 8 * 1024**3
 READ_BYTES = 4 * 1024**2
+# A first line longer than this is no header.
+HEADER_BYTES = 1024**2
 
 FILE = T.StructType(
     [
@@ -51,7 +52,7 @@ def discover_csv(spark: SparkSession, prefix: str) -> DataFrame:
     """CSV files anywhere below ``prefix``, suffix in any case; empty ones aside."""
     try:
         return _listing(
-            spark, prefix, pathGlobFilter="*.[cC][sS][vV]", recursiveFileLookup="true"
+            spark, literal(prefix), pathGlobFilter="*.[cC][sS][vV]", recursiveFileLookup="true"
         )
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
@@ -61,29 +62,25 @@ def discover_csv(spark: SparkSession, prefix: str) -> DataFrame:
 
 def single_file(spark: SparkSession, path: str) -> DataFrame:
     """One explicit file, whatever its suffix."""
-    return _listing(spark, path)
+    return _listing(spark, literal(path))
 
 
-def _hash_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _hash_streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
     for batch in batches:
-        digests = []
-        for path, start, size in zip(batch["path"], batch["start"], batch["size"]):
+        found = []
+        for path in batch["path"]:
             uri = path.replace("s3a://", "s3://", 1)
             system, name = fs.FileSystem.from_uri(_as_uri(uri))
-            digest = hashlib.sha256()
+            digest, head = hashlib.sha256(), b""
             with system.open_input_file(name) as source:
-                source.seek(start)
-                left = size
-                while left > 0:
-                    data = source.read(min(READ_BYTES, left))
-                    if not data:
-                        raise OSError(f"{path} shrank while it was read")
+                while data := source.read(READ_BYTES):
+                    head = head or data[:HEADER_BYTES]
                     digest.update(data)
-                    left -= len(data)
-            digests.append(digest.hexdigest())
-        yield batch[["path", "start"]].assign(digest=digests)
+            found.append((digest.hexdigest(), head.partition(b"\n")[0].decode(errors="replace")))
+        hashes, heads = zip(*found, strict=True) if found else ((), ())
+        yield batch[["path"]].assign(file_hash=hashes, header=heads)
 
 
 def _as_uri(path: str) -> str:
@@ -99,56 +96,41 @@ def _as_uri(path: str) -> str:
 
 
 def fingerprint(
-    spark: SparkSession,
-    files: DataFrame,
-    whole_file_bytes: int = WHOLE_FILE_BYTES,
-    block_bytes: int = BLOCK_BYTES,
+    spark: SparkSession, files: DataFrame, whole_file_bytes: int = WHOLE_FILE_BYTES
 ) -> DataFrame:
-    """``files`` plus ``file_hash``, the SHA-256 of the whole content.
+    """``files`` plus ``file_hash``, the SHA-256 of the whole content, and ``header``.
 
-    ``files`` is the materialised listing (paths and sizes, no content). A file
-    larger than ``block_bytes`` would make one task read all of it; its blocks
-    are hashed in parallel instead, and its fingerprint is the SHA-256 of the
-    block digests in order.
+    ``files`` is the materialised listing (paths and sizes, no content). A listed file
+    that cannot be read back is an error, never a file less.
     """
     small = files.where(F.col("length") <= whole_file_bytes)
     large = files.where(F.col("length") > whole_file_bytes)
 
-    small_paths = [row.path for row in small.select("path").collect()]
+    small_paths = [literal(row.path) for row in small.select("path").collect()]
     if small_paths:
+        head = F.substring("content", 1, HEADER_BYTES).cast("string")
         hashes = (
             spark.read.format("binaryFile")
             .load(small_paths)
-            .select("path", F.sha2("content", 256).alias("file_hash"))
+            .select(
+                "path",
+                F.sha2("content", 256).alias("file_hash"),
+                F.substring_index(head, "\n", 1).alias("header"),
+            )
         )
-        small = small.join(hashes, "path")
+        small = small.join(hashes, "path", "left")
     else:
-        small = small.withColumn("file_hash", F.lit(None).cast("string"))
-
-    block = F.lit(block_bytes).cast("bigint")
-    blocks = (
-        large.select(
-            "path",
-            "length",
-            F.explode(
-                F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, block)
-            ).alias("start"),
+        small = small.withColumns(
+            {c: F.lit(None).cast("string") for c in ("file_hash", "header")}
         )
-        .select(
-            "path", "start", F.least(block, F.col("length") - F.col("start")).alias("size")
-        )
-        # One block per task as far as the shuffle width allows.
-        .repartition("path", "start")
-    )
-    digests = blocks.mapInPandas(_hash_blocks, "path string, start bigint, digest string")
-    combined = digests.groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct("start", "digest"))).alias("_parts")
+
+    streamed = (
+        large.select("path")
+        .repartition("path")
+        .mapInPandas(_hash_streams, "path string, file_hash string, header string")
     )
-    hashes = combined.select(
-        "path",
-        F.when(F.size("_parts") == 1, F.col("_parts")[0]["digest"])
-        .otherwise(F.sha2(F.array_join(F.col("_parts.digest"), ""), 256))
-        .alias("file_hash"),
+    large = large.join(streamed, "path", "left")
+    unread = F.raise_error(F.concat(F.lit("listed, but not read: "), F.col("path")))
+    return small.unionByName(large).select(
+        *files.columns, F.coalesce("file_hash", unread).alias("file_hash"), "header"
     )
-    large = large.join(hashes, "path")
-    return small.unionByName(large).select(*files.columns, "file_hash")

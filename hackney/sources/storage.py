@@ -1,5 +1,7 @@
 """Paths on the cluster's shared file system, through Hadoop's own client."""
 
+import re
+
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +33,41 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 def append_small(rows: DataFrame, path: str) -> None:
     """Append a control table's few rows as one file, so they appear together."""
-    rows.coalesce(1).write.mode("append").parquet(path)
+    # One file by a shuffle of these few rows: what computes them stays parallel.
+    rows.repartition(1).write.mode("append").parquet(path)
+
+
+def literal(path: str) -> str:
+    """``path`` with the characters escaped that Spark reads as a pattern."""
+    return re.sub(r"([\\\\*?\[\]{}])", r"\\\1", path)
+
+
+def hidden_files(spark: SparkSession, path: str, suffix: str) -> list[str]:
+    """Files below ``path`` whose suffix fits but which no Spark source lists.
+
+    Those are names that begin with ``_`` or ``.``, and whatever lies in folders of
+    such names. Level by level, only such names come to Python.
+    """
+    files, target = _hadoop(spark, path)
+    if not files.exists(target) or files.getFileStatus(target).isFile():
+        return []
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    found, level = [], literal(path.rstrip("/"))
+
+    def fits(name: str) -> bool:
+        return name.lower().endswith(suffix)
+
+    while len(files.globStatus(jpath(f"{level}/*"))):
+        for entry in files.globStatus(jpath(f"{level}/{{_,.}}*")):
+            if entry.isFile():
+                found += [entry.getPath().toString()] * fits(entry.getPath().getName())
+                continue
+            below = files.listFiles(entry.getPath(), True)
+            while below.hasNext():
+                child = below.next().getPath()
+                found += [child.toString()] * fits(child.getName())
+        level += "/[!_.]*"
+    return sorted(found)
 
 
 def _hadoop(spark: SparkSession, path: str):

@@ -1,10 +1,13 @@
 """Scan of raw trip CSV files."""
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hackney.schemas import TRIP_COLUMNS, TRIP_TEXT
+from hackney.schemas import TRIP_COLUMNS
+from hackney.sources.storage import literal
 
 # Texts that mean "missing" in the input files.
 MISSING_TEXTS = (
@@ -29,46 +32,55 @@ MISSING_TEXTS = (
     "null",
 )
 
-MALFORMED = T.StructField("_malformed", T.StringType())
+# Takes a field beyond the header's last, if a row has one.
+BEYOND = T.StructField("_beyond", T.StringType())
+
+
+class HeaderError(ValueError):
+    """The header names something that is no trip column."""
+
+
+def header_columns(header: str) -> list[str]:
+    """The columns a header line names, in its order; some may be missing."""
+    names = next(csv.reader([header.removeprefix("\ufeff").rstrip("\r")]), [])
+    unknown = sorted({n for n in names if n not in TRIP_COLUMNS or names.count(n) > 1})
+    if unknown or not names:
+        raise HeaderError(f"header with columns that are unknown or doubled: {unknown}")
+    return names
 
 
 def read_trip_csv(
-    spark: SparkSession, paths: list[str] | str, multi_line: bool = False
+    spark: SparkSession, paths: list[str], columns: list[str] | None = None, multi_line: bool = False
 ) -> DataFrame:
-    """Trip rows as text, plus where each row lies.
+    """Trip rows as text, plus where each row lies, of files with the same header.
 
-    The scan is splittable unless ``multi_line`` is set (quoted line breaks). A
-    header that differs from the trip columns fails the read, and so does a row
-    with more fields than the header; one with fewer ends in NULLs.
-    ``_split_start`` and ``_row_mark`` order the rows of a file: by split, then
-    by mark.
+    ``columns`` are those of the header; trip columns it lacks are NULL. The scan
+    is splittable unless ``multi_line`` is set (quoted line breaks). ``too_long``
+    marks a row with more fields than the header, quotes respected; one with
+    fewer ends in NULLs. ``_split_start`` and ``_row_mark`` order the rows of a
+    file: by split, then by mark.
     """
+    columns = columns or TRIP_COLUMNS
+    fields = [T.StructField(c, T.StringType()) for c in columns]
     scan = (
-        spark.read.schema(T.StructType([*TRIP_TEXT.fields, MALFORMED]))
-        .option("columnNameOfCorruptRecord", MALFORMED.name)
+        spark.read.schema(T.StructType([*fields, BEYOND]))
         .option("header", True)
-        .option("enforceSchema", False)
+        .option("enforceSchema", True)
         .option("multiLine", multi_line)
-        .csv(paths)
-    )
-    # Spark marks rows of a wrong length; the last column tells which way.
-    line = F.col(MALFORMED.name)
-    too_long = line.isNotNull() & (
-        F.col(TRIP_COLUMNS[-1]).isNotNull()
-        | (F.size(F.split(line, ",")) > len(TRIP_COLUMNS))
-    )
-    complaint = F.concat(
-        F.lit("too many fields in a row of "), F.col("_metadata.file_path")
-    )
-    path = F.when(too_long, F.raise_error(complaint)).otherwise(
-        F.col("_metadata.file_path")
+        # No text stands for NULL here: a field that is there differs from none.
+        .option("nullValue", "\0")
+        .csv([literal(path) for path in paths])
     )
     texts = [
-        F.when(~F.col(c).isin(*MISSING_TEXTS), F.col(c)).alias(c) for c in TRIP_COLUMNS
+        F.when(~F.col(c).isin(*MISSING_TEXTS), F.col(c)).alias(c)
+        if c in columns
+        else F.lit(None).cast("string").alias(c)
+        for c in TRIP_COLUMNS
     ]
     return scan.select(
-        path.alias("file_path"),
+        F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("_split_start"),
         F.monotonically_increasing_id().alias("_row_mark"),
+        F.col(BEYOND.name).isNotNull().alias("too_long"),
         *texts,
     )

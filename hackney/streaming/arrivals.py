@@ -15,6 +15,7 @@ from hackney.plans.gold import build_gold
 from hackney.plans.ingest import DEFAULT_CHUNK_SIZE, ingest_files
 from hackney.plans.silver import build_silver
 from hackney.sources.files import base_name
+from hackney.sources.storage import literal
 
 # The fixed schema of Spark's binaryFile source.
 BINARY_FILE = (
@@ -34,7 +35,7 @@ def csv_arrivals(
     )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(source).select(
+    return reader.load(literal(source)).select(
         "path",
         F.col("_metadata.file_path").alias("file_path"),
         base_name(F.col("path")).alias("file_name"),

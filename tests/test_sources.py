@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 from hackney.schemas import DIM_DATE, FACT_TRIPS
 from hackney.sources.files import discover_csv, fingerprint, single_file
 from hackney.sources.jdbc import batch_query
+from hackney.sources.storage import control_rows
 from hackney.sources.tables import KeyedTable
 
 
@@ -30,12 +31,11 @@ def test_fingerprints(spark, tmp_path):
     assert hashes(spark, files) == want
     # The streamed way gives the same value ...
     assert hashes(spark, files, whole_file_bytes=100) == want
-    # ... and a file beyond the block size combines its block digests in order.
-    blocks = hashes(spark, files, whole_file_bytes=100, block_bytes=3000)
-    content = data["b b.CSV"]
-    digests = "".join(sha(content[n : n + 3000]) for n in range(0, len(content), 3000))
-    assert blocks["b b.CSV"] == sha(digests.encode())
-    assert blocks["a.csv"] == want["a.csv"]
+    # ... and a listed file that is gone is an error.
+    listed = files.collect()
+    (tmp_path / "in/a.csv").unlink()
+    with pytest.raises(Exception, match="not read|PATH_NOT_FOUND|not exist"):
+        fingerprint(spark, control_rows(spark, listed, files.columns)).collect()
     one = single_file(spark, str(tmp_path / "in/e.txt"))
     assert [r.file_name for r in one.collect()] == ["e.txt"]
 
