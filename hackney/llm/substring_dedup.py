@@ -16,10 +16,13 @@ Neighbouring starts share theirs, so there is one row for about 170 bytes:
 2. they are refined by the bucket of the whole stretch that the row's strings
    cover. Rows that share it are repeated as a whole, and done with but for one,
    which stands for all in what follows;
-3. rows left in a bucket with several kinds are refined start by start, to the
-   bucket at depth SIZE. Starts that share it are repeated.
+3. rows left in a bucket with several kinds are cut into blocks of starts, counted
+   from the anchor, and the blocks treated like rows: the bytes common to all
+   strings of a block name its bucket, the bytes they cover its kind. Blocks
+   shrink over ``BLOCKS`` to a single start.
 
-Texts of any length are read in chunks; groups are counted by combining aggregates,
+Texts are written once, bucketed by row number, so that no later join moves them.
+Texts of any length are read in chunks; groups are counted by combining aggregates
 and joined back from a side that is unique by key, so copies by the thousand are
 rows that many tasks share.
 """
@@ -27,6 +30,7 @@ rows that many tasks share.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import fresh, stage
+from .scratch import fresh, shared_dir, stage
 from .wu_manber import merged
 
 SIZE = 400
 GRAM = 8
 ANCHOR = 64
 DEPTH = 256
+#: Starts in a block, from one cut to the next.
+BLOCKS = (64, 8, 1)
 #: Bytes of small texts looked at together, and of a chunk of a long text.
 GATHER = 1 << 18
 CHUNK = 1 << 19
@@ -94,175 +100,207 @@ def stretch_ids(ids: np.ndarray, low: np.ndarray, end: np.ndarray, lane: int) ->
 
 
 def anchor_rows(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, size: int = SIZE):
-    """(text, low, high, bucket, stretch 1, stretch 2) of texts [begin, end) in ``raw``.
+    """(text, low, high, at, bucket, kind) of texts [begin, end) in ``raw``.
 
-    Strings that start from low to high, both included, share an anchor.
+    Strings that start from low to high, both included, share the anchor ``at``.
     """
     n = len(raw) - size + 1
-    if n <= 0:
-        return None
-    first = [initial_buckets(raw), None]
-    anchors = refine(first[0], GRAM, ANCHOR, 0)
-    marked = (anchors & ~np.uint64((1 << _PLACE_BITS) - 1)) | np.arange(len(anchors), dtype=np.uint64)
-    chosen = least_in_windows(marked, size - ANCHOR + 1) & np.uint64((1 << _PLACE_BITS) - 1)
-    chosen = chosen.astype(np.int64)
-    mark = np.zeros(len(raw) + 1, np.int64)
     whole = ends - begins >= size
-    if not whole.any():
+    if n <= 0 or not whole.any():
         return None
+    first = initial_buckets(raw)
+    anchors = refine(first, GRAM, ANCHOR, 0)
+    places = np.uint64((1 << _PLACE_BITS) - 1)
+    marked = (anchors & ~places) | np.arange(len(anchors), dtype=np.uint64)
+    chosen = (least_in_windows(marked, size - ANCHOR + 1) & places).astype(np.int64)
+    mark = np.zeros(len(raw) + 1, np.int64)
     np.add.at(mark, begins[whole], 1)
     np.add.at(mark, ends[whole] - size + 1, -1)
     valid = np.cumsum(mark)[:n] > 0
     new = valid.copy()
     new[1:] &= (chosen[1:] != chosen[:-1]) | ~valid[:-1]
-    # a text may begin right where the one before it ended
-    new[begins[whole]] = True
+    new[begins[whole]] = True  # a text may begin right where the one before it ended
     low = np.flatnonzero(new)
-    stop = valid & np.concatenate([new[1:] | ~valid[1:], [True]])
-    high = np.flatnonzero(stop)
+    high = np.flatnonzero(valid & np.concatenate([new[1:] | ~valid[1:], [True]]))
     text = np.searchsorted(begins, low, "right") - 1
     at = chosen[low]
-    deep = refine(anchors, ANCHOR, DEPTH, 0)
-    other = refine(first[0], GRAM, DEPTH, 1)
-    offset = (at - low).astype(np.uint64)
-    kinds = [_mix(stretch_ids(x, low, high + size, k), offset, k) for k, x in enumerate((deep, other))]
-    return text, low - begins[text], high - begins[text], anchors[at], kinds[0], kinds[1]
+    deep = refine(first, GRAM, DEPTH, 1)
+    kind = _mix(stretch_ids(deep, low, high + size, 1), (at - low).astype(np.uint64), 1)
+    return text, low - begins[text], high - begins[text], at - begins[text], anchors[at], kind
 
 
-def start_ids(raw: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets at depth ``size`` of all starts, in both lanes."""
-    out = []
-    for lane in (0, 1):
-        ids = refine(initial_buckets(raw), GRAM, DEPTH, lane)
-        n = len(raw) - size + 1
-        out.append(_mix(ids[:n], ids[size - DEPTH : size - DEPTH + n], lane))
-    return out[0], out[1]
+def block_rows(raw: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray, block: int, size: int = SIZE):
+    """(row, low, high, bucket, kind) of the blocks of starts that rows are cut into.
 
+    Blocks are counted from the row's anchor, so equal strings lie in like blocks.
+    The bucket is that of the bytes which all strings of the block have in common.
+    """
+    first, last = (low - at) // block, (high - at) // block
+    n = last - first + 1
+    row = np.repeat(np.arange(len(low)), n)
+    index = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + first[row]
+    begin = at[row] + index * block
+    ids = initial_buckets(raw)
+    common, deep = refine(ids, GRAM, DEPTH, 0), refine(ids, GRAM, DEPTH, 1)
+    bucket = stretch_ids(common, begin + block - 1, begin + size, 0)
+    bucket = _mix(bucket, np.full(len(row), block, np.uint64), 0)
+    a, b = np.maximum(begin, low[row]), np.minimum(begin + block - 1, high[row])
+    kind = _mix(stretch_ids(deep, a, b + size, 1), (a - begin).astype(np.uint64), 1)
+    return row, a, b, bucket, kind
 
-def keyed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list:
-    """Columns that name a row by its content; equal rows have equal names."""
-    return [F.xxhash64(text, doc_id).alias("k1"), F.hash(doc_id, text).alias("k2")]
 
+ROWS = "row long, low long, high long, at long, bucket long, kind long"
+_NAMES = ["row", "low", "high", "at", "bucket", "kind"]
 
-ROWS = "k1 long, k2 int, low long, high long, bucket long, s1 long, s2 long"
+
+def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
+    longs = [np.ascontiguousarray(c).view(np.int64) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in longs], _NAMES)
 
 
 def find_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[int, int, int, np.ndarray]] = []
+    """Rows of (row, text), each text whole."""
+    held: list[tuple[int, int, np.ndarray]] = []
     size = 0
 
-    def flush() -> pa.RecordBatch | None:
-        n = np.array([len(x[3]) for x in held], np.int64)
+    def flush() -> Iterator[pa.RecordBatch]:
+        n = np.array([len(x[2]) for x in held], np.int64)
         ends = np.cumsum(n)
-        found = anchor_rows(np.concatenate([x[3] for x in held]), ends - n, ends)
-        if found is None:
-            return None
-        text, low, high, *ids = found
-        own = [np.array([x[k] for x in held], np.int64)[text] for k in range(3)]
-        cols = [own[0], own[1].astype(np.int32), low + own[2], high + own[2]]
-        cols += [np.ascontiguousarray(x).view(np.int64) for x in ids]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c) for c in cols], ["k1", "k2", "low", "high", "bucket", "s1", "s2"]
-        )
+        found = anchor_rows(np.concatenate([x[2] for x in held]), ends - n, ends)
+        if found is not None:
+            text, low, high, at, *ids = found
+            own, off = (np.array([x[k] for x in held], np.int64)[text] for k in (0, 1))
+            yield _batch([own, low + off, high + off, at + off, *ids])
+        held.clear()
 
     for batch in batches:
-        for k1, k2, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2], strict=True):
+        for row, text in zip(batch[0].to_pylist(), batch[1], strict=True):
             raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-            if len(raw) < SIZE:
-                continue
             for at in range(0, len(raw) - SIZE + 1, CHUNK):
                 part = raw[at : at + CHUNK + SIZE - 1]
                 if held and size + len(part) > GATHER:
-                    if (out := flush()) is not None:
-                        yield out
-                    held, size = [], 0
-                held.append((k1, k2, at, part))
+                    yield from flush()
+                    size = 0
+                held.append((row, at, part))
                 size += len(part)
-    if held and (out := flush()) is not None:
-        yield out
+    if held:
+        yield from flush()
 
 
-def find_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The buckets of the starts that are still open, document by document."""
-    for batch in batches:
-        for k1, k2, text, runs in zip(*(batch[k] for k in range(4)), strict=True):
-            raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-            spans = merged(np.array([[r["low"], r["high"] + 1] for r in runs.as_py()], np.int64))
-            for low, high in spans.tolist():
-                for at in range(low, high, CHUNK):
-                    a, b = start_ids(raw[at : min(at + CHUNK, high) + SIZE - 1])
-                    n = len(a)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(n, k1.as_py(), np.int64)),
-                            pa.array(np.full(n, k2.as_py(), np.int32)),
-                            pa.array(np.arange(at, at + n)),
-                            pa.array(a.view(np.int64)),
-                            pa.array(b.view(np.int64)),
-                        ],
-                        ["k1", "k2", "start", "b1", "b2"],
-                    )
-
-
-def repeated_runs(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """(k1, k2, runs): starts [low, high] of repeated strings, for rows that have any."""
-    slim = documents.select(*keyed(documents), "text")
-    rows = stage(spark, slim.mapInArrow(find_rows, ROWS), "anchors")
-    stand = F.xxhash64("k1", "k2", "low")
-    kinds = rows.groupBy("bucket", "s1", "s2").agg(F.count("*").alias("n"), F.min(stand).alias("stands"))
-    shared = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max("n").alias("most"))
-    shared = shared.filter("kinds > 1 or most > 1").select(F.col("bucket").alias("of"), "kinds")
-    open_kinds = kinds.join(shared, kinds["bucket"] == shared["of"]).filter("n > 1 or kinds > 1")
-    open_kinds = open_kinds.select(
-        F.col("bucket").alias("b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), "n", "kinds", "stands"
-    )
-    left = stage(
+def cut_blocks(block: int):
+    """Blocks of the open rows of (row, text, runs), for ``mapInArrow``."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            n = np.array([len(x[2]) for x in held], np.int64)
+            shift = np.cumsum(n) - n  # from places in a part to places in the buffer
+            m = np.concatenate([x[3] - x[1] + k for x, k in zip(held, shift, strict=True)])
+            part = np.repeat(np.arange(len(held)), [len(x[3]) for x in held])
+            raw = np.concatenate([*(x[2] for x in held), np.zeros(GRAM, np.uint8)])
+            row, low, high, *ids = block_rows(raw, m[:, 0], m[:, 1], m[:, 2], block)
+            own = np.array([x[0] for x in held], np.int64)[part[row]]
+            back = (np.array([x[1] for x in held], np.int64) - shift)[part[row]]
+            yield _batch([own, low + back, high + back, m[row, 2] + back, *ids])
+            held.clear()
+
+        for batch in batches:
+            for row, text, runs in zip(batch[0].to_pylist(), batch[1], batch[2], strict=True):
+                raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+                open_rows = np.array([[r["low"], r["high"], r["at"]] for r in runs.as_py()], np.int64)
+                open_rows = open_rows[np.argsort(open_rows[:, 0], kind="stable")]
+                begin = 0
+                while begin < len(open_rows):
+                    base = int(open_rows[begin, 0])
+                    near = open_rows[begin:, 1].searchsorted(base + CHUNK)
+                    end = begin + max(1, int(near))
+                    # rows of one anchor are at most SIZE starts wide
+                    part = raw[base : int(open_rows[begin:end, 1].max()) + SIZE]
+                    if held and size + len(part) > GATHER:
+                        yield from flush()
+                        size = 0
+                    held.append((row, base, part, open_rows[begin:end]))
+                    size += len(part)
+                    begin = end
+        if held:
+            yield from flush()
+
+    return cut
+
+
+def resolve(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(repeated, open): rows repeated as a whole, and rows that a finer cut may split.
+
+    Of rows alike only one stays open, in buckets that hold others too.
+    """
+    shared = stage(
         spark,
-        rows.join(
-            open_kinds,
-            (rows["bucket"] == open_kinds["b"])
-            & (rows["s1"] == open_kinds["t1"])
-            & (rows["s2"] == open_kinds["t2"]),
-        ).select(
-            "k1",
-            "k2",
-            "low",
-            "high",
-            (F.col("n") > 1).alias("whole"),
-            ((F.col("kinds") > 1) & ((F.col("n") == 1) | (stand == F.col("stands")))).alias("open"),
-        ),
-        "rows",
+        rows.groupBy(F.col("bucket").alias("b"))
+        .agg(F.count("*").alias("n"), F.min("kind").alias("one"), F.max("kind").alias("other"))
+        .filter("n > 1")
+        .select("b", (F.col("one") != F.col("other")).alias("mixed")),
+        "shared",
     )
-    still = (
-        left.filter("open")
-        .groupBy(F.col("k1").alias("o1"), F.col("k2").alias("o2"))
-        .agg(F.collect_set(F.struct("low", "high")).alias("runs"))
-    )
-    texts = slim.join(still, (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2")))
-    starts = stage(
+    near = stage(spark, rows.join(shared, rows["bucket"] == shared["b"]).drop("b"), "near")
+    mixed = near.filter("mixed")
+    stand = F.xxhash64("row", "low")
+    kinds = stage(
         spark,
-        texts.select("k1", "k2", "text", "runs").mapInArrow(
-            find_starts, "k1 long, k2 int, start long, b1 long, b2 long"
-        ),
-        "starts",
+        mixed.groupBy(F.col("bucket").alias("b"), F.col("kind").alias("k"))
+        .agg(F.count("*").alias("n"), F.min(stand).alias("stands"))
+        .filter("n > 1"),
+        "kinds",
     )
-    twice = starts.groupBy(F.col("b1").alias("c1"), F.col("b2").alias("c2")).agg(F.count("*").alias("n"))
-    twice = twice.filter("n > 1").drop("n")
-    single = starts.join(twice, (F.col("b1") == F.col("c1")) & (F.col("b2") == F.col("c2"))).select(
-        "k1", "k2", F.col("start").alias("low"), F.col("start").alias("high")
+    judged = mixed.join(kinds, (mixed["bucket"] == kinds["b"]) & (mixed["kind"] == kinds["k"]), "left").select(
+        "row", "low", "high", "at", (F.col("n") > 1).alias("whole"), (stand == F.col("stands")).alias("stands")
     )
-    return (
-        left.filter("whole")
-        .select("k1", "k2", "low", "high")
-        .union(single)
-        .groupBy("k1", "k2")
-        .agg(F.collect_set(F.struct("low", "high")).alias("runs"))
+    judged = stage(spark, judged, "judged")
+    repeated = near.filter("not mixed").select("row", "low", "high").union(
+        judged.filter("whole").select("row", "low", "high")
+    )
+    return repeated, judged.filter("whole is null or stands").select("row", "low", "high", "at")
+
+
+def numbered_texts(spark: SparkSession, documents: DataFrame, row: str) -> DataFrame:
+    """``documents`` with row numbers, written in buckets of the number.
+
+    The table's files lie in the shared folder; its name in the catalog is dropped at
+    once, as the frame keeps all it needs.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/texts"
+    name = f"hackney_texts_{uuid.uuid4().hex}"
+    (
+        documents.withColumn(row, F.monotonically_increasing_id())
+        .repartition(n, row)
+        .write.bucketBy(n, row)
+        .option("path", path)
+        .option("compression", "zstd")
+        .format("parquet")
+        .saveAsTable(name)
     )
+    texts = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return texts
+
+
+def repeated_runs(spark: SparkSession, texts: DataFrame, row: str = "row") -> DataFrame:
+    """(row, runs): starts [low, high] of repeated strings, of texts that have any."""
+    slim = texts.select(F.col(row).alias("row"), "text")
+    repeated, still = resolve(spark, stage(spark, slim.mapInArrow(find_rows, ROWS), "anchors"))
+    for block in BLOCKS:
+        runs = still.groupBy("row").agg(F.collect_list(F.struct("low", "high", "at")).alias("runs"))
+        cut = slim.join(runs, "row").select("row", "text", "runs").mapInArrow(cut_blocks(block), ROWS)
+        more, still = resolve(spark, stage(spark, cut, f"blocks-{block}"))
+        repeated = repeated.union(more)
+    return repeated.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
 
 
-def removed(raw: bytes, runs: list[dict] | None, size: int = SIZE) -> np.ndarray:
+def removed(runs: list[dict] | None, size: int = SIZE) -> np.ndarray:
     """Maximal removed runs [first, last) of a text."""
-    if not runs:
+    if runs is None or not len(runs):
         return np.empty((0, 2), np.int64)
     return merged(np.array([[r["low"], r["high"] + size] for r in runs], np.int64))
 
@@ -275,13 +313,6 @@ def kept_parts(raw: bytes, gone: np.ndarray) -> Iterator[bytes]:
     yield raw[at:]
 
 
-def with_runs(spark: SparkSession, documents: DataFrame, columns: list) -> DataFrame:
-    """``columns`` of every row with ``runs``, null where nothing is repeated."""
-    runs = repeated_runs(spark, documents).select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), "runs")
-    own = documents.select(*columns, *keyed(documents))
-    return own.join(runs, (own["k1"] == runs["r1"]) & (own["k2"] == runs["r2"]), "left")
-
-
 def op3(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document.
 
@@ -294,27 +325,23 @@ def op3(spark: SparkSession, documents: DataFrame) -> DataFrame:
             rows = []
             for text, runs in zip(batch[1], batch[2], strict=True):
                 raw = (text.as_py() or "").encode()
-                gone = removed(raw, runs.as_py())
+                gone = removed(runs.as_py())
                 kept = hashlib.sha256()
                 for part in kept_parts(raw, gone):
                     kept.update(part)
                 lost = int((gone[:, 1] - gone[:, 0]).sum())
                 rows.append((len(raw), lost, len(gone), kept.hexdigest()))
-            n, lost, spans, kept = zip(*rows, strict=True) if rows else ((),) * 4
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch[0],
-                    pa.array(n, pa.int64()),
-                    pa.array(lost, pa.int64()),
-                    pa.array(spans, pa.int64()),
-                    pa.array(kept, pa.string()),
-                ],
+                [batch[0], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = numbered_texts(spark, slim, "row")
     return (
-        with_runs(spark, slim, ["doc_id", "text"])
+        texts.join(repeated_runs(spark, texts), "row", "left")
         .select("doc_id", "text", "runs")
         .mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     )
@@ -326,34 +353,24 @@ def without_repeats(spark: SparkSession, documents: DataFrame) -> DataFrame:
     Where a cut falls into a character, the rest of the character goes too. ``n_chars``,
     where there is one, is the new length. A null text stays null.
     """
-    cut = fresh(documents, "cut")
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, runs: pd.Series) -> pd.Series:
         out = []
         for text, found in zip(texts, runs, strict=True):
-            if text is None or found is None or not len(found):
-                out.append(text)
-                continue
-            raw = text.encode()
-            gone = removed(raw, [{"low": r["low"], "high": r["high"]} for r in found])
-            out.append(b"".join(kept_parts(raw, gone)).decode(errors="ignore"))
+            gone = removed(found)
+            if text is not None and len(gone):
+                text = b"".join(kept_parts(text.encode(), gone)).decode(errors="ignore")
+            out.append(text)
         return pd.Series(out, dtype=object)
 
-    names = documents.columns
-    plain = documents.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
-    doc_id, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
-    runs = repeated_runs(spark, documents).select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), "runs")
-    own = plain.withColumns({"k1": F.xxhash64(text, doc_id), "k2": F.hash(doc_id, text)})
-    joined = own.join(runs, (own["k1"] == runs["r1"]) & (own["k2"] == runs["r2"]), "left")
-    joined = joined.withColumn(cut, rest(text, "runs"))
-    return joined.select(
-        *(
-            F.col(cut).alias(c)
-            if c == "text"
-            else F.length(cut).cast(documents.schema[c].dataType).alias(c)
-            if c == "n_chars"
-            else F.col(f"c{k}").alias(c)
-            for k, c in enumerate(names)
-        )
-    )
+    row = fresh(documents, "row")
+    texts = numbered_texts(spark, documents, row)
+    runs = repeated_runs(spark, texts, row)
+    own, found = fresh(documents, "of"), fresh(documents, "runs")
+    joined = texts.join(runs.toDF(own, found), F.col(row) == F.col(own), "left")
+    joined = joined.withColumn("text", rest("text", found))
+    if "n_chars" in documents.columns:
+        kind = documents.schema["n_chars"].dataType
+        joined = joined.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), "n_chars"))
+    return joined.select(*(f"`{c}`" for c in documents.columns))
