@@ -52,7 +52,8 @@ def merge_by_key(
     On a shared key ``keep="incoming"`` replaces the stored row and
     ``keep="stored"`` leaves it. Each side holds a key at most once.
     ``partition_columns`` are functions of the key. Both sides are laid out by
-    them (in ``partitions`` tasks), which is the only shuffle of the merge.
+    them, which is the only shuffle of the merge; with ``partitions`` the first
+    of them is the number of the task itself, so each value gets a task of its own.
     """
     if keep not in ("incoming", "stored"):
         raise ValueError(f"keep must be 'incoming' or 'stored', not {keep!r}")
@@ -61,8 +62,10 @@ def merge_by_key(
         incoming.select(*columns).withColumn("_incoming", F.lit(True))
     )
     if partition_columns:
-        layout = [partitions] if partitions else []
-        both = both.repartition(*layout, *partition_columns)
+        if partitions:
+            both = both.repartitionById(partitions, F.col(partition_columns[0]))
+        else:
+            both = both.repartition(*partition_columns)
     wins = F.col("_incoming").desc() if keep == "incoming" else F.col("_incoming").asc()
     return first_by_key(both, [*partition_columns, *keys], wins).select(*columns)
 

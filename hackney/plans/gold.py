@@ -2,13 +2,18 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hackney.operators.incremental import pending_batches
 from hackney.plans.ingest import check_load_mode
 from hackney.plans.silver import batch_log, log_batches, silver_table
-from hackney.schemas import DIM_DATE, DIM_VENDOR, FACT_TRIPS
+from hackney.schemas import DIM_DATE, DIM_VENDOR, FACT_TRIPS, SILVER
+from hackney.sources.storage import append_small, control_rows, delete_path, read_or_empty
 from hackney.sources.tables import KeyedTable
 
+SEEN = T.StructType([T.StructField("version", T.IntegerType())])
+
+# Fixed: the columns of the report, in order.
 REPORT_COLUMNS = [
     "id",
     "year",
@@ -66,9 +71,11 @@ def dim_date(spark: SparkSession, warehouse: str) -> KeyedTable:
     return KeyedTable(spark, path, DIM_DATE, ["date_id"], buckets=1)
 
 
-def fact_trips(spark: SparkSession, warehouse: str, buckets: int = 64) -> KeyedTable:
+def fact_trips(
+    spark: SparkSession, warehouse: str, buckets: int = 64, parts: int = 1
+) -> KeyedTable:
     path = f"{warehouse}/gold/fact_trips"
-    return KeyedTable(spark, path, FACT_TRIPS, ["id"], buckets)
+    return KeyedTable(spark, path, FACT_TRIPS, ["id"], buckets, parts)
 
 
 def build_gold(
@@ -76,28 +83,49 @@ def build_gold(
     warehouse: str,
     load_mode: str = "incremental",
     buckets: int = 64,
+    parts: int = 1,
 ) -> bool:
     """Bring the star schema up to date; False when there was nothing to do.
 
     ``incremental`` takes the silver rows of batches gold has not seen yet; a
     silver row an older batch wrote is already in the fact table. ``full``
-    takes every silver row.
+    takes every silver row. Silver is read once, down to the files its versions
+    since gold's last run have written; the three targets share those rows.
     """
     check_load_mode(load_mode)
-    silver = silver_table(spark, warehouse, buckets).read()
+    table = silver_table(spark, warehouse, buckets)
+    version = table.version()
     done = batch_log(spark, warehouse)
     if load_mode == "incremental":
         done = pending_batches(done, batch_log(spark, warehouse, "gold"))
         if done.isEmpty():
             return False
-        silver = silver.join(done, "batch_no", "left_semi")
+        changed = table.read(after=seen_version(spark, warehouse))
+        silver = changed.join(done, "batch_no", "left_semi")
+    else:
+        silver = table.read()
+    stage = f"{warehouse}/gold/stage/silver"
+    silver.write.mode("overwrite").parquet(stage)
+    silver = spark.read.schema(SILVER).parquet(stage)
     dim_vendor(spark, warehouse).merge(dim_vendor_rows(silver))
     dim_date(spark, warehouse).merge(dim_date_rows(silver))
-    fact_trips(spark, warehouse, buckets).merge(fact_rows(silver))
+    fact_trips(spark, warehouse, buckets, parts).merge(fact_rows(silver))
     log_batches(spark, warehouse, done, "gold")
+    # After the batches: a run that dies before it reads those versions again.
+    append_small(
+        control_rows(spark, [(version,)], ["version"]).select(F.col("version").cast("int")),
+        f"{warehouse}/gold/silver_versions",
+    )
+    delete_path(spark, stage)
     return True
 
 
+def seen_version(spark: SparkSession, warehouse: str) -> int:
+    """The newest silver version that gold has taken in; 0 before the first."""
+    log = read_or_empty(spark, f"{warehouse}/gold/silver_versions", SEEN)
+    return log.agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first().v
+
+
 def v_trip_report(fact: DataFrame, dates: DataFrame) -> DataFrame:
     """Trips with the parts of their date; needs the date in ``dates``.
 

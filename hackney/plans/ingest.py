@@ -22,6 +22,8 @@ from hackney.sources.storage import (
     control_rows,
     delete_path,
     hidden_files,
+    literal,
+    no_rows,
     read_or_empty,
 )
 from hackney.sources.trip_csv import HeaderError, header_columns, read_trip_csv
@@ -73,12 +75,15 @@ def committed_batches(spark: SparkSession, warehouse: str) -> DataFrame:
 def transactions_raw(
     spark: SparkSession, warehouse: str, loads: list[str] | None = None
 ) -> DataFrame:
-    """Committed raw rows; ``loads`` prunes the scan to those load directories."""
-    rows = read_or_empty(spark, f"{warehouse}/raw/transactions_raw", RAW_WITH_LOAD)
-    if loads is not None:
-        return rows.where(F.col("load_id").isin(*loads))
-    committed = load_log(spark, warehouse).select("load_id").distinct()
-    return rows.join(committed, "load_id", "left_semi")
+    """Committed raw rows; of given ``loads`` only, each read by its directory."""
+    if loads is None:
+        log = load_log(spark, warehouse).select("load_id").distinct()
+        loads = [row.load_id for row in log.collect()]
+    if not loads:
+        return no_rows(spark, RAW_WITH_LOAD)
+    root = f"{warehouse}/raw/transactions_raw"
+    paths = [literal(f"{root}/load_id={load}") for load in loads]
+    return spark.read.schema(RAW_WITH_LOAD).option("basePath", root).parquet(*paths)
 
 
 def raw_batch(spark: SparkSession, warehouse: str, batch_no: int) -> DataFrame:
@@ -88,7 +93,7 @@ def raw_batch(spark: SparkSession, warehouse: str, batch_no: int) -> DataFrame:
     loads = [r.load_id for r in log.select("load_id").distinct().collect()]
     return (
         transactions_raw(spark, warehouse, loads)
-        .where(F.col("batch_no") == batch_no)
+        .where(F.col("load_id").isin(*loads) & (F.col("batch_no") == batch_no))
         .select("batch_no", "source_file", "file_hash", *TRIP_COLUMNS)
     )
 

@@ -24,6 +24,7 @@ def run_pipeline(
     chunk_size: int = DEFAULT_CHUNK_SIZE,
     file: str | None = None,
     buckets: int = 64,
+    parts: int = 1,
 ) -> PipelineResult:
     """Ingest what is new, then bring silver and gold up to date.
 
@@ -31,6 +32,6 @@ def run_pipeline(
     so a run that failed half way is finished by the next one.
     """
     raw = ingest(spark, source, warehouse, load_mode, chunk_size, file)
-    batches = build_silver(spark, warehouse, load_mode, buckets)
-    built = build_gold(spark, warehouse, load_mode, buckets)
+    batches = build_silver(spark, warehouse, load_mode, buckets, parts=parts)
+    built = build_gold(spark, warehouse, load_mode, buckets, parts)
     return PipelineResult(raw, batches, built)

@@ -11,13 +11,12 @@ from hackney.schemas import BATCH_LOG, SILVER
 from hackney.sources.storage import append_small, delete_path, read_or_empty
 from hackney.sources.tables import KeyedTable
 
-# More loads than this are not spelled out as a partition filter.
-MAX_LISTED_LOADS = 1000
 
-
-def silver_table(spark: SparkSession, warehouse: str, buckets: int = 64) -> KeyedTable:
+def silver_table(
+    spark: SparkSession, warehouse: str, buckets: int = 64, parts: int = 1
+) -> KeyedTable:
     path = f"{warehouse}/silver/transactions_clean"
-    return KeyedTable(spark, path, SILVER, ["id"], buckets)
+    return KeyedTable(spark, path, SILVER, ["id"], buckets, parts)
 
 
 def batch_log(spark: SparkSession, warehouse: str, layer: str = "silver") -> DataFrame:
@@ -60,6 +59,7 @@ def build_silver(
     load_mode: str = "incremental",
     buckets: int = 64,
     strict: bool = False,
+    parts: int = 1,
 ) -> list[int]:
     """Merge all pending batches in one pass; returns their numbers, ascending.
 
@@ -79,15 +79,13 @@ def build_silver(
     numbers = [r.batch_no for r in pending.select("batch_no").distinct().collect()]
     if numbers:
         loads = [r.load_id for r in pending.select("load_id").distinct().collect()]
-        raw = transactions_raw(
-            spark, warehouse, loads if len(loads) <= MAX_LISTED_LOADS else None
-        )
+        raw = transactions_raw(spark, warehouse, loads)
         judged = silver_rows(raw.join(pending, ["load_id", "batch_no"], "left_semi"))
         if strict:
             twice = repeated_keys(judged.where("is_valid"), ["batch_no", "id"]).first()
             if twice:
                 raise ValueError(f"id {twice.id!r} occurs twice in batch {twice.batch_no}")
-        silver_table(spark, warehouse, buckets).merge(latest_valid(judged))
+        silver_table(spark, warehouse, buckets, parts).merge(latest_valid(judged))
         log_batches(spark, warehouse, pending)
     delete_path(spark, path)
     return sorted(numbers)

@@ -79,8 +79,13 @@ class KeyedTable:
             return no_rows(self.spark, self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
-    def read(self) -> DataFrame:
-        return self._read(self._versions())
+    def read(self, after: int = 0) -> DataFrame:
+        """The rows; of buckets written after version ``after`` only, if given."""
+        return self._read({b: v for b, v in self._versions().items() if v > after})
+
+    def version(self) -> int:
+        """The newest version; 0 for a table never written."""
+        return max(self._versions().values(), default=0)
 
     def drop_replaced(self, keep: int = 2) -> int:
         """Delete bucket versions older than the newest ``keep``; returns how many.
@@ -134,15 +139,16 @@ class KeyedTable:
     def _rewrite(self, rows, touched, versions, version, keep) -> None:
         stored = self._read({b: versions[b] for b in touched if b in versions})
         stored = stored.withColumn("bucket", self._hash(self.buckets, 0))
-        part = self._hash(self.parts, 1)
+        # Each bucket has ``parts`` tasks of its own; those of others have no rows.
+        task = (F.col("bucket") * self.parts + self._hash(self.parts, 1)).cast("int")
         merged = merge_by_key(
-            stored.withColumn("_part", part),
-            rows.withColumn("_part", part),
+            stored.withColumn("_task", task),
+            rows.withColumn("_task", task),
             self.keys,
             keep,
-            partition_columns=["bucket", "_part"],
-            partitions=len(touched) * self.parts,
-        ).drop("_part")
+            partition_columns=["_task"],
+            partitions=self.buckets * self.parts,
+        ).drop("_task")
         # Mode overwrite: a version left by a job that died is written anew.
         data = f"{self.path}/data/version={version}"
         merged.write.mode("overwrite").partitionBy("bucket").parquet(data)

@@ -50,6 +50,7 @@ def process_arrivals(
     checkpoint: str,
     chunk_size: int = DEFAULT_CHUNK_SIZE,
     buckets: int = 64,
+    parts: int = 1,
     max_files_per_trigger: int | None = None,
     after_load: Callable[[int], None] | None = None,
 ) -> StreamingQuery:
@@ -58,8 +59,8 @@ def process_arrivals(
     def load(files: DataFrame, batch_id: int) -> None:
         session = files.sparkSession
         ingest_files(session, files, warehouse, "incremental", chunk_size)
-        build_silver(session, warehouse, "incremental", buckets)
-        build_gold(session, warehouse, "incremental", buckets)
+        build_silver(session, warehouse, "incremental", buckets, parts=parts)
+        build_gold(session, warehouse, "incremental", buckets, parts)
         if after_load:
             after_load(batch_id)
 

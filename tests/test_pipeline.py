@@ -13,6 +13,7 @@ from hackney.plans.ingest import (
 )
 from hackney.plans.pipeline import run_pipeline
 from hackney.plans.silver import batch_log, build_silver, rejects, silver_table
+from hackney.sources.tables import KeyedTable
 from hackney.streaming.arrivals import process_arrivals
 from trip_files import csv_text, many, trip, write_csv
 
@@ -312,6 +313,41 @@ def test_star_schema(spark, tmp_path):
     assert {(r.id, r.month) for r in report.collect()} == {("a", 3), ("b", 2), ("c", 2)}
 
 
+def test_gold_reads_only_what_silver_has_changed(spark, tmp_path, monkeypatch):
+    write_csv(tmp_path / "in/a.csv", many(200))
+    paths = str(tmp_path / "in"), str(tmp_path / "wh")
+    run_pipeline(spark, *paths, chunk_size=1000, buckets=16)
+    write_csv(tmp_path / "in/b.csv", [trip(id="m7", passenger_count="4"), trip(id="fresh")])
+    opened = []
+    read = KeyedTable.read
+
+    def spied(table, after=0):
+        rows = read(table, after)
+        if "silver" in table.path:
+            opened.append(len(rows.inputFiles()))
+        return rows
+
+    monkeypatch.setattr(KeyedTable, "read", spied)
+    run_pipeline(spark, *paths, chunk_size=1000, buckets=16)
+    assert len(opened) == 1 and 1 <= opened[0] <= 2
+    monkeypatch.undo()
+    facts = fact_trips(spark, str(tmp_path / "wh"), 16).read()
+    assert facts.count() == 201 and facts.where("id = 'm7'").first().passenger_count == 4
+
+
+def test_many_loads_are_read_by_their_directories(spark, tmp_path):
+    wh = str(tmp_path / "wh")
+    for n in range(3):
+        write_csv(tmp_path / f"in/f{n}.csv", many(2, start=10 * n))
+        ingest(spark, str(tmp_path / "in"), wh)
+    loads = [r.load_id for r in load_log(spark, wh).collect()]
+    stray = tmp_path / "wh/raw/transactions_raw/load_id=dead"
+    transactions_raw(spark, wh).drop("load_id").write.parquet(str(stray))
+    assert transactions_raw(spark, wh).count() == 6
+    one = transactions_raw(spark, wh, loads[:1] * 1001)
+    assert all(loads[0] in f for f in one.inputFiles()) and "load_id" in one.columns
+
+
 def test_arrivals_stream_is_repeatable(spark, tmp_path):
     write_csv(tmp_path / "in/a.csv", many(5))
     wh, seen = str(tmp_path / "wh"), []

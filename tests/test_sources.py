@@ -68,6 +68,27 @@ def test_keyed_table_rewrites_only_touched_buckets(spark, tmp_path):
         KeyedTable(spark, path, schema, ["k"], buckets=4).read()
 
 
+def test_every_bucket_has_tasks_of_its_own(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("v", T.StringType())])
+    table = KeyedTable(spark, str(tmp_path / "t"), schema, ["k"], buckets=64, parts=2)
+    table.merge(spark.range(5000).selectExpr("CAST(id AS INT) AS k", "'x' AS v"))
+    files = [p.name for p in (tmp_path / "t/data").glob("version=1/bucket=*/*.parquet")]
+    # A task writes a file per bucket it holds: 128 tasks, one bucket each.
+    assert len(files) == 128 == len({name.split("-")[1] for name in files})
+
+
+def test_a_read_after_a_version_opens_only_later_files(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("v", T.StringType())])
+    table = KeyedTable(spark, str(tmp_path / "t"), schema, ["k"], buckets=8)
+    table.merge(spark.range(100).selectExpr("CAST(id AS INT) AS k", "'x' AS v"))
+    assert table.version() == 1
+    table.merge(spark.createDataFrame([(5, "new")], schema))
+    later = table.read(after=1)
+    assert {f.split("/version=")[1][0] for f in later.inputFiles()} == {"2"}
+    assert later.where("v = 'new'").count() == 1 and later.count() < 100
+    assert table.read(after=2).count() == 0 and table.read().count() == 100
+
+
 def test_single_bucket_table_without_rows(spark, tmp_path):
     table = KeyedTable(spark, str(tmp_path / "d"), DIM_DATE, ["date_id"], buckets=1)
     empty = spark.createDataFrame([], DIM_DATE)
