@@ -149,6 +149,9 @@ FROM grouped"""
 
 
 # Raw text with defects, cast and judged.
+OWN_ID = """CAST(CASE WHEN event_id % 4 = 1 AND event_id >= 1999 THEN event_id - 1999
+             ELSE event_id END AS VARCHAR)"""
+
 DIRTY = f"""{TRIPS},
 dirty AS (
     SELECT
@@ -156,8 +159,8 @@ dirty AS (
         CAST(event_id // 1000 + 1 AS INTEGER) AS batch_no,
         CASE WHEN event_id % 101 = 1 THEN '  '
              WHEN event_id % 103 = 2 THEN NULL
-             WHEN event_id % 5 = 0 THEN ' ' || id || ' '
-             ELSE id END AS id,
+             WHEN event_id % 5 = 0 THEN ' ' || {OWN_ID} || ' '
+             ELSE {OWN_ID} END AS id,
         CASE WHEN event_id % 47 = 3 THEN 'x'
              WHEN event_id % 53 = 4 THEN '1.0'
              WHEN event_id % 59 = 5 THEN ' 2 '
@@ -241,7 +244,10 @@ typed AS (
     FROM dirty
 ),
 judged AS (SELECT *, {ERROR_TEXT} AS validation_error FROM typed),
-silver AS (SELECT * FROM judged WHERE validation_error = '')"""
+silver AS (
+    SELECT * FROM judged WHERE validation_error = ''
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY batch_no DESC, raw_id DESC) = 1
+)"""
 
 TRIP = f"""id, vendor_id, pickup_datetime, dropoff_datetime, passenger_count,
     {_six(*COORDINATES)}, store_and_fwd_flag, trip_duration"""
@@ -368,6 +374,13 @@ WHERE NOT EXISTS (SELECT 1 FROM corrections WHERE corrections.id = trips.id)""",
 SELECT CAST(o_orderkey // 1000 + 1 AS INTEGER) AS batch_no, o_orderkey, o_custkey,
     round(o_totalprice, 6) AS o_totalprice
 FROM orders WHERE CAST(o_orderkey // 1000 + 1 AS INTEGER) NOT IN ({DONE})""",
+    "batch_equality": f"""
+WITH pending AS (
+    SELECT max(batch_no) AS last FROM ({BATCHES}) WHERE batch_no NOT IN ({DONE})
+)
+SELECT CAST(o_orderkey // 1000 + 1 AS INTEGER) AS batch_no, o_orderkey, o_custkey,
+    round(o_totalprice, 6) AS o_totalprice
+FROM orders, pending WHERE CAST(o_orderkey // 1000 + 1 AS INTEGER) = last""",
     "batch_assignment": """
 SELECT o_orderkey, o_custkey,
     CAST(42 + (row_number() OVER (ORDER BY o_orderkey) - 1) // 700 AS INTEGER) AS batch_no

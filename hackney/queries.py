@@ -365,6 +365,18 @@ def batch_scan(spark, sf_dir):
     )
 
 
+@query
+def batch_equality(spark, sf_dir):
+    """The rows of one batch, the last one pending, by equality."""
+    rows = _batches(spark, sf_dir, "orders", "o_orderkey")
+    last = _pending(spark, sf_dir).agg(F.max("batch_no")).first()[0]
+    return rounded(
+        rows.where(F.col("batch_no") == F.lit(last)).select(
+            "batch_no", "o_orderkey", "o_custkey", "o_totalprice"
+        )
+    )
+
+
 @query
 def batch_assignment(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")

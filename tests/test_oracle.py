@@ -1,4 +1,4 @@
-"""Every registered query against its hand-written SQL, at sf0.01."""
+"""Every query of the library against its hand-written SQL, at sf0.01."""
 
 import os
 
@@ -7,6 +7,8 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as contract
+from hackney.oracle import ORACLE
+from hackney.queries import QUERIES
 
 SF_DIR = os.environ.get("HACKNEY_TEST_SF_DIR", "/root/testdata/sf0.01")
 
@@ -38,10 +40,13 @@ def canonical(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def test_every_query_has_an_oracle():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert QUERIES.items() <= contract.queries().items()
+    assert ORACLE.items() <= contract.oracle_sql().items()
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, duck, name):
     ours = canonical(contract.queries()[name](spark, SF_DIR).toPandas())
     theirs = canonical(duck.sql(contract.oracle_sql()[name]).df())
@@ -50,3 +55,12 @@ def test_query_equals_oracle(spark, duck, name):
     pd.testing.assert_frame_equal(
         ours, theirs, check_dtype=False, rtol=0, atol=1e-9, check_column_type=False
     )
+
+
+def test_ids_repeat_among_valid_and_invalid_rows(spark):
+    from hackney.adapters import trip_texts
+
+    ids = trip_texts(spark, SF_DIR).selectExpr("trim(id) AS id").where("id <> ''")
+    assert ids.distinct().count() < 0.85 * ids.count()
+    valid = QUERIES["silver_validate"](spark, SF_DIR).where("is_valid").count()
+    assert QUERIES["silver_build"](spark, SF_DIR).count() < valid
