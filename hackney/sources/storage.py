@@ -84,6 +84,13 @@ def child_directories(spark: SparkSession, path: str) -> list[str]:
     return [child.toString() for child in found if "=" in child.getName()]
 
 
+def child_files(spark: SparkSession, path: str) -> list[str]:
+    """Data files right below ``path``; markers and checksums aside."""
+    files, target = _hadoop(spark, path)
+    found = [entry.getPath() for entry in files.listStatus(target) if entry.isFile()]
+    return [child.toString() for child in found if child.getName()[0] not in "_."]
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a directory this library wrote itself."""
     files, target = _hadoop(spark, path)

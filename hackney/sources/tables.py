@@ -1,24 +1,30 @@
-"""Keyed tables kept as Parquet: an upsert rewrites only the buckets it touches."""
+"""Keyed tables kept as Parquet: an upsert rewrites only the files it hits."""
+
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hackney.operators.latest import merge_by_key
 from hackney.sources.storage import (
     append_small,
     child_directories,
+    child_files,
     control_rows,
     delete_path,
+    literal,
     no_rows,
     read_or_empty,
 )
 
-VERSIONS = T.StructType(
+# One row for each file a version adds or takes out.
+FILES = T.StructType(
     [
         T.StructField("version", T.IntegerType()),
         T.StructField("bucket", T.IntegerType()),
         T.StructField("buckets", T.IntegerType()),
+        T.StructField("file", T.StringType()),
+        T.StructField("live", T.BooleanType()),
         T.StructField("committed_at", T.TimestampType()),
     ]
 )
@@ -27,13 +33,15 @@ VERSIONS = T.StructType(
 class KeyedTable:
     """A table with at most one row per key.
 
-    Rows lie in ``buckets`` directories by a hash of the key. A merge writes the
-    touched buckets under a new version and then appends one small file that
-    says so; readers take the newest version of each bucket. A job that dies
-    before that append leaves the table as it was.
+    Rows lie in files below ``buckets`` directories by a hash of the key. A merge
+    looks for its keys in the key column of the touched buckets, writes the rows of
+    the files that hold some of them, and the new rows, to new files, and then
+    appends one small file to the log that says which files came and went. Keys
+    that are new leave all stored files alone. A job that dies before that append
+    leaves the table as it was.
 
-    A rewrite runs in one task per touched bucket, or ``parts`` tasks for each.
-    One writer at a time.
+    New rows are written by one task per bucket, or ``parts`` tasks for each. Merges
+    leave small files; ``compact`` joins them. One writer at a time.
     """
 
     def __init__(
@@ -55,113 +63,152 @@ class KeyedTable:
     def _hash(self, modulus: int, seed: int) -> Column:
         return F.pmod(F.xxhash64(F.lit(seed), *self.keys), F.lit(modulus)).cast("int")
 
-    def _versions(self) -> dict[int, int]:
-        """Newest version of every bucket; at most ``buckets`` entries."""
-        log = read_or_empty(self.spark, f"{self.path}/versions", VERSIONS)
-        newest = (
-            log.groupBy("bucket")
-            .agg(F.max("version").alias("version"), F.max("buckets").alias("buckets"))
+    def _log(self) -> DataFrame:
+        return read_or_empty(self.spark, f"{self.path}/files", FILES)
+
+    def _live(self, any_layout: bool = False) -> list:
+        """The files that hold the table, with version and bucket.
+
+        The list is as long as the one Spark's own file index holds for a read.
+        """
+        live = (
+            self._log()
+            .groupBy("file", "bucket", "buckets")
+            .agg(F.min("version").alias("version"), F.min("live").alias("live"))
+            .where("live")
             .collect()
         )
-        for row in newest:
-            if row.buckets != self.buckets:
+        for row in live:
+            if row.buckets != self.buckets and not any_layout:
                 raise ValueError(
                     f"{self.path} has {row.buckets} buckets, not {self.buckets}"
                 )
-        return {row.bucket: row.version for row in newest}
+        return live
 
-    def _read(self, versions: dict[int, int]) -> DataFrame:
-        paths = [
-            f"{self.path}/data/version={version}/bucket={bucket}"
-            for bucket, version in sorted(versions.items())
-        ]
+    def _read(self, files: Iterable, schema: T.StructType | None = None) -> DataFrame:
+        paths = sorted(literal(f"{self.path}/data/{row.file}") for row in files)
         if not paths:
-            return no_rows(self.spark, self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
+            return no_rows(self.spark, schema or self.schema)
+        return self.spark.read.schema(schema or self.schema).parquet(*paths)
 
     def read(self, after: int = 0) -> DataFrame:
-        """The rows; of buckets written after version ``after`` only, if given."""
-        return self._read({b: v for b, v in self._versions().items() if v > after})
+        """The rows; of files written after version ``after`` only, if given."""
+        return self._read(row for row in self._live() if row.version > after)
 
     def version(self) -> int:
         """The newest version; 0 for a table never written."""
-        return max(self._versions().values(), default=0)
+        return self._log().agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first().v
 
     def drop_replaced(self, keep: int = 2) -> int:
-        """Delete bucket versions older than the newest ``keep``; returns how many.
+        """Delete files that none of the newest ``keep`` versions holds; how many.
 
         A reader that started before the last ``keep - 1`` merges may still be
-        reading what this deletes.
+        reading what this deletes. Files of jobs that died go as well.
         """
         if keep < 1:
             raise ValueError(f"keep must be at least 1, not {keep}")
-        log = read_or_empty(self.spark, f"{self.path}/versions", VERSIONS)
-        newest = F.slice(F.sort_array(F.collect_set("version"), asc=False), 1, keep)
-        kept = {
-            row.bucket: set(row.versions)
-            for row in log.groupBy("bucket").agg(newest.alias("versions")).collect()
-        }
-        last = max((max(versions) for versions in kept.values()), default=0)
+        log = self._log().select("version", "file", "live").collect()
+        versions = sorted({row.version for row in log})
+        if not versions:
+            return 0
+        oldest = versions[-keep:][0]
+        gone = {row.file for row in log if not row.live and row.version <= oldest}
+        known = {row.file for row in log}
         dropped = 0
         for version in child_directories(self.spark, f"{self.path}/data"):
-            number = int(version.rpartition("=")[2])
             # A later version is one a merge is writing now.
-            if number > last:
+            if int(version.rpartition("=")[2]) > versions[-1]:
                 continue
             for bucket in child_directories(self.spark, version):
-                if number not in kept.get(int(bucket.rpartition("=")[2]), ()):
-                    delete_path(self.spark, bucket)
-                    dropped += 1
+                for path in child_files(self.spark, bucket):
+                    name = _relative(path)
+                    if name in gone or name not in known:
+                        delete_path(self.spark, path)
+                        dropped += 1
         return dropped
 
     def merge(self, incoming: DataFrame, keep: str = "incoming") -> None:
-        """Upsert ``incoming``, which holds a key at most once."""
-        versions = self._versions()
-        version = max(versions.values(), default=0) + 1
+        """Upsert ``incoming``, which holds a key at most once.
+
+        On a shared key ``keep="incoming"`` replaces the stored row and
+        ``keep="stored"`` leaves it.
+        """
+        if keep not in ("incoming", "stored"):
+            raise ValueError(f"keep must be 'incoming' or 'stored', not {keep!r}")
+        version = self.version() + 1
         rows = incoming.select(*self.schema.names).withColumn(
             "bucket", self._hash(self.buckets, 0)
         )
-        if self.buckets == 1:
-            if versions or not rows.isEmpty():
-                self._rewrite(rows, [0], versions, version, keep)
-            return
-
         # Written out once: it decides which buckets are touched, and the merge
         # then reads rows whose size is known and whose lineage is short.
         stage = f"{self.path}/stage/version={version}"
         rows.write.mode("overwrite").parquet(stage)
         staged = self.spark.read.schema(rows.schema).parquet(stage)
-        touched = sorted(r.bucket for r in staged.select("bucket").distinct().collect())
+        touched = {r.bucket for r in staged.select("bucket").distinct().collect()}
         if touched:
-            self._rewrite(staged, touched, versions, version, keep)
+            self._merge(staged, touched, version, keep)
         delete_path(self.spark, stage)
 
-    def _rewrite(self, rows, touched, versions, version, keep) -> None:
-        stored = self._read({b: versions[b] for b in touched if b in versions})
-        stored = stored.withColumn("bucket", self._hash(self.buckets, 0))
+    def _merge(self, staged: DataFrame, touched: set[int], version: int, keep: str) -> None:
+        near = {row.file: row for row in self._live() if row.bucket in touched}
+        new = staged.drop("bucket")
+        if not near:
+            self._write(new, version, [])
+            return
+        # Only the key columns of the touched buckets are read here.
+        key_schema = T.StructType([f for f in self.schema.fields if f.name in self.keys])
+        stored = self._read(near.values(), key_schema)
+        if keep == "stored":
+            fresh = self._matched(new, stored, "left_anti")
+            self._write(fresh, version, [])
+            return
+        at = stored.select(*self.keys, F.col("_metadata.file_path").alias("_file"))
+        found = self._matched(at, new, "left_semi").select("_file").distinct().collect()
+        hit = [near[_relative(row["_file"])] for row in found]
+        kept = self._matched(self._read(hit), new, "left_anti")
+        self._write(kept.unionByName(new), version, hit)
+
+    def _matched(self, rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
+        keys = others.select(*[F.col(k).alias(f"_{k}") for k in self.keys])
+        same = [rows[k].eqNullSafe(keys[f"_{k}"]) for k in self.keys]
+        return rows.join(keys, same, how)
+
+    def _write(self, rows: DataFrame, version: int, replaced: list) -> None:
+        """New files of ``rows``, then the log entry that also ends ``replaced``."""
         # Each bucket has ``parts`` tasks of its own; those of others have no rows.
-        task = (F.col("bucket") * self.parts + self._hash(self.parts, 1)).cast("int")
-        merged = merge_by_key(
-            stored.withColumn("_task", task),
-            rows.withColumn("_task", task),
-            self.keys,
-            keep,
-            partition_columns=["_task"],
-            partitions=self.buckets * self.parts,
-        ).drop("_task")
+        bucket = self._hash(self.buckets, 0)
+        task = (bucket * self.parts + self._hash(self.parts, 1)).cast("int")
         # Mode overwrite: a version left by a job that died is written anew.
         data = f"{self.path}/data/version={version}"
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(data)
+        rows.withColumn("bucket", bucket).repartitionById(
+            self.buckets * self.parts, task
+        ).write.mode("overwrite").partitionBy("bucket").parquet(data)
+        added = [
+            (version, int(bucket.rpartition("=")[2]), self.buckets, _relative(path), True)
+            for bucket in child_directories(self.spark, data)
+            for path in child_files(self.spark, bucket)
+        ]
+        ended = [(version, r.bucket, r.buckets, r.file, False) for r in replaced]
+        if not added and not ended:
+            return
+        entries = control_rows(self.spark, added + ended, FILES.names[:-1]).withColumn(
+            "committed_at", F.current_timestamp()
+        )
         append_small(
-            control_rows(
-                self.spark,
-                [(version, bucket, self.buckets) for bucket in touched],
-                ["version", "bucket", "buckets"],
-            ).select(
-                F.col("version").cast("int"),
-                F.col("bucket").cast("int"),
-                F.col("buckets").cast("int"),
-                F.current_timestamp().alias("committed_at"),
-            ),
-            f"{self.path}/versions",
+            entries.select(*[F.col(f.name).cast(f.dataType) for f in FILES.fields]),
+            f"{self.path}/files",
         )
+
+    def compact(self) -> None:
+        """Rewrite the whole table into one file per bucket and part.
+
+        A table made with other ``buckets`` takes this object's number on the way.
+        """
+        live = self._live(any_layout=True)
+        if live:
+            self._write(self._read(live), self.version() + 1, live)
+
+
+def _relative(path: str) -> str:
+    """``version=<n>/bucket=<n>/<name>`` of a data file, however the path is spelt."""
+    return "/".join(path.split("/")[-3:])
