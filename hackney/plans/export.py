@@ -6,11 +6,15 @@ from datetime import date
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from hackney.operators.numbering import rows_before
 from hackney.plans.gold import fact_trips
 from hackney.plans.products import PRODUCTS
+from hackney.sources.storage import delete_path
 
 DEFAULT_MAX_ROWS = 1000
 ALL_ROWS = -1
+# A limit up to this is taken as a top-k by one task and written as one file.
+ONE_TASK_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -33,6 +37,25 @@ def newest_first(product: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFr
     return ordered if max_rows == ALL_ROWS else ordered.limit(max_rows)
 
 
+def _first_rows(product: DataFrame, max_rows: int, stage: str) -> DataFrame:
+    """Exactly the first ``max_rows`` of ``newest_first``, by many tasks.
+
+    The sorted rows are written with their place in their sort range. Counting the
+    ranges tells how many rows lie before each, and so which rows to keep.
+    """
+    spark = product.sparkSession
+    newest_first(product, ALL_ROWS).withColumn(
+        "_mark", F.monotonically_increasing_id()
+    ).write.mode("overwrite").parquet(stage)
+    # The upper bits of a mark are the number of its sort range.
+    rows = spark.read.parquet(stage).withColumn("_range", F.shiftright("_mark", 33))
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = rows_before(sizes, "_range", "_size").select("_range", "rows_before")
+    place = F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("rows_before")
+    kept = rows.join(before, "_range").where(place < max_rows)
+    return newest_first(kept.select(*product.columns), ALL_ROWS)
+
+
 def export_product(
     product: DataFrame,
     name: str,
@@ -42,22 +65,28 @@ def export_product(
 ) -> ExportResult:
     """Write one product below ``<out>/products/<name>/export_date=<day>``.
 
-    The same day is replaced, other days stay. A limited export is one file.
+    The same day is replaced, other days stay. An export of at most ``ONE_TASK_ROWS``
+    rows is one file; a larger one is as many as its sort has ranges.
     """
     day = (export_date or date.today()).isoformat()
     root = f"{out}/products/{name}"
     path = f"{root}/export_date={day}"
     seen = Observation(f"export_{name}")
-    rows = newest_first(product, max_rows).observe(
-        seen, F.count(F.lit(1)).alias("rows")
-    )
-    if max_rows != ALL_ROWS:
+    stage = f"{out}/products/_stage/{name}"
+    if max_rows > ONE_TASK_ROWS:
+        rows = _first_rows(product, max_rows, stage)
+    else:
+        rows = newest_first(product, max_rows)
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
+    if ALL_ROWS < max_rows <= ONE_TASK_ROWS:
         rows = rows.coalesce(1)
     # Dynamic mode swaps the day in only after the job has succeeded.
     rows.withColumn("export_date", F.lit(day)).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("export_date").parquet(root)
     count = seen.get["rows"]
+    if max_rows > ONE_TASK_ROWS:
+        delete_path(product.sparkSession, stage)
     if count == 0:
         # No rows make no partition, and the day must not keep an old export.
         product.limit(0).coalesce(1).write.mode("overwrite").parquet(path)

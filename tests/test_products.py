@@ -203,3 +203,25 @@ def test_scans_read_only_the_columns_they_need(spark, tmp_path):
     schema = plan[plan.index("ReadSchema") :].split("\n")[0]
     assert "trip_duration" not in schema and "pickup_latitude" in schema
     assert "updated_at" not in plan_of(eta_training(stored))
+
+
+@pytest.mark.parametrize("limit", [11, 37, 150, 500])
+def test_a_large_limited_export_has_exactly_the_first_rows(spark, tmp_path, monkeypatch, limit):
+    from hackney.plans import export
+
+    monkeypatch.setattr(export, "ONE_TASK_ROWS", 10)
+    start = datetime(2024, 5, 1)
+    trips = fact(spark, [start + timedelta(minutes=n // 5) for n in range(200)])
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        result = export_product(trips, "plain", str(tmp_path), limit, date(2024, 6, 1))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    want = newest_first(trips, limit).collect()
+    day = tmp_path / "products/plain/export_date=2024-06-01"
+    files = sorted(day.glob("*.parquet"))
+    got = [r for f in files for r in spark.read.parquet(str(f)).select(*trips.columns).collect()]
+    assert result.rows == len(want) and got == want
+    assert limit < 100 or len(files) > 1
+    assert not (tmp_path / "products/_stage/plain").exists()
