@@ -8,12 +8,17 @@ JVM warm-up out.
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from hackney.queries import QUERIES  # noqa: E402
+from hackney.schemas import SILVER  # noqa: E402
 from hackney.session import local_session  # noqa: E402
+from hackney.sources.tables import KeyedTable  # noqa: E402
 
 HEADLINE = [
     "eta_training",
@@ -47,7 +52,22 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return round(time.perf_counter() - start, 3)
 
+    def merge() -> float:
+        """One row of a hundred of the stored silver rows, changed, and as many new."""
+        folder = tempfile.mkdtemp(prefix="hackney-bench-")
+        rows = QUERIES["silver_build"](spark, sf_dir).withColumn(
+            "updated_at", F.current_timestamp()
+        )
+        table = KeyedTable(spark, folder, SILVER, ["id"], buckets=16)
+        table.merge(rows)
+        batch = rows.where(F.pmod(F.xxhash64("id"), F.lit(100)) == 0)
+        new = batch.withColumn("id", F.concat(F.lit("new"), "id"))
+        start = time.perf_counter()
+        table.merge(batch.unionByName(new))
+        return round(time.perf_counter() - start, 3)
+
     times = {name: min(run(name), run(name)) for name in HEADLINE}
+    times["merge_one_percent"] = min(merge(), merge())
     print(
         json.dumps(
             {
