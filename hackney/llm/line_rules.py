@@ -2,15 +2,13 @@
 
 Each line that has a word is judged by itself. It fails
 
-* as navigation: it is a list of short entries between separators, or only a
-  few words without closing punctuation;
+* as navigation: it is a list of short entries between separators;
 * by punctuation: many of its characters are symbols, or no word in it ends in
   closing punctuation;
 * as boilerplate: it holds a phrase of the list, or is equal to an earlier line.
 
-Failing lines are removed. A text is rejected if more than ``LOSS`` of its word
-characters go with them, or if the base rules fail. A text of one line is
-judged like any other.
+Failing lines are removed. A text is rejected if more than ``LOSS`` of the characters
+in its lines go with them, or if the base rules fail.
 
 DataFrame functions only, and no shuffle: each row is judged in its own task.
 """
@@ -41,61 +39,48 @@ BOILERPLATE = (
     "skip to content",
     "lorem ipsum",
 )
-SHORT_LINE = 3  # words
 ENTRIES = 3  # separators of a navigation line
+ENTRY_CHARS = 24  # characters to each of them, at most
 SYMBOL_SHARE = 15  # hundredths of the characters of a line
-LOSS = 50  # hundredths of the characters in words
+LOSS = 50  # hundredths of the characters in lines
 MIN_WORDS = 50
 REPEATED = 50  # hundredths of the words
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, GAP), lambda w: w != "")
+    return F.array_remove(F.split(text, GAP), "")
 
 
 def repeated_words(words: Column) -> Column:
     """Words in three-word windows that occur twice or more, the first included.
 
-    Windows are sorted by a 96-bit fingerprint with their place, so equal ones
-    are neighbours; the places found are sorted again, and each adds the words
-    that the one before it does not cover.
+    Few texts repeat a window, and those are told apart by a set of fingerprints. In
+    the others windows are sorted by a 96-bit fingerprint with their place, so
+    equal ones are neighbours; the places found are sorted again, and each adds
+    the words that the one before it does not cover.
     """
     last = F.size(words) - 2
+    places = F.sequence(F.lit(0), last - 1)
+    three = lambda i: (F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    prints = F.transform(places, lambda i: F.xxhash64(*three(i)))
     windows = F.transform(
-        F.sequence(F.lit(0), last - 1),
-        lambda i: F.struct(
-            F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("a"),
-            F.hash(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("b"),
-            i.alias("at"),
-        ),
+        places,
+        lambda i: F.struct(F.xxhash64(*three(i)).alias("a"), F.hash(*three(i)).alias("b"), i.alias("at")),
     )
-    return F.when(last >= 2, covered(F.array_sort(windows))).otherwise(F.lit(0)).cast("long")
+    none = (last < 2) | (F.size(F.array_distinct(prints)) == last)
+    return F.when(none, F.lit(0)).otherwise(covered(F.sort_array(windows))).cast("long")
 
 
 def covered(windows: Column) -> Column:
-    # transform(x, (w, k) -> ...) sees its neighbours through the array of a struct
-    # made once; slices and zips keep that linear.
-    held = F.transform(F.array(windows), lambda w: _covered_of(w))
-    return F.get(held, F.lit(0))
+    # The array of one array makes the sorted windows a variable: sorted once.
+    return F.get(F.transform(F.array(windows), _covered_of), F.lit(0))
 
 
 def _covered_of(w: Column) -> Column:
-    same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"])
-    places = F.array_sort(
-        F.filter(
-            F.transform(
-                w,
-                lambda x, k: F.when(
-                    F.coalesce(same(x, F.get(w, k - 1)), F.lit(False))
-                    | F.coalesce(same(x, F.get(w, k + 1)), F.lit(False)),
-                    x["at"],
-                ),
-            ),
-            lambda x: x.isNotNull(),
-        )
-    )
+    same = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]), F.lit(False))
+    found = F.filter(w, lambda x, k: same(x, F.get(w, k - 1)) | same(x, F.get(w, k + 1)))
     return F.aggregate(
-        places,
+        F.sort_array(F.transform(found, lambda x: x["at"])),
         F.struct(F.lit(0).alias("n"), F.lit(-3).alias("before")),
         lambda acc, x: F.struct(
             (acc["n"] + F.least(F.lit(3), x - acc["before"])).alias("n"), x.alias("before")
@@ -105,16 +90,18 @@ def _covered_of(w: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    words = F.size(words_of(line))
     separators = F.regexp_count(line, F.lit(SEPARATED))
     symbols = F.regexp_count(line, F.lit(SYMBOLS))
-    closed = F.regexp_like(line, F.lit(CLOSED))
     lower = F.lower(line)
     phrase = F.lit(False)
     for p in BOILERPLATE:
         phrase = phrase | F.contains(lower, F.lit(p))
-    navigation = ((separators >= ENTRIES) & (separators * 4 >= words)) | ((words < SHORT_LINE) & ~closed)
-    return navigation | (symbols * 100 > F.length(line) * SYMBOL_SHARE) | ~closed | phrase
+    return (
+        ~F.regexp_like(line, F.lit(CLOSED))
+        | ((separators >= ENTRIES) & (separators * ENTRY_CHARS >= F.length(line)))
+        | (symbols * 100 > F.length(line) * SYMBOL_SHARE)
+        | phrase
+    )
 
 
 def clean_lines(documents: DataFrame) -> DataFrame:
@@ -128,20 +115,18 @@ def clean_lines(documents: DataFrame) -> DataFrame:
     d = d.select("doc_id", "text", F.split("text", "\n").alias("lines"), words_of(F.col("text")).alias("words"))
     d = d.select(
         "doc_id",
-        "text",
         F.filter("lines", lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))).alias("lines"),
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", GAP, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
     )
-    # Unlike array functions by hand, array_distinct keeps the first of equal lines in
-    # order, so earlier lines cost no comparison of all with all.
+    # array_distinct keeps the first of equal lines, by a set of hashes.
     d = d.withColumn("first_lines", F.array_distinct("lines"))
     d = d.withColumn("n_dup_lines", (F.size("lines") - F.size("first_lines")).cast("long"))
-    d = d.withColumn("clean_lines", F.filter("first_lines", lambda x: ~line_fails(x)))
-    d = d.withColumn("clean_text", F.array_join("clean_lines", "\n"))
-    lost = F.col("word_chars") - F.length(F.regexp_replace("clean_text", GAP, ""))
+    d = d.withColumn("chars", F.length(F.array_join("lines", "")))
+    d = d.withColumn("clean", F.filter("first_lines", lambda x: ~line_fails(x)))
+    lost = F.col("chars") - F.length(F.array_join("clean", ""))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEATED)
     return d.select(
         "doc_id",
@@ -151,8 +136,8 @@ def clean_lines(documents: DataFrame) -> DataFrame:
         "n_dup_lines",
         "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & (lost * 100 <= F.col("word_chars") * LOSS)).alias("kept"),
-        "clean_text",
+        (~failed & (lost * 100 <= F.col("chars") * LOSS)).alias("kept"),
+        F.array_join("clean", "\n").alias("clean_text"),
     )
 
 

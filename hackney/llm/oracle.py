@@ -27,8 +27,7 @@ twice as (
 ),
 hit as (select rid, count(distinct k + o) as n from twice, (values (0), (1), (2)) t(o) group by rid),
 line as (
-    select rid, line, length(regexp_replace(line, {gap}, '', 'g')) as chars,
-        len(list_filter(regexp_split_to_array(line, {gap}), lambda x: x <> '')) as n_words,
+    select rid, line, length(line) as chars,
         len(regexp_extract_all(line, {_quoted(lr.SEPARATED)})) as separators,
         len(regexp_extract_all(line, {symbols})) as symbols,
         regexp_matches(line, {_quoted(lr.CLOSED)}) as closed
@@ -37,21 +36,21 @@ line as (
 ),
 judged as (
     select distinct rid, line, chars,
-        (separators >= {lr.ENTRIES} and separators * 4 >= n_words)
-        or (n_words < {lr.SHORT_LINE} and not closed)
-        or symbols * 100 > length(line) * {lr.SYMBOL_SHARE}
+        (separators >= {lr.ENTRIES} and separators * {lr.ENTRY_CHARS} >= chars)
+        or symbols * 100 > chars * {lr.SYMBOL_SHARE}
         or not closed or {phrases} as fails
     from line
 ),
 lines as (
-    select rid, count(*) as n_lines, count(distinct line) as n_distinct from line group by rid
+    select rid, count(*) as n_lines, count(distinct line) as n_distinct, sum(chars) as all_chars
+    from line group by rid
 ),
 kept_lines as (select rid, sum(chars) as chars from judged where not fails group by rid),
 base as (
     select doc_id, len(words) as n_words, length(regexp_replace(text, {gap}, '', 'g')) as word_chars,
         len(regexp_extract_all(text, {symbols})) as n_symbols,
         coalesce(n_lines - n_distinct, 0) as n_dup_lines, coalesce(hit.n, 0) as n_repeat_words,
-        coalesce(kept_lines.chars, 0) as left_chars
+        coalesce(all_chars, 0) as all_chars, coalesce(kept_lines.chars, 0) as left_chars
     from d join w using (rid) left join hit using (rid) left join lines using (rid)
         left join kept_lines using (rid)
 ),
@@ -59,7 +58,7 @@ failed as (
     select *, n_words < {lr.MIN_WORDS} or n_repeat_words * 100 > n_words * {lr.REPEATED} as base_failed from base
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    not base_failed and (word_chars - left_chars) * 100 <= word_chars * {lr.LOSS} as kept
+    not base_failed and (all_chars - left_chars) * 100 <= all_chars * {lr.LOSS} as kept
 from failed
 """
 
