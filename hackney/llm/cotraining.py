@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linear import Sparse, choose_features, fit_logistic, labelled_sample, sigmoid
-from .scratch import stage
+from .scratch import small_batches, stage
 from .word_tokens import pieces
+from .worker import release
 
 LABELLED = 12_000
 POOL = 8_000
@@ -204,6 +205,7 @@ def learn(
     spark: SparkSession, documents: DataFrame, labels: DataFrame, rows: int = LABELLED, pool_rows: int = POOL
 ) -> Model | None:
     """The model, or None where labels of both classes are missing."""
+    small_batches(spark)
 
     @F.pandas_udf("text array<string>, meta array<string>")
     def spelled(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
@@ -224,7 +226,8 @@ def learn(
         .limit(pool_rows)
         .distinct()
     )
-    pool = documents.join(F.broadcast(picked), F.col("doc_id") == F.col("of")).select(views.alias("v"))
+    inputs = documents.select("doc_id", *documents_columns(documents))
+    pool = inputs.join(F.broadcast(picked), F.col("doc_id") == F.col("of")).select(views.alias("v"))
     vocabulary = [choose_features(known.select("y", F.col(c).alias("features")), VOCABULARY) for c in ("text", "meta")]
     labelled = known.orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
     if labelled["y"].nunique() < 2:
@@ -251,6 +254,7 @@ def scorer(spark: SparkSession, model: Model | None):
 
     @F.pandas_udf("score double, text_score double, meta_score double")
     def score(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
+        release()
         if held.value is None:
             return pd.DataFrame({c: [1.0] * len(text) for c in ("score", "text_score", "meta_score")})
         metas = [meta_features(*m) for m in zip(text, lang, source, n_chars, strict=True)]

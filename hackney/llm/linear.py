@@ -34,8 +34,8 @@ def labelled_sample(
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2)
         part = part.withColumn("weight", F.lit(max(1.0, totals.get(y, 0) / max(1, rows // 2))))
         chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = chosen.withColumnRenamed("doc_id", "of")
-    return documents.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select(*columns, "y", "weight")
+    inputs = documents.select(*dict.fromkeys(["doc_id", *columns]))
+    return inputs.join(F.broadcast(chosen), "doc_id").select(*columns, "y", "weight")
 
 
 def choose_features(rows: DataFrame, size: int, least: int = 4) -> list[str]:

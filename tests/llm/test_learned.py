@@ -36,11 +36,13 @@ def test_op10_on_held_out_rows(spark):
 
 def test_op10_learns_nothing_from_held_out_labels(spark):
     docs, labels = odd_docs(spark), odd_labels(spark)
-    flipped = labels.toPandas()
-    mask = flipped["doc_id"].map(held_out)
-    flipped.loc[mask, "toxic"] = 1 - flipped.loc[mask, "toxic"]
+    flipped = [
+        (r["doc_id"], r["quality"], 1 - r["toxic"] if held_out(r["doc_id"]) else r["toxic"])
+        for r in labels.collect()
+    ]
+    assert flipped != [tuple(r) for r in labels.collect()]
     a = tox.op10(spark, docs, labels)
-    b = tox.op10(spark, docs, spark.createDataFrame(flipped))
+    b = tox.op10(spark, docs, spark.createDataFrame(flipped, labels.schema))
     assert odd_rows.sorted_rows(a, "doc_id", "score") == odd_rows.sorted_rows(b, "doc_id", "score")
 
 
@@ -53,7 +55,7 @@ def labelled_texts(n=240):
         text = " ".join(rng.choice(words) for _ in range(30))
         # the group's name comes mostly with toxic words: a bias to be unlearned
         named = rng.random() < (0.9 if bad else 0.1)
-        rows.append((k, text + (" vilewort." if bad else ".") + (" they are muslim." if named else ""), int(bad)))
+        rows.append((k, text + (" vilewort." if bad else ".") + (f" {rng.choice(words)} muslim." if named else ""), int(bad)))
     return rows
 
 
@@ -74,7 +76,8 @@ def test_counterfactuals_take_the_weight_off_names_of_groups(spark):
     gap = lambda w: abs(w.get("muslim", 0.0) - w.get("jewish", 0.0))
     assert gap(plain) > 0.5 and gap(fair) < 0.3 * gap(plain)
     score = lambda w, t: float(sigmoid(b + sum(w.get(f, 0.0) for f in tox.features(t))))
-    assert score(fair, "they are muslim.") < 0.3 < score(fair, "vilewort vilewort.")
+    assert abs(score(fair, "muslim.") - score(fair, "")) < 0.1
+    assert score(fair, "vilewort muslim.") > score(fair, "muslim.") + 0.3
 
 
 def test_op10_bears_odd_and_empty_tables(spark):

@@ -36,8 +36,9 @@ def test_all_but_the_last_stage_return_the_columns_of_documents(stages):
 
 
 def test_quality_keeps_whole_rows_and_most_documents(stages):
+    # These 87 labels make no view sure enough to reject; test_learned.py has more.
     before, after = stages[0]
-    assert 0.7 * len(before) < len(after) < len(before)
+    assert 0.7 * len(before) < len(after) <= len(before)
     same = before.merge(after, on="doc_id", suffixes=("", "_after"))
     assert len(same) == len(after) and (same["text"] == same["text_after"]).all()
 
