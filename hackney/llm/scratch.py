@@ -21,6 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/hackney-{uuid.uuid4().hex}"
 
 
+#: Rows of a batch that a task hands to Python; batches hold whole texts.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch size, so that workers hold few texts at a time."""
+    rows = int(spark.conf.get(_BATCH_SETTING, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
+
 def stage(spark: SparkSession, df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written once as Parquet and read again: survives lost executors."""
     path = f"{shared_dir(spark)}/{name}"

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .components import components
-from .scratch import fresh, stage
+from .scratch import fresh, small_batches, stage
 from .word_tokens import pieces
+from .worker import release
 
 WORDS = 4
 SEED = 42
@@ -73,6 +74,7 @@ def fingerprint(text: str | None) -> int:
 
 @F.pandas_udf(LongType())
 def fingerprints(texts: pd.Series) -> pd.Series:
+    release()
     return texts.map(fingerprint, na_action=None).astype("int64")
 
 
@@ -206,6 +208,7 @@ def near_links(
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[np.ndarray] = []
         n = 0
 
@@ -261,6 +264,7 @@ def op6(spark: SparkSession, documents: DataFrame) -> DataFrame:
     Null and empty texts have fingerprint zero, linked like any other. Repeated rows
     are rows of their own in the same component; an empty table gives no rows.
     """
+    small_batches(spark)
     prints = stage(
         spark, documents.select("doc_id", fingerprints("text").alias("print")), "documents"
     )
@@ -277,6 +281,7 @@ def keep_one(spark: SparkSession, documents: DataFrame) -> DataFrame:
 
     Of repeated rows one stays. All columns are kept.
     """
+    small_batches(spark)
     print_, row = fresh(documents, "print"), fresh(documents, "row")
     held = stage(
         spark,

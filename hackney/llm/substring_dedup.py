@@ -39,7 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import fresh, shared_dir, stage
+from .scratch import fresh, shared_dir, small_batches, stage
+from .worker import release
 from .wu_manber import merged
 
 SIZE = 400
@@ -160,6 +161,7 @@ def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
 
 def find_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (row, text), each text whole."""
+    release()
     held: list[tuple[int, int, np.ndarray]] = []
     size = 0
 
@@ -191,6 +193,7 @@ def cut_blocks(block: int):
     """Blocks of the open rows of (row, text, runs), for ``mapInArrow``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -269,6 +272,7 @@ def numbered_texts(spark: SparkSession, documents: DataFrame, row: str) -> DataF
     The table's files lie in the shared folder; its name in the catalog is dropped at
     once, as the frame keeps all it needs.
     """
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_dir(spark)}/texts"
     name = f"hackney_texts_{uuid.uuid4().hex}"
@@ -298,11 +302,11 @@ def repeated_runs(spark: SparkSession, texts: DataFrame, row: str = "row") -> Da
     return repeated.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
 
 
-def removed(runs: list[dict] | None, size: int = SIZE) -> np.ndarray:
-    """Maximal removed runs [first, last) of a text."""
-    if runs is None or not len(runs):
+def removed(low: np.ndarray | None, high: np.ndarray | None, size: int = SIZE) -> np.ndarray:
+    """Maximal removed runs [first, last) of a text, from its runs of starts."""
+    if low is None or not len(low):
         return np.empty((0, 2), np.int64)
-    return merged(np.array([[r["low"], r["high"] + size] for r in runs], np.int64))
+    return merged(np.stack([low, np.asarray(high) + size], axis=1).astype(np.int64))
 
 
 def kept_parts(raw: bytes, gone: np.ndarray) -> Iterator[bytes]:
@@ -321,11 +325,13 @@ def op3(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             rows = []
-            for text, runs in zip(batch[1], batch[2], strict=True):
+            for text, low, high in zip(batch[1], batch[2], batch[3], strict=True):
                 raw = (text.as_py() or "").encode()
-                gone = removed(runs.as_py())
+                # Numbers in one array: a text may have very many runs.
+                gone = removed(*(x.values and x.values.to_numpy() for x in (low, high)))
                 kept = hashlib.sha256()
                 for part in kept_parts(raw, gone):
                     kept.update(part)
@@ -342,7 +348,7 @@ def op3(spark: SparkSession, documents: DataFrame) -> DataFrame:
     texts = numbered_texts(spark, slim, "row")
     return (
         texts.join(repeated_runs(spark, texts), "row", "left")
-        .select("doc_id", "text", "runs")
+        .select("doc_id", "text", "runs.low", "runs.high")
         .mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     )
 
@@ -355,10 +361,11 @@ def without_repeats(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """
 
     @F.pandas_udf("string")
-    def rest(texts: pd.Series, runs: pd.Series) -> pd.Series:
+    def rest(texts: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.Series:
+        release()
         out = []
-        for text, found in zip(texts, runs, strict=True):
-            gone = removed(found)
+        for text, low, high in zip(texts, lows, highs, strict=True):
+            gone = removed(low, high)
             if text is not None and len(gone):
                 text = b"".join(kept_parts(text.encode(), gone)).decode(errors="ignore")
             out.append(text)
@@ -369,7 +376,7 @@ def without_repeats(spark: SparkSession, documents: DataFrame) -> DataFrame:
     runs = repeated_runs(spark, texts, row)
     own, found = fresh(documents, "of"), fresh(documents, "runs")
     joined = texts.join(runs.toDF(own, found), F.col(row) == F.col(own), "left")
-    joined = joined.withColumn("text", rest("text", found))
+    joined = joined.withColumn("text", rest("text", f"{found}.low", f"{found}.high"))
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
         joined = joined.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), "n_chars"))

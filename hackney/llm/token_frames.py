@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import word_tokens
-from .scratch import shared_dir
+from .scratch import shared_dir, small_batches
 
 #: Fixed values of the public seekable format.
 SEEK_MAGIC = 0x184D2A5E
@@ -201,6 +201,7 @@ def write_tokens(
     written. An empty table gives an empty manifest. Other columns are not read.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     tokenizer = tokenizer or word_tokens.default_path()
     shards = f"{path}/shards"
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import shared_dir
+from .scratch import shared_dir, small_batches
 
 #: Fixed values of the WARC format.
 VERSION = b"WARC/1.1"
@@ -200,6 +200,7 @@ def write_derivatives(pages: DataFrame, path: str, date: str = DATE) -> DataFram
     records, each. An empty table gives no files. Other columns are not read.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     files = f"{path}/warc"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

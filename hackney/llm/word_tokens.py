@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .worker import held
+
 WORD_BPE = "word_bpe_49k.json"
 #: Words a worker keeps; beyond it the cache starts anew, so memory is bounded.
 CACHED_WORDS = 1_200_000
@@ -126,12 +128,6 @@ class WordTokenizer:
                 yield ids
 
 
-_SHARED: dict[str, WordTokenizer] = {}
-
-
 def shared(path: str) -> WordTokenizer:
     """The worker's tokenizer of this file, with its cache."""
-    if path not in _SHARED:
-        _SHARED.clear()
-        _SHARED[path] = WordTokenizer(path)
-    return _SHARED[path]
+    return held(("words", path), lambda: WordTokenizer(path))

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import stage
+from .scratch import small_batches, stage
+from .worker import held
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -237,15 +238,9 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], top[last]], axis=1)
 
 
-_MATCHERS: dict[str, Matcher] = {}
-
-
 def _matcher(name: str, patterns) -> Matcher:
     """The worker's tables for a block; those of one block are held at a time."""
-    if name not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[name] = Matcher(patterns.value)
-    return _MATCHERS[name]
+    return held(("patterns", name), lambda: Matcher(patterns.value))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -267,6 +262,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def pattern_blocks(spark: SparkSession, windows: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:
     """(name, broadcast patterns) for each block; a block's size is checked."""
+    small_batches(spark)
     distinct = stage(spark, windows.select("window").distinct(), "windows")
     total = distinct.agg(F.sum(F.length("window"))).first()[0] or 0
     n = -(-total // block_bytes)
