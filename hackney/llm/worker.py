@@ -10,17 +10,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
+
 _HELD: dict[Any, Any] = {}
 
 
 def held(name: Any, make: Callable[[], Any]) -> Any:
     """The object of this name, made if the worker does not hold it; others go."""
     if name not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[name] = make()
     return _HELD[name]
 
 
 def release() -> None:
-    """For tasks that keep nothing."""
+    """For tasks that keep nothing; what earlier batches took goes back as well."""
     _HELD.clear()
+    pa.default_memory_pool().release_unused()
