@@ -5,22 +5,24 @@ runs over the histogram of piece lengths, whose size does not grow with the data
 a plan says which lengths fill a sequence and how many sequences are filled so.
 Tasks then hand the pieces of each length to their places by rank.
 
-The search is branch and bound. A node takes the largest length left and tries the
+The search is branch and bound. A node takes the largest length left and tries all
 undominated fillings of the space beside it, least waste first; a filling is
 undominated if nothing left fits in its rest and no member can be swapped for a
-larger one left. It is applied to as many sequences as the counts allow. A branch
+larger one left. Each is made when the search comes to it. It is applied to as many
+sequences as the counts allow and, after all others have been, to fewer. A branch
 ends where its waste exceeds what a better packing than the incumbent may waste. The
 first incumbent is best-fit decreasing. The search ends when the incumbent meets
-the lower bound ceil(sum / size), or after ``max_nodes`` nodes, with the incumbent:
-every piece is packed in either case.
+the lower bound ceil(sum / size), when nothing is left to try, or after ``max_nodes``
+fillings and dead ends, with the incumbent: every piece is packed in any case.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import insort
-from collections import defaultdict
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections import defaultdict, deque
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -34,10 +36,10 @@ from .scratch import small_batches, stage
 
 SEQUENCE_IDS = 2048
 END_ID = 0
-#: Nodes of the search, fillings tried at a node, and steps to find them.
+#: Nodes of the search: fillings tried, and dead ends met in making them.
 MAX_NODES = 6_000
-FILLINGS = 4
-FILLING_STEPS = 300
+#: Tables of sums in memory; others are made again when the search comes back.
+TABLES = 32
 
 #: Lengths of one sequence with their copies, largest first; sequences filled so.
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
@@ -70,59 +72,91 @@ def best_fit_decreasing(counts: dict[int, int], size: int) -> Plan:
     return [(tuple(f), n) for group in open_bins.values() for f, n in group]
 
 
-def fillings(lengths: list[int], counts: dict[int, int], rest: int) -> list[tuple[int, tuple]]:
-    """Undominated fillings of ``rest``, least waste and then largest members first."""
-    found: dict[tuple, int] = {}
-    steps = 0
-
-    def fits(limit: int) -> int:
-        lo, hi = 0, len(lengths)  # lengths fall
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if lengths[mid] <= limit else (mid + 1, hi)
-        return lo
-
-    def undominated(members: tuple, waste: int) -> bool:
-        used = dict(members)
-        for length, _ in members:
-            k = fits(length + waste)
-            while k < len(lengths) and lengths[k] > length:
-                if counts[lengths[k]] > used.get(lengths[k], 0):
-                    return False
-                k += 1
-        return True
-
-    def grow(at: int, room: int, members: tuple) -> bool:
-        nonlocal steps
-        steps += 1
-        k = max(at, fits(room))
-        grew = False
-        while k < len(lengths):
+class _Sums:
+    """For each k, the sums up to ``room`` that copies of ``lengths[k:end]`` make, as bits."""
+
+    def __init__(self, held: deque, lengths: list[int], have: Callable[[int], int], end: int, room: int):
+        self.held, self.lengths, self.have, self.end, self.room = held, lengths, have, end, room
+        self.table: list[int] | None = None
+
+    def get(self) -> list[int]:
+        if self.table is None:
+            sums, mask = 1, (1 << (self.room + 1)) - 1
+            table = [sums]
+            for length in reversed(self.lengths[: self.end]):
+                left, step = min(self.have(length), self.room // length), 1
+                while left:
+                    step = min(step, left)
+                    sums |= (sums << (step * length)) & mask
+                    left -= step
+                    step *= 2
+                table.append(sums)
+            self.table = table[::-1]
+            if len(self.held) >= TABLES:
+                self.held.popleft().table = None
+            self.held.append(self)
+        return self.table
+
+
+def fillings(
+    lengths: list[int], have: Callable[[int], int], rest: int, allowed: Callable[[], int], held: deque
+) -> Iterator[tuple[tuple, int] | None]:
+    """All undominated fillings of ``rest`` that waste at most what is allowed, with
+    their waste: least waste, then largest members first; None for each dead end.
+
+    Where nothing left fits in the waste, all copies of lengths up to it are members.
+    Sums that the smaller lengths cannot make are not followed.
+    """
+    place = lambda limit, end: bisect_left(lengths, -limit, 0, end, key=lambda x: -x)
+
+    def grow(at: int, room: int, members: tuple, left: int) -> Iterator[tuple[tuple, int] | None]:
+        # ``left``: the least length above those at ``at`` that has copies left over; 0: none.
+        if not room:
+            if small:
+                k = end - 1
+                used = dict(members)
+                while k >= 0 and have(lengths[k]) == used.get(lengths[k], 0):
+                    k -= 1
+                if k >= 0 and lengths[k] <= small[0][0] + waste:
+                    yield None
+                    return
+            yield (*members, *small), waste
+            return
+        k, grew = place(room, end), False
+        if k > at and have(lengths[k - 1]):
+            left = lengths[k - 1]
+        k = max(k, at)
+        table = sums.get()
+        while k < end and table[k] >> room & 1:
             length = lengths[k]
-            most = min(room // length, counts[length])
-            if most > 0:
-                grew = True
-                if grow(k + 1, room - most * length, (*members, (length, most))):
-                    return True
-                if steps >= FILLING_STEPS:
-                    return bool(found)
+            copies = have(length)
+            if copies and (not left or left > length + waste):
+                for n in range(min(room // length, copies), 0, -1):
+                    if table[k + 1] >> (room - n * length) & 1:
+                        grew, table = True, None  # a waiting node holds no table
+                        yield from grow(
+                            k + 1, room - n * length, (*members, (length, n)), length if n < copies else left
+                        )
+                        table = sums.get()
+            if copies:
+                left = length
             k += 1
-        if not grew and members not in found and (not members or undominated(members, room)):
-            found[members] = room
-            perfect = sum(1 for w in found.values() if w == 0)
-            return perfect >= FILLINGS
-        return False
-
-    grow(0, rest, ())
-    if not found:  # the step bound fell first: the greedy filling
-        members, room = [], rest
-        for length in lengths[fits(rest) :]:
-            if (most := min(room // length, counts[length])) > 0:
-                members.append((length, most))
-                room -= most * length
-        found[tuple(members)] = room
-    ranked = sorted((w, tuple(-m for m, _ in f), f) for f, w in found.items())
-    return [(w, f) for w, _, f in ranked[:FILLINGS]]
+        if not grew:
+            yield None
+
+    sums = _Sums(held, lengths, have, len(lengths), rest)
+    for waste in range(rest + 1):
+        if waste > allowed():
+            return
+        end = place(waste, len(lengths))
+        small = tuple((x, have(x)) for x in lengths[end:] if have(x))
+        room = rest - waste - sum(x * n for x, n in small)
+        if room < 0:
+            return
+        if end < sums.end:
+            sums = _Sums(held, lengths, have, end, rest)
+        if sums.get()[0] >> room & 1:
+            yield from grow(0, room, (), 0)
 
 
 class _Search:
@@ -132,19 +166,28 @@ class _Search:
         self.size, self.counts, self.waste = size, counts, 0
         self.lengths = sorted(counts, reverse=True)
         self.path: Plan = []
+        self.held: deque = deque()
 
-    def moves(self) -> Iterator[tuple[dict[int, int], int]]:
-        """Fillings around the largest length left, each with its waste."""
+    def moves(self, allowed: Callable[[], int]) -> Iterator[tuple[dict[int, int], int, int] | None]:
+        """Fillings around the largest length left, each with its waste and the number
+        of sequences; None for each dead end. The state must be the same at each step."""
         top = self.lengths[0]
-        self.counts[top] -= 1
-        free = self.lengths if self.counts[top] else self.lengths[1:]
-        beside = fillings(free, self.counts, self.size - top)
-        self.counts[top] += 1
-        for waste, members in beside:
-            filling = defaultdict(int, {top: 1})
-            for length, copies in members:
-                filling[length] += copies
-            yield filling, waste
+        have = lambda x: self.counts[x] - (x == top)
+        for fewer in count():
+            more = False
+            for found in fillings(self.lengths, have, self.size - top, allowed, self.held):
+                if found is None:
+                    yield None
+                    continue
+                filling, waste = defaultdict(int, {top: 1}), found[1]
+                for length, copies in found[0]:
+                    filling[length] += copies
+                n = min(self.counts[k] // c for k, c in filling.items())
+                n = min(n, allowed() // waste) if waste else n
+                more = more or n > fewer + 1
+                yield (filling, waste, n - fewer) if n > fewer else None
+            if not more:
+                return
 
     def apply(self, filling: dict[int, int], n: int, waste: int) -> None:
         for length, copies in filling.items():
@@ -173,28 +216,30 @@ def complete_bins(counts: dict[int, int], size: int = SEQUENCE_IDS, max_nodes: i
     if best_n <= bound:
         return best
     search = _Search(counts, size)
-    stack = [[search.moves(), None]]  # moves left, waste a sequence of the one in force
+
+    def allowed() -> int:
+        return (best_n - 1) * size - total - search.waste
+
+    stack = [[search.moves(allowed), None]]  # moves left, waste of the one in force
     nodes = 1
     while stack and best_n > bound and nodes <= max_nodes:
         moves, in_force = stack[-1]
         if in_force is not None:
             search.undo(in_force)
             stack[-1][1] = None
-        move = next(moves, None)
-        if move is None:
+        try:
+            move = next(moves)
+        except StopIteration:
             stack.pop()
             continue
-        filling, waste = move
-        allowed = (best_n - 1) * size - total - search.waste
-        if waste > allowed:
+        nodes += 1
+        if move is None:
             continue
-        n = min(counts[k] // c for k, c in filling.items())
-        n = min(n, allowed // waste) if waste else n
+        filling, waste, n = move
         search.apply(filling, n, waste)
         stack[-1][1] = waste
         if search.lengths:
-            nodes += 1
-            stack.append([search.moves(), None])
+            stack.append([search.moves(allowed), None])
         elif (found := sum(m for _, m in search.path)) < best_n:
             best, best_n = list(search.path), found
     return best

@@ -1,7 +1,8 @@
 import io
+import itertools
 import random
 import zlib
-from collections import Counter
+from collections import Counter, deque
 
 import numpy as np
 import odd_rows
@@ -201,3 +202,36 @@ def test_node_bound_still_packs_everything():
         for a, c in filling:
             used[a] += c * n
     assert used == counts
+
+
+def test_one_copy_of_a_repeated_length_can_fill():
+    counts = Counter([1045, 819, 778, 451, 451, 287, 265])
+    plan = pack.complete_bins(dict(counts), 2048)
+    assert sum(n for _, n in plan) == 2
+    used = Counter()
+    for filling, n in plan:
+        assert sum(a * c for a, c in filling) <= 2048
+        for a, c in filling:
+            used[a] += c * n
+    assert used == counts
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_all_undominated_fillings_are_made(seed):
+    """By trying every choice of copies."""
+    rng = random.Random(seed)
+    counts = Counter(rng.randint(1, 14) for _ in range(rng.randint(1, 9)))
+    rest, lengths = rng.randint(1, 30), sorted(counts, reverse=True)
+    want = set()
+    for copies in itertools.product(*(range(counts[x] + 1) for x in lengths)):
+        waste = rest - sum(x * n for x, n in zip(lengths, copies, strict=True))
+        left = [x for x, n in zip(lengths, copies, strict=True) if n < counts[x]]
+        used = [x for x, n in zip(lengths, copies, strict=True) if n]
+        fits = any(x <= waste for x in left)
+        swaps = any(0 < x - y <= waste for x in left for y in used)
+        if waste >= 0 and not fits and not swaps:
+            want.add((tuple((x, n) for x, n in zip(lengths, copies, strict=True) if n), waste))
+    made = pack.fillings(lengths, counts.__getitem__, rest, lambda: rest, deque())
+    got = [x for x in made if x is not None]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert [w for _, w in got] == sorted(w for _, w in got)
