@@ -12,6 +12,12 @@ exceeds its trust. Scores are whole units (``UNITS`` in all), each step divides
 without remainder going astray between engines: the verdict does not depend on the
 order of additions, so it is the same on every run.
 
+The walks go on until what is still missing from all scores together is a small part of
+one uniform share (``PARTS``): from scores of nothing each round adds the mass of paths one
+link longer, so scores only grow, and what a round adds is the difference of two sums.
+After a round that added ``a``, less than ``a * DAMPING / (100 - DAMPING)`` is missing.
+With a number of ``rounds`` they start at the seeds and stop there, as the SQL does.
+
 Everything is DataFrame work. Edges are distinct before they meet scores; sums per
 host are combined before the shuffle, and the side of the scores is unique by host,
 so a hub's edges can be split over tasks. Scores are written after each round, which
@@ -29,7 +35,8 @@ from .scratch import stage
 
 UNITS = 10**15
 DAMPING = 85  # hundredths
-ROUNDS = 10
+ROUNDS = 10  # of walks that are to stop before they converge
+PARTS = 1000  # of a uniform share: what the last round may add, all hosts together
 THRESHOLD = 1  # times the uniform share of a host
 
 
@@ -81,11 +88,17 @@ def matched(rules: tuple[Rule, ...], host: Column, path: Column, what) -> Column
 
 
 def spread(
-    spark: SparkSession, edges: DataFrame, seeds: DataFrame, rounds: int, units: int = UNITS
+    spark: SparkSession,
+    edges: DataFrame,
+    seeds: DataFrame,
+    rounds: int | None,
+    units: int = UNITS,
+    share: int = 0,
 ) -> DataFrame:
     """(host, score) by personalised PageRank from ``seeds`` over (src, dst) edges.
 
-    Mass at hosts without links out returns to nobody. No seeds: no rows.
+    ``rounds`` of None: until a round adds at most ``share / PARTS`` to all scores
+    together. Mass at hosts without links out returns to nobody. No seeds: no rows.
     """
     n = seeds.count()
     if not n:
@@ -94,13 +107,23 @@ def spread(
     out = edges.groupBy("src").agg(F.count("*").alias("links"))
     weighted = stage(spark, edges.join(out, "src"), "edges")
     back = start.select("host", F.expr(f"score * {100 - DAMPING} div 100").alias("score"))
-    scores = start
-    for _ in range(rounds):
+
+    def step(scores: DataFrame) -> DataFrame:
         sent = weighted.join(scores, weighted["src"] == scores["host"]).select(
             F.col("dst").alias("host"), F.expr(f"(score * {DAMPING} div 100) div links").alias("score")
         )
-        step = sent.filter("score > 0").unionByName(back).groupBy("host").agg(F.sum("score").alias("score"))
-        scores = stage(spark, step, "scores")
+        return sent.filter("score > 0").unionByName(back).groupBy("host").agg(F.sum("score").alias("score"))
+
+    if rounds is not None:
+        scores = start
+        for _ in range(rounds):
+            scores = stage(spark, step(scores), "scores")
+        return scores
+    scores, total, added = back, n * (units // n * (100 - DAMPING) // 100), units
+    while added * PARTS > share:
+        scores = stage(spark, step(scores), "scores")
+        before, total = total, scores.agg(F.sum("score")).first()[0]
+        added = total - before
     return scores
 
 
@@ -108,11 +131,13 @@ def judge(
     spark: SparkSession,
     pages: DataFrame,
     rules: tuple[Rule, ...] = RULES,
-    rounds: int = ROUNDS,
+    rounds: int | None = ROUNDS,
     threshold: int = THRESHOLD,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict and the host's trust and distrust.
 
+    ``rounds`` of None: the walks go on until they converge (see :func:`spread`).
+
     A null url or one without ``://`` has an empty host and path, fits no rule and
     is allowed. Null html has no links. Repeated rows are judged alike, each. An
     empty table gives no rows. Links of a host to itself are no edges.
@@ -144,9 +169,6 @@ def judge(
     )
     blocked = seeds.filter("by_rule = 'block'").select("host")
     trusted = seeds.filter("by_rule = 'allow'").select("host").join(blocked, "host", "left_anti")
-    trust = spread(spark, edges, trusted, rounds)
-    backwards = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    distrust = spread(spark, backwards, blocked, rounds)
     hosts = (
         edges.select(F.col("src").alias("host"))
         .union(edges.select("dst"))
@@ -154,7 +176,11 @@ def judge(
         .distinct()
         .count()
     )
+    uniform = UNITS // max(hosts, 1)
     share = UNITS * threshold // max(hosts, 1)
+    trust = spread(spark, edges, trusted, rounds, share=uniform)
+    backwards = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    distrust = spread(spark, backwards, blocked, rounds, share=uniform)
     scores = (
         trust.select("host", F.col("score").alias("trust"), F.lit(0).cast("long").alias("distrust"))
         .unionByName(
@@ -178,5 +204,5 @@ def judge(
 
 
 def op2(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """The verdict of every page."""
-    return judge(spark, pages).select("page_id", "host", "path", "rule", "verdict")
+    """The verdict of every page, by walks that have converged."""
+    return judge(spark, pages, rounds=None).select("page_id", "host", "path", "rule", "verdict")

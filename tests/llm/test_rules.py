@@ -171,3 +171,35 @@ def test_op2_equals_its_sql(spark):
         compared(link_trust.op2(spark, pages).toPandas(), in_duckdb(ORACLE["op2_link_trust"], pages=frame))
     pages = spark.read.parquet(f"{odd_rows.SF}/pages.parquet")
     compared(link_trust.op2(spark, pages).toPandas(), in_duckdb(ORACLE["op2_link_trust"], pages=pages.toPandas()))
+
+
+def chain(n):
+    """``n`` hosts, each linking to the next, the last to a blocked one."""
+    names = [f"h{k}.org" for k in range(n, 0, -1)] + ["bad.net"]
+    link = '<a href="https://{}/">t</a>'
+    rows = [(k, f"http://{a}/", link.format(b)) for k, (a, b) in enumerate(zip(names, names[1:], strict=False))]
+    return [*rows, (n, "http://bad.net/es/1", "")]
+
+
+def test_op2_walks_until_scores_converge(spark):
+    n = 15
+    rows = link_trust.judge(spark, pages_of(spark, chain(n)), rounds=None).collect()
+    got = {r["host"]: r["distrust"] / link_trust.UNITS for r in rows}
+    for k in range(1, n + 1):
+        assert got[f"h{k}.org"] == pytest.approx(0.15 * 0.85**k, rel=1e-6)
+
+
+def test_op2_blocks_hosts_more_than_ten_links_from_a_blocked_one(spark):
+    lone = [(100 + k, f"http://a{k}.org/", f'<a href="https://b{k}.org/">t</a>') for k in range(200)]
+    rows = link_trust.op2(spark, pages_of(spark, chain(15) + lone)).collect()
+    verdicts = {r["host"]: r["verdict"] for r in rows}
+    assert all(verdicts[f"h{k}.org"] == "block" for k in range(1, 16))
+    assert all(verdicts[f"a{k}.org"] == "allow" for k in range(200))
+
+
+def test_op2_converges_on_a_cycle(spark):
+    link = '<a href="https://{}/">t</a>'
+    rows = [(0, "http://bad.net/es/1", link.format("x.org")), (1, "http://x.org/", link.format("bad.net"))]
+    got = {r["host"]: r["distrust"] for r in link_trust.judge(spark, pages_of(spark, rows), rounds=None).collect()}
+    for host, want in (("bad.net", 0.15 / (1 - 0.85**2)), ("x.org", 0.15 * 0.85 / (1 - 0.85**2))):
+        assert abs(got[host] / link_trust.UNITS - want) < 0.5 * 6 / link_trust.PARTS
