@@ -90,16 +90,18 @@ def _covered_of(w: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    separators = F.regexp_count(line, F.lit(SEPARATED))
-    symbols = F.regexp_count(line, F.lit(SYMBOLS))
+    # Products of 32-bit counts overflow on very long lines.
+    separators = F.regexp_count(line, F.lit(SEPARATED)).cast("long")
+    symbols = F.regexp_count(line, F.lit(SYMBOLS)).cast("long")
+    chars = F.length(line).cast("long")
     lower = F.lower(line)
     phrase = F.lit(False)
     for p in BOILERPLATE:
         phrase = phrase | F.contains(lower, F.lit(p))
     return (
         ~F.regexp_like(line, F.lit(CLOSED))
-        | ((separators >= ENTRIES) & (separators * ENTRY_CHARS >= F.length(line)))
-        | (symbols * 100 > F.length(line) * SYMBOL_SHARE)
+        | ((separators >= ENTRIES) & (separators * ENTRY_CHARS >= chars))
+        | (symbols * 100 > chars * SYMBOL_SHARE)
         | phrase
     )
 
@@ -124,9 +126,9 @@ def clean_lines(documents: DataFrame) -> DataFrame:
     # array_distinct keeps the first of equal lines, by a set of hashes.
     d = d.withColumn("first_lines", F.array_distinct("lines"))
     d = d.withColumn("n_dup_lines", (F.size("lines") - F.size("first_lines")).cast("long"))
-    d = d.withColumn("chars", F.length(F.array_join("lines", "")))
+    d = d.withColumn("chars", F.length(F.array_join("lines", "")).cast("long"))
     d = d.withColumn("clean", F.filter("first_lines", lambda x: ~line_fails(x)))
-    lost = F.col("chars") - F.length(F.array_join("clean", ""))
+    lost = F.col("chars") - F.length(F.array_join("clean", "")).cast("long")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEATED)
     return d.select(
         "doc_id",

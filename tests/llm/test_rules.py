@@ -3,6 +3,7 @@ import duckdb
 import odd_rows
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from hackney.llm import line_rules, link_trust
 from hackney.llm.oracle import ORACLE
@@ -67,6 +68,19 @@ def test_texts_that_lose_too_much_are_rejected(spark):
     assert kept == {1: (False, False), 2: (False, True)}
 
 
+def test_counts_of_very_long_texts_do_not_overflow(spark):
+    good = " ".join(f"w{k}x" for k in range(60)) + "."
+    bad = F.expr("repeat('x', int(24000000 + id))")
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.concat_ws("\n", F.lit(good), bad).alias("text"))
+    row = line_rules.clean_lines(docs).first()
+    assert not row["base_failed"] and not row["kept"] and row["clean_text"] == good
+
+
+def test_counts_of_very_long_lines_do_not_overflow(spark):
+    line = spark.range(1).select(F.concat(F.expr("repeat('word ', int(29000000 + id))"), F.lit("end.")).alias("x"))
+    assert line.select(line_rules.line_fails(F.col("x"))).first()[0] is False
+
+
 URLS = [
     "http://a.com/x",
     "HTTP://WWW.Example.COM/en/1?q=/es/",
