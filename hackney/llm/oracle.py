@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from . import line_rules as lr
 from . import link_trust as lt
+from . import merkle_manifest as mm
+from . import phrase_setm as ps
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -130,4 +132,117 @@ from scored
 """
 
 
-ORACLE: dict[str, str] = {"op2_link_trust": op2(), "op5_line_rules": op5()}
+def op12(longest: int = ps.LONGEST) -> str:
+    """Grams of every length by list positions, then all cuts of each candidate."""
+    words = [f"w{k}" for k in range(1, longest + 1)]
+    grams = " union all ".join(
+        f"select lang, {n} as size, {', '.join(f'w[k + {j}] as {w}' if j < n else f'null as {w}' for j, w in enumerate(words))}"
+        f" from place where k + {n - 1} <= len(w)"
+        for n in range(1, longest + 1)
+    )
+
+    def cut(n: int, k: int) -> str:
+        first = " and ".join(f"l.w{j} = c.w{j}" for j in range(1, k + 1))
+        rest = " and ".join(f"r.w{j - k} = c.w{j}" for j in range(k + 1, n + 1))
+        return f"""select c.*, {k} as k, l.f as l, r.f as r from candidate c
+            join f l on l.lang = c.lang and l.size = {k} and {first}
+            join f r on r.lang = c.lang and r.size = {n - k} and {rest} where c.size = {n}"""
+
+    def inside(n: int, longer: int, at: int) -> str:
+        same = " and ".join(f"x.w{j + at} = c.w{j}" for j in range(1, n + 1))
+        return f"""select c.phrase, c.lang from candidate c join candidate x
+            on x.lang = c.lang and x.size = {longer} and {same} and 100 * x.a >= {ps.SHARE} * c.a where c.size = {n}"""
+
+    sizes = range(2, longest + 1)
+    cuts = " union all ".join(cut(n, k) for n in sizes for k in range(1, n))
+    gone = " union all ".join(inside(n, m, at) for n in sizes for m in range(n + 1, longest + 1) for at in range(m - n + 1))
+    return f"""
+with piece as (
+    select coalesce(lang, 'und') as lang,
+        unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) as piece
+    from documents
+),
+words as (select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w from piece),
+place as (select lang, w, unnest(range(1, len(w) + 1)) as k from words),
+gram as ({grams}),
+f as (select lang, size, {", ".join(words)}, count(*) as f from gram group by all),
+total as (select lang, sum(f)::bigint as n from f where size = 1 group by lang),
+candidate as (
+    select lang, size, {", ".join(words)}, concat_ws(' ', {", ".join(words)}) as phrase, f as a
+    from f where size > 1 and f >= {ps.LEAST}
+),
+cut as (select *, (1000000::hugeint * a * a) // (l::hugeint * r) as score from ({cuts})),
+low as (select * from cut qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+gone as ({gone}),
+ranked as (
+    select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank,
+        phrase, a, l, r, score
+    from low anti join gone using (lang, phrase)
+)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join total using (lang) where rank <= {ps.TOP}
+"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit (polynomial 0xEDB88320)."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint)"
+    bits = "list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {codes}), lambda a, b: {bits}))"
+
+
+def op13() -> str:
+    """Levels by recursion, then every leaf folded along its own path."""
+
+    def leaf(**changed: str) -> str:
+        values = [changed.get(name, f"{name}::varchar") for name in mm.FIELDS]
+        return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+    even = f"coalesce({_crc32('doc_id::varchar')} % 2 = 0, false)"
+    n = mm.ARITY
+
+    def levels(bottom: str) -> str:
+        return f"""select tree, 0 as lvl, pos, h from {bottom}
+    union all
+    select tree, lvl + 1, pos // {n}, sha256(string_agg(h, '' order by pos))
+    from (select *, count(*) over (partition by tree) as m from {bottom}_node) where m > 1
+    group by tree, lvl, pos // {n}"""
+
+    def folds(bottom: str, first: str) -> str:
+        return f"""{first}
+    union all
+    select f.rid, f.tree, f.lvl + 1, f.pos // {n},
+        sha256(string_agg(case when x.pos = f.pos then f.h else x.h end, '' order by x.pos)),
+        any_value(f.proof) || string_agg(case when x.pos = f.pos then '' else x.h end, '' order by x.pos)
+    from {bottom}_fold f join {bottom}_node x on x.tree = f.tree and x.lvl = f.lvl and x.pos // {n} = f.pos // {n}
+    join {bottom}_top t on t.tree = f.tree where f.lvl < t.lvl
+    group by f.rid, f.tree, f.lvl, f.pos"""
+
+    top = "select tree, lvl, h from {0}_node qualify lvl = max(lvl) over (partition by tree)"
+    return f"""
+with recursive hashed as (
+    select row_number() over () as rid, doc_id, coalesce(':' || source, '-') as tree, {leaf()} as h,
+        case when {even} then {leaf(text="replace(text, chr(10), '')")} else {leaf()} end as claimed
+    from documents
+),
+leaf as (select *, row_number() over (partition by tree order by doc_id nulls first, h) - 1 as pos from hashed),
+leaf_node as ({levels("leaf")}),
+leaf_top as ({top.format("leaf")}),
+source as (select '' as tree, tree as name, row_number() over (order by tree) - 1 as pos, h from leaf_top),
+source_node as ({levels("source")}),
+source_top as ({top.format("source")}),
+leaf_fold as ({folds("leaf", "select rid, tree, 0 as lvl, pos, claimed as h, '' as proof from leaf")}),
+below as (select f.* from leaf_fold f join leaf_top t using (tree, lvl)),
+source_fold as ({folds("source", "select b.rid, s.tree, 0 as lvl, s.pos, b.h, b.proof from below b join source s on s.name = b.tree")}),
+done as (select f.* from source_fold f join source_top t using (tree, lvl))
+select doc_id, leaf.h as leaf, leaf_top.h as subroot, source_top.h as root, sha256(done.proof) as proof_sha256,
+    done.h as folded_root, done.h = source_top.h as verified
+from leaf join done using (rid) join leaf_top on leaf_top.tree = leaf.tree cross join source_top
+"""
+
+
+ORACLE: dict[str, str] = {
+    "op2_link_trust": op2(),
+    "op5_line_rules": op5(),
+    "op12_phrase_setm": op12(),
+    "op13_merkle_manifest": op13(),
+}

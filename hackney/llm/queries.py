@@ -11,6 +11,8 @@ from . import (
     cotraining,
     line_rules,
     link_trust,
+    merkle_manifest,
+    phrase_setm,
     simhash_bktree,
     substring_dedup,
     token_frames,
@@ -64,6 +66,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10(spark, tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
 
 
+def op12_phrase_setm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_setm.op12(spark, tables(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.op13(spark, tables(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": op1_token_frames,
     "op2_link_trust": op2_link_trust,
@@ -75,4 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bin_completion": op8_bin_completion,
     "op9_warc_derive": op9_warc_derive,
     "op10_toxicity": op10_toxicity,
+    "op12_phrase_setm": op12_phrase_setm,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }

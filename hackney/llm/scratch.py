@@ -33,10 +33,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
 
 
-def stage(spark: SparkSession, df: DataFrame, name: str = "stage") -> DataFrame:
+def stage(spark: SparkSession, df: DataFrame, name: str = "stage", compression: str | None = None) -> DataFrame:
     """``df`` written once as Parquet and read again: survives lost executors."""
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
