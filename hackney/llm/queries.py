@@ -13,6 +13,7 @@ from . import (
     link_trust,
     merkle_manifest,
     phrase_setm,
+    pruned_graph,
     simhash_bktree,
     substring_dedup,
     token_frames,
@@ -66,6 +67,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10(spark, tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
 
 
+def op11_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pruned_graph.op11(spark, tables(spark, sf_dir, "embeddings"))
+
+
 def op12_phrase_setm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_setm.op12(spark, tables(spark, sf_dir, "documents"))
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bin_completion": op8_bin_completion,
     "op9_warc_derive": op9_warc_derive,
     "op10_toxicity": op10_toxicity,
+    "op11_pruned_graph": op11_pruned_graph,
     "op12_phrase_setm": op12_phrase_setm,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
