@@ -26,6 +26,27 @@ def substrings(texts: list[str | None], size: int = 400) -> list[tuple]:
     return out
 
 
+def without_passages(texts: list[str | None], size: int) -> list[str | None]:
+    """Texts without words of strings of ``size`` words that two texts have."""
+    places = [[(m.start(), m.group()) for m in GAP.finditer(t or "")] for t in texts]
+    owners = defaultdict(set)
+    for d, words in enumerate(places):
+        for k in range(len(words) - size + 1):
+            owners[tuple(w for _, w in words[k : k + size])].add(d)
+    out = []
+    for text, words in zip(texts, places, strict=True):
+        gone = set()
+        for k in range(len(words) - size + 1):
+            if len(owners[tuple(w for _, w in words[k : k + size])]) > 1:
+                gone.update(range(k, k + size))
+        if text is not None:
+            ends = [at for at, _ in words[1:]] + [len(text)]
+            lead = text[: words[0][0]] if words else text
+            text = lead + "".join(text[a:b] for k, ((a, _), b) in enumerate(zip(words, ends)) if k not in gone)
+        out.append(text)
+    return out
+
+
 def base_rules(text: str | None) -> tuple:
     text = text or ""
     words = GAP.findall(text)

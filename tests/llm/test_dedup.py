@@ -74,7 +74,7 @@ def test_chunks_cover_every_start_once(monkeypatch, chunk, gather):
     rng = np.random.default_rng(5)
     texts = ["".join(rng.choice(list("ab c"), n)) for n in (399, 400, 401, 5000, 0, 820)] + [None, "ab" * 900]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["row", "text"])
-    rows = as_table(sub.find_rows([batch]))
+    rows = as_table(sub.find_rows(sub.BYTES)([batch]))
     for k, text in enumerate(texts):
         own = rows[rows["row"] == k]
         starts = [x for a, b in zip(own["low"], own["high"], strict=True) for x in range(a, b + 1)]
@@ -82,7 +82,7 @@ def test_chunks_cover_every_start_once(monkeypatch, chunk, gather):
         for r in own.itertuples():
             assert r.high <= r.at <= r.low + 336
     ids = {}
-    for block in sub.BLOCKS:
+    for block in sub.BYTES.blocks:
         runs = [
             rows[rows["row"] == k][["low", "high", "at"]].to_dict("records") for k in range(len(texts))
         ]
@@ -90,7 +90,7 @@ def test_chunks_cover_every_start_once(monkeypatch, chunk, gather):
             {"row": list(range(len(texts))), "text": texts, "runs": runs},
         ).slice(0, len(texts))
         keep = pa.array([bool(r) for r in runs])
-        found = as_table(sub.cut_blocks(block)([cut.filter(keep)]))
+        found = as_table(sub.cut_blocks(block, sub.BYTES)([cut.filter(keep)]))
         for k, text in enumerate(texts):
             own = found[found["row"] == k]
             starts = [x for a, b in zip(own["low"], own["high"], strict=True) for x in range(a, b + 1)]
@@ -111,12 +111,86 @@ def test_without_repeats_keeps_rows_columns_and_characters(spark):
     rows = {(r["doc_id"], r["n_chars"]): r["text"] for r in got.collect()}
     by_id = {d: t for (d, _), t in rows.items()}
     assert by_id[3] is None and by_id[1] == odd_rows.SENTENCE
-    assert "passage40" not in by_id[10] and by_id[10].startswith("Before.")
-    assert by_id[10].endswith("ending well.")
+    assert by_id[10] == "Before. After this comes other text, ending well."
     assert all(n is None or n == len(t) for (_, n), t in rows.items())
     assert {r["k1"] for r in got.collect()} == {"k"}
 
 
+def texts_of(df):
+    return odd_rows.sorted_rows(df.withColumn("n_chars", df["n_chars"].cast("long")), "doc_id", "text", "n_chars")
+
+
+def plain_without(rows, size=sub.WORDS):
+    kept = brute.without_passages([t for _, t in rows], size)
+    return odd_rows.by_plain((d, t, None if t is None else len(t)) for (d, _), t in zip(rows, kept, strict=True))
+
+
+def test_without_repeats_on_odd_and_driver_rows(spark):
+    got = sub.without_repeats(spark, odd_rows.documents(spark))
+    assert texts_of(got) == plain_without(odd_rows.TEXTS)
+    docs = docs_of(spark)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    found = texts_of(sub.without_repeats(spark, docs))
+    assert found == plain_without(rows)
+    assert sum(r[1] != dict(rows)[r[0]] for r in found) > 5
+    assert sub.without_repeats(spark, docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("size", [16, 51, 70])
+def test_without_repeats_on_texts_made_of_shared_parts(spark, seed, size):
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"{c}{k}" for k in range(4) for c in "aé"]
+
+    def some(n):
+        return list(rng.choice(vocabulary, int(n)))
+
+    parts = [some(rng.integers(size // 2, 3 * size)) for _ in range(10)]
+    parts.append(["again"] * (2 * size))  # repeats itself, in one document or several
+    rows = []
+    for d in range(40):
+        words = []
+        for _ in range(int(rng.integers(1, 5))):
+            part = parts[rng.integers(len(parts))]
+            words += part[int(rng.integers(0, 9)) : len(part) - int(rng.integers(0, 9))] + some(3)
+        gaps = rng.choice([" ", "\n", " \t "], len(words))
+        rows.append((d, "".join(w + g for w, g in zip(words, gaps, strict=True))))
+    rows.append((40, " ".join(["alone"] * (3 * size))))  # repeated in its own document only
+    got = texts_of(sub.without_repeats(spark, odd_rows.documents(spark, rows), size))
+    assert got == plain_without(rows, size)
+    assert (40, rows[-1][1], len(rows[-1][1])) in got
+    assert any(r[1] == "" or r[1] != dict(rows)[r[0]] for r in got)
+
+
+@pytest.mark.parametrize(("chunk", "gather", "piece"), [(70, 150, 90), (60, 10, 1 << 20)])
+def test_word_chunks_cover_every_start_once(monkeypatch, chunk, gather, piece):
+    for name, value in (("CHUNK", chunk), ("GATHER", gather), ("PIECE", piece)):
+        monkeypatch.setattr(sub, name, value)
+    how = sub.words_kind()
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abc"), n)) + "\n" for n in (50, 51, 52, 600, 0, 103)] + [None, "ab " * 90, "x" * 200]
+    for text, units in zip(texts, sub.word_units(texts), strict=True):
+        words = (text or "").split()
+        assert len(units) == len(words)
+        assert len(set(zip(words, map(tuple, units.tolist()), strict=True))) == len(set(words))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["row", "text"])
+    rows = as_table(sub.find_rows(how)([batch]))
+    runs = [rows[rows["row"] == k][["low", "high", "at", "lo", "hi"]].to_dict("records") for k in range(len(texts))]
+    cut = pa.RecordBatch.from_pydict({"row": list(range(len(texts))), "text": texts, "runs": runs})
+    single = as_table(sub.cut_blocks(1, how)([cut.filter(pa.array([bool(r) for r in runs]))]))
+    for found in (rows, single):
+        for k, text in enumerate(texts):
+            own = found[found["row"] == k]
+            starts = [x for a, b in zip(own["low"], own["high"], strict=True) for x in range(a, b + 1)]
+            assert sorted(starts) == list(range(max(0, len((text or "").split()) - 50)))
+            assert set(own["lo"]) <= {k} and set(own["hi"]) <= {k}
+    by_string = {}
+    for r in single.itertuples():
+        string = tuple(texts[r.row].split()[r.low : r.low + 51])
+        assert by_string.setdefault((r.bucket, r.kind), string) == string
+    assert len(by_string) == len(set(by_string.values()))
+
+
 def test_op6_on_odd_rows_and_driver_rows(spark):
     docs = docs_of(spark)
     for df, rows in (
