@@ -5,6 +5,7 @@ load log. Only loads in the log are visible, so a job that dies half way leaves
 nothing behind that a later stage could read twice.
 """
 
+import time
 import uuid
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -16,7 +17,15 @@ from pyspark.sql import types as T
 from hackney.operators.incremental import first_delivery, new_files
 from hackney.operators.numbering import batch_of, check_chunk_size, rows_before
 from hackney.schemas import LOAD_LOG, RAW, TRIP_COLUMNS
-from hackney.sources.files import FILE, discover_csv, fingerprint, single_file
+from hackney.sources.files import (
+    FILE,
+    FILE_STATE,
+    base_name_of,
+    discover_csv,
+    fingerprint,
+    known_states,
+    single_file,
+)
 from hackney.sources.storage import (
     append_small,
     control_rows,
@@ -31,6 +40,9 @@ from hackney.sources.trip_csv import HeaderError, header_columns, read_trip_csv
 LOAD_MODES = ("incremental", "full")
 HIDDEN = "Spark reads no file whose name or folder begins with _ or ."
 DEFAULT_CHUNK_SIZE = 100_000
+# A file changed this shortly before it was listed could change again within the same
+# tick of its file system's clock, so its state is not trusted by later runs.
+SETTLED_SECONDS = 10
 
 RAW_WITH_LOAD = T.StructType([*RAW.fields, T.StructField("load_id", T.StringType())])
 
@@ -63,6 +75,11 @@ def ingestion_log(spark: SparkSession, warehouse: str) -> DataFrame:
     )
 
 
+def file_states(spark: SparkSession, warehouse: str) -> DataFrame:
+    """Path, length, time of change, hash and header of every file state read so far."""
+    return read_or_empty(spark, f"{warehouse}/raw/file_states", FILE_STATE)
+
+
 def committed_batches(spark: SparkSession, warehouse: str) -> DataFrame:
     """(load_id, batch_no) of every committed batch, from the log alone."""
     return (
@@ -106,21 +123,28 @@ def ingest(
     chunk_size: int = DEFAULT_CHUNK_SIZE,
     file: str | None = None,
     multi_line: bool = False,
+    recheck: bool = False,
 ) -> IngestResult:
     """Load the CSV files below ``source`` (or the one ``file``) that are new.
 
     ``full`` loads every selected file again; the raw layer is a history. A file that
     cannot be loaded is named in ``failed_files`` with the reason and tried again
-    by the next run; the others are loaded.
+    by the next run; the others are loaded. Content is read only of files whose path,
+    length and time of change were not read before, or of all with ``recheck``.
     """
     check_load_mode(load_mode)
     if file:
+        if base_name_of(file).startswith(("_", ".")):
+            raise ValueError(f"{file}: {HIDDEN}")
+        files = single_file(spark, file)
         return ingest_files(
-            spark, single_file(spark, file), warehouse, load_mode, chunk_size, multi_line
+            spark, files, warehouse, load_mode, chunk_size, multi_line, recheck
         )
     unreadable = dict.fromkeys(hidden_files(spark, source, ".csv"), HIDDEN)
     files = discover_csv(spark, source)
-    result = ingest_files(spark, files, warehouse, load_mode, chunk_size, multi_line)
+    result = ingest_files(
+        spark, files, warehouse, load_mode, chunk_size, multi_line, recheck
+    )
     return replace(result, failed_files=unreadable | result.failed_files)
 
 
@@ -131,21 +155,18 @@ def ingest_files(
     load_mode: str = "incremental",
     chunk_size: int = DEFAULT_CHUNK_SIZE,
     multi_line: bool = False,
+    recheck: bool = False,
 ) -> IngestResult:
-    """``ingest`` for a given listing (path, file_path, file_name, length)."""
+    """``ingest`` for a given listing (path, file_path, file_name, length, modified)."""
     check_load_mode(load_mode)
     check_chunk_size(chunk_size)
 
+    now = time.time()
     # File names only; Spark's own file index holds the same list on the driver.
     listing = files.orderBy("path").collect()
     if not listing:
         return IngestResult(load_mode, False)
-    listed = control_rows(spark, listing, FILE.names)
-    hashed = control_rows(
-        spark, fingerprint(spark, listed).collect(), [*FILE.names, "file_hash", "header"]
-    )
-    if hashed.count() != len(listing):
-        raise OSError("files changed while they were listed")
+    hashed = _hashed(spark, listing, warehouse, now, recheck)
     if load_mode == "full":
         chosen = hashed
     else:
@@ -168,6 +189,30 @@ def ingest_files(
     return IngestResult(load_mode, should_continue, processed, skipped, failed)
 
 
+def _hashed(spark, listing, warehouse, now, recheck) -> DataFrame:
+    """The listing with hashes and headers; only content of new file states is read."""
+    names = [*FILE.names, "file_hash", "header"]
+    listed = control_rows(spark, listing, FILE.names)
+    states = file_states(spark, warehouse)
+    known = known_states(listed, states.limit(0) if recheck else states).collect()
+    found = [row for row in known if row.file_hash]
+    unread = [row for row in known if not row.file_hash]
+    if unread:
+        read = fingerprint(spark, control_rows(spark, unread, FILE.names)).collect()
+        if len(read) != len(unread):
+            raise OSError("files changed while they were listed")
+        found += read
+        settled = (now - SETTLED_SECONDS) * 1e6
+        state = [
+            (row.path, row.length, row.modified, row.file_hash, row.header, row.modified < settled)
+            for row in read
+        ]
+        append_small(
+            control_rows(spark, state, FILE_STATE.names), f"{warehouse}/raw/file_states"
+        )
+    return control_rows(spark, found, names)
+
+
 def _load(spark, fresh, layouts, warehouse, chunk_size, multi_line) -> dict[str, str]:
     """Loads the files that are sound; the others come back with their reason.
 

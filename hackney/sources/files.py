@@ -24,6 +24,20 @@ FILE = T.StructType(
         T.StructField("file_path", T.StringType()),
         T.StructField("file_name", T.StringType()),
         T.StructField("length", T.LongType()),
+        # Microseconds of the epoch.
+        T.StructField("modified", T.LongType()),
+    ]
+)
+# What a file was when its content was read; ``settled`` if the time of change tells it from
+# whatever it may become later.
+FILE_STATE = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("modified", T.LongType()),
+        T.StructField("file_hash", T.StringType()),
+        T.StructField("header", T.StringType()),
+        T.StructField("settled", T.BooleanType()),
     ]
 )
 
@@ -33,21 +47,25 @@ def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def _listing(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    # Only names and sizes are selected, so no content is read.
-    return (
-        spark.read.format("binaryFile")
-        .options(**options)
-        .load(path)
-        .select(
-            "path",
-            F.col("_metadata.file_path").alias("file_path"),
-            base_name(F.col("path")).alias("file_name"),
-            "length",
-        )
+def base_name_of(path: str) -> str:
+    return path.rstrip("/").rpartition("/")[2]
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """The listing columns of a ``binaryFile`` frame; names and states only, no content."""
+    return files.select(
+        "path",
+        F.col("_metadata.file_path").alias("file_path"),
+        base_name(F.col("path")).alias("file_name"),
+        "length",
+        F.unix_micros("modificationTime").alias("modified"),
     )
 
 
+def _listing(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    return listed(spark.read.format("binaryFile").options(**options).load(path))
+
+
 def discover_csv(spark: SparkSession, prefix: str) -> DataFrame:
     """CSV files anywhere below ``prefix``, suffix in any case; empty ones aside."""
     try:
@@ -65,6 +83,23 @@ def single_file(spark: SparkSession, path: str) -> DataFrame:
     return _listing(spark, literal(path))
 
 
+def known_states(files: DataFrame, states: DataFrame) -> DataFrame:
+    """``files`` with the ``file_hash`` and ``header`` of the same path, length and time, if known."""
+    same = ["path", "length", "modified"]
+    return files.join(states.where("settled").dropDuplicates(same), same, "left").select(
+        *FILE.names, "file_hash", "header"
+    )
+
+
+def rewritten(files: DataFrame, states: DataFrame) -> DataFrame:
+    """Files whose path is known, but not for sure with this length and time."""
+    paths = states.select("path").distinct()
+    same = states.where("settled").select("path", "length", "modified")
+    return files.join(paths, "path", "left_semi").join(
+        same, ["path", "length", "modified"], "left_anti"
+    )
+
+
 def _hash_streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
