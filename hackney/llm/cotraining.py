@@ -278,6 +278,11 @@ def op4(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFra
 
 
 def keep_good(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``documents``, all columns, that the classifier does not reject."""
+    """``documents``, all columns, that the classifier does not reject.
+
+    Null texts count as empty, and null sources and languages as a value of their own; such
+    rows are judged like others. Repeated rows are judged alike, so all stay or all
+    go. Without labels nothing is sure enough to go. An empty table stays empty.
+    """
     score = scorer(spark, learn(spark, documents, labels))(*_columns(documents))
     return documents.filter(score["score"] >= THRESHOLD)

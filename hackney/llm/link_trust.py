@@ -65,7 +65,7 @@ LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or end; '' without one."""
-    rest = F.substring_index(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), "\0", -1)
+    rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
     return F.coalesce(F.translate(rest, _UPPER, _LOWER), F.lit(""))
 
 
@@ -79,7 +79,8 @@ def matched(rules: tuple[Rule, ...], host: Column, path: Column, what) -> Column
     Rules are a short list of the caller's; ties in length go to the first.
     """
     found = F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: len(r.name)):
+    # the rule looked at last is asked first
+    for rule in sorted(reversed(rules), key=lambda r: len(r.name)):
         fits = ((host == rule.host) | F.endswith(host, F.lit("." + rule.host))) & F.startswith(
             path, F.lit(rule.path)
         )

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``.
 
-    Only where the session names no such folder (single-machine tests) one is
-    made locally and set as the session's checkpoint folder.
+    Only where the session names no such folder and runs on one machine (tests) one is
+    made locally and set as the session's checkpoint folder; elsewhere that is an error.
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="hackney-shared-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/hackney-{uuid.uuid4().hex}"

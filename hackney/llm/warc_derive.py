@@ -95,6 +95,9 @@ def response_of(page_id: int | None, url: str | None, html: str | None, date: st
     return Response(headers, http, payload)
 
 
+_ASCII_LOWER = {k: k + 32 for k in range(ord("A"), ord("Z") + 1)}
+
+
 def parse_page(html: str) -> tuple[str, dict[str, list[str]]]:
     """The page's text, and its title, charset and links; one pass, any length.
 
@@ -102,6 +105,8 @@ def parse_page(html: str) -> tuple[str, dict[str, list[str]]]:
     without an end goes to the end of the page.
     """
     low, out, at, n = html.lower(), [], 0, len(html)
+    if len(low) != n:  # a dotted capital I becomes two; places must stay those of the page
+        low = html.translate(_ASCII_LOWER)
     meta: dict[str, list[str]] = {"title": [], "charset": [], "link": []}
     while at < n:
         tag = html.find("<", at)

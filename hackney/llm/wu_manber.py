@@ -378,7 +378,11 @@ def leaks(
 
 
 def without_leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``documents``, all columns, without those that hold a window of the benchmark."""
+    """``documents``, all columns, without those that hold a window of the benchmark.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together. Items without
+    words have no window. Empty tables take nothing away.
+    """
     kept = documents
     for name, patterns in pattern_blocks(spark, stage(spark, item_windows(benchmark), "items")):
         kept = kept.filter(_is_clean(name, patterns)("text"))

@@ -217,3 +217,18 @@ def test_op2_converges_on_a_cycle(spark):
     got = {r["host"]: r["distrust"] for r in link_trust.judge(spark, pages_of(spark, rows), rounds=None).collect()}
     for host, want in (("bad.net", 0.15 / (1 - 0.85**2)), ("x.org", 0.15 * 0.85 / (1 - 0.85**2))):
         assert abs(got[host] / link_trust.UNITS - want) < 0.5 * 6 / link_trust.PARTS
+
+
+def test_hosts_keep_every_character(spark):
+    urls = ["http://a\0b.example.com/en/x", "http://x\0example.com/en/", "HTTP://Ä.Example.COM?en", "a://b://c"]
+    rows = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = [tuple(r) for r in rows.select(link_trust.host_of(F.col("url")), link_trust.path_of(F.col("url"))).collect()]
+    assert got == [("a\0b.example.com", "/en/x"), ("x\0example.com", "/en/"), ("Ä.example.com", ""), ("b:", "//c")]
+
+
+def test_rules_of_one_length_go_by_their_order(spark):
+    rules = (link_trust.Rule("block", "a.com", "/b"), link_trust.Rule("allow", "com", "/bbb"))
+    page = spark.range(1).select(F.lit("a.com").alias("host"), F.lit("/bbb").alias("path"))
+    for some, first in ((rules, "block"), (rules[::-1], "allow")):
+        what = link_trust.matched(some, F.col("host"), F.col("path"), lambda rule: rule.verdict)
+        assert page.select(what).first()[0] == first

@@ -86,3 +86,8 @@ def test_op9_of_an_empty_table_and_the_index(spark):
     index = warc.write_derivatives(pages_of(spark), shared_dir(spark))
     assert index.count() == 2 * len(ROWS)
     assert index.select("path", "offset").distinct().count() == 2 * len(ROWS)
+
+
+def test_letters_that_grow_in_lower_case_shift_nothing():
+    text, _ = warc.parse_page("İ" * 9 + "<p>a</P><SCRIPT>x y</script>b<!-- c -->d")
+    assert text == "İ" * 9 + "\na\nbd"
