@@ -9,22 +9,25 @@ from hackney.llm.scratch import stage, tables
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject; null and empty texts are judged too."""
     return cotraining.keep_good(spark, docs, tables(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
+    """One document of each component of near copies; repeated rows and null texts are copies."""
     return simhash_bktree.keep_one(spark, docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the long strings that occur elsewhere too."""
+    """All documents, without passages of over fifty words that other documents have too.
+
+    Null, empty and short texts stay as they are; repeated rows lose what they share.
+    """
     return substring_dedup.without_repeats(spark, docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
+    """Documents without passages of the benchmark; null and empty texts have none and stay."""
     return wu_manber.without_leaks(spark, docs, tables(spark, sf_dir, "benchmark"))
 
 
@@ -40,7 +43,7 @@ STAGES = [
     ("benchmark decontamination", leaks),
     ("best-fit packing", packing),
 ]
-#: Classifiers, XXH64 and the tokenizer are beyond SQL; tests/llm/test_pipeline.py
+#: Classifiers, XXH64 and the tokenizer are beyond SQL; tests/llm/test_corpus.py
 #: compares the rows with a plain version.
 ORACLE_SQL = None
 
