@@ -9,12 +9,12 @@ count upwards through the pieces of a text and skip one at each end of a piece,
 3. merge-joins the occurrences left with themselves, place with place plus one, and
    writes the relation that is one word longer.
 
-A relation is stored in blocks of some ``BLOCK_WORDS`` words of one language, one row each, in
-order of place, with the block's different grams and how often each occurs. No piece
-lies in two blocks, so the merge join stays in its block, and what Spark shuffles are
-grams counted by block and numbers of frequent grams, never occurrences by gram. A
-gram longer than one word is a pair of numbers of frequent grams one word shorter, which
-overlap in all but their ends; numbers come from the written tables of frequent grams.
+A relation is stored in blocks of some ``BLOCK_WORDS`` words of one language: a row for each
+different gram with how often the block has it, and one row with the occurrences in
+order of place, packed. No piece lies in two blocks, so the merge join stays in its
+block, and what Spark shuffles are grams counted by block and numbers of frequent
+grams, never occurrences by gram. Words are numbered
+once, by the table of frequent words; a longer gram is the numbers of its words.
 """
 
 from __future__ import annotations
@@ -25,47 +25,81 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hackney.operators.numbering import rows_before
+
 from .scratch import small_batches, stage
-from .worker import release
+from .worker import groups, release
 
 LEAST = 10
 LONGEST = 3
 SHARE = 50
 TOP = 2000
-#: Words of a block; its last piece may go beyond.
-BLOCK_WORDS = 1_000_000
+#: Words and ends of pieces of a block; its last run of pieces may go beyond.
+BLOCK_WORDS = 2_000_000
 NO_LANG = "und"
 
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(_ENDS))
 _NOTHING, _END = 0, 1  # codes of what is no word
+#: Rows of a relation: grams of a block, numbered by ``at``, and one with its occurrences.
 _WORDS = pa.schema(
-    [
-        ("lang", pa.string()),
-        ("word", pa.list_(pa.string())),
-        ("times", pa.list_(pa.int64())),
-        ("place", pa.list_(pa.int32())),
-        ("gram", pa.list_(pa.int32())),
-    ]
-)
-_GRAMS = pa.schema(
     [
         ("block", pa.int64()),
         ("lang", pa.string()),
-        ("head", pa.list_(pa.int64())),
-        ("tail", pa.list_(pa.int64())),
-        ("times", pa.list_(pa.int64())),
-        ("place", pa.list_(pa.int32())),
-        ("gram", pa.list_(pa.int32())),
+        ("at", pa.int32()),
+        ("word", pa.string()),
+        ("times", pa.int64()),
+        ("occurrences", pa.binary()),
     ]
 )
-_WORDS_DDL = "lang string, word array<string>, times array<long>, place array<int>, gram array<int>"
-_GRAMS_DDL = (
-    "block long, lang string, head array<long>, tail array<long>, times array<long>, place array<int>, gram array<int>"
-)
+_WORDS_DDL = "block long, lang string, at int, word string, times long, occurrences binary"
+_OCCURRENCES = -1  # ``at`` of the row that has them; sorts before the grams
+
+
+def _names(size: int) -> list[str]:
+    return [f"w{k}" for k in range(1, size + 1)]
+
+
+def _gram_schema(size: int) -> pa.Schema:
+    numbers = [(name, pa.int64()) for name in [*_names(size), "times"]]
+    lead, end = list(_WORDS)[:3], [("occurrences", pa.binary())]
+    return pa.schema([*lead, *numbers, *end])
+
+
+def _gram_ddl(size: int) -> str:
+    numbers = ", ".join(f"{name} long" for name in [*_names(size), "times"])
+    return f"block long, lang string, at int, {numbers}, occurrences binary"
+
+
+def pack(place: np.ndarray, gram: np.ndarray) -> bytes:
+    """Occurrences in order of place, as compressed differences and gram numbers."""
+    both = np.stack([np.diff(place, prepend=0), gram]).astype("<i4")
+    # like bytes of all numbers side by side
+    return zstandard.compress(both.reshape(2, -1, 1).view(np.uint8).transpose(0, 2, 1).tobytes(), 1)
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    gap, gram = raw.reshape(2, 4, -1).transpose(0, 2, 1).copy().view("<i4")[..., 0]
+    return np.cumsum(gap), gram
+
+
+def _rows(schema: pa.Schema, block: int, lang: str, place: np.ndarray, gram: np.ndarray, *columns):
+    """Batches of a block: the row of its occurrences, then its grams."""
+    none = [pa.nulls(1, f.type) for f in list(schema)[3:-1]]
+    lead = [pa.array([block]), pa.array([lang]), pa.array([_OCCURRENCES], pa.int32()), *none, pa.array([pack(place, gram)])]
+    yield pa.RecordBatch.from_arrays(lead, schema=schema)
+    for k in range(0, len(columns[0]), 50_000):
+        part = [pa.array(c[k : k + 50_000], f.type) for c, f in zip(columns, list(schema)[3:-1], strict=True)]
+        n = len(part[0])
+        at = pa.array(np.arange(k, k + n, dtype=np.int32))
+        own = [pa.array(np.full(n, block)), pa.repeat(pa.scalar(lang), n), at, *part, pa.nulls(n, pa.binary())]
+        yield pa.RecordBatch.from_arrays(own, schema=schema)
 
 
 class _Block:
@@ -75,22 +109,23 @@ class _Block:
         self.codes = defaultdict()
         self.codes.default_factory = self.codes.__len__
         self.found: list[np.ndarray] = []
+        self.units = 0
         self.codes[b""], self.codes[b"\n"]  # _NOTHING, _END
 
-    def add(self, text: bytes) -> int:
-        """Takes whole pieces, lower-cased, each ended by a line end; how many units they are."""
+    def add(self, text: bytes) -> None:
+        """Takes whole pieces, lower-cased, each ended by a line end."""
         units = (text.replace(b"\n", b" \n ") + b" \n").split(b" ")
         codes = np.fromiter(map(self.codes.__getitem__, units), np.int32, len(units))
-        codes = codes[codes != _NOTHING]
-        self.found.append(codes)
-        return len(codes)
+        self.found.append(codes[codes != _NOTHING])
+        self.units += len(self.found[-1])
 
-    def row(self) -> tuple:
+    def rows(self, block: int, lang: str) -> Iterator[pa.RecordBatch]:
         codes = np.concatenate(self.found)
-        place = np.flatnonzero(codes != _END).astype(np.int32)
+        place = np.flatnonzero(codes != _END)
         gram = codes[place] - 2
         words = [w.decode() for w in list(self.codes)[2:]]
-        return words, np.bincount(gram, minlength=len(words)), place, gram
+        if words:
+            yield from _rows(_WORDS, block, lang, place, gram, words, np.bincount(gram, minlength=len(words)))
 
 
 def _runs(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
@@ -111,25 +146,25 @@ def word_blocks(block_words: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         held: dict[str, _Block] = {}
-        words = 0
-
-        def flush(langs: list[str]) -> Iterator[pa.RecordBatch]:
-            for lang in langs:
-                row = held.pop(lang).row()
-                if len(row[0]):
-                    values = [[lang], *([x] for x in row)]
-                    arrays = [pa.array(v, f.type) for v, f in zip(values, _WORDS, strict=True)]
-                    yield pa.RecordBatch.from_arrays(arrays, schema=_WORDS)
+        total, made = 0, 0
+        first = TaskContext.get().partitionId() << 33
 
         for batch in batches:
             for lang, text in zip(batch[0].to_pylist(), batch[1], strict=True):
                 for run in _runs((text.as_py() or "").encode().translate(_LOWER)):
-                    words += held.setdefault(lang, _Block()).add(run)
-                    # many languages together hold no more than one block either
-                    if words >= block_words:
-                        yield from flush(list(held))
-                        words = 0
-        yield from flush(list(held))
+                    block = held.setdefault(lang, _Block())
+                    block.add(run)
+                    total += len(block.found[-1])
+                    # many languages together hold no more than two blocks
+                    if block.units >= block_words or total >= 2 * block_words:
+                        largest = max(held, key=lambda name: held[name].units)
+                        block = held.pop(largest)
+                        total -= block.units
+                        yield from block.rows(first + made, largest)
+                        made += 1
+        for name, block in held.items():
+            yield from block.rows(first + made, name)
+            made += 1
 
     return read
 
@@ -143,51 +178,58 @@ def merge_join(place: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nd
     return place[at], number[at], number[at + 1]
 
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The relation one word longer, of rows (block, lang, place, gram, at, id).
+def extend(size: int):
+    """The relation of grams of ``size`` words, of the one a word shorter, for ``mapInArrow``.
 
-    ``at`` and ``id``: the block's grams that are frequent, and their numbers.
+    Rows (block, at, lang, words' numbers, occurrences) are sorted by block and at: a block has
+    its occurrences first, then those of its grams that are frequent.
     """
-    release()
-    for batch in batches:
-        for k in range(batch.num_rows):
-            place, gram, at, ids = (batch[c][k].values.to_numpy() for c in range(2, 6))
-            number = np.full(max(int(gram.max()), int(at.max())) + 1, -1, np.int64)
-            number[at] = np.arange(len(at))
-            number = number[gram]
-            frequent = number >= 0
-            place, head, tail = merge_join(place[frequent], number[frequent])
-            if not len(place):
-                continue
-            pairs, gram, times = np.unique(head * len(at) + tail, return_inverse=True, return_counts=True)
-            columns = [ids[pairs // len(at)], ids[pairs % len(at)], times, place, gram.astype(np.int32)]
-            values = [[batch[0][k].as_py()], [batch[1][k].as_py()], *([x] for x in columns)]
-            arrays = [pa.array(v, f.type) for v, f in zip(values, _GRAMS, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=_GRAMS)
+    schema, words = _gram_schema(size), _names(size - 1)
+
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for rows in groups(batches, "block"):
+            place, gram = unpack(rows["occurrences"][0].as_py())
+            at = rows["at"][1:].to_numpy()
+            numbers = [rows[c][1:].to_numpy() for c in words]
+            row = np.full(int(gram.max()) + 1, -1, np.int64)
+            row[at] = np.arange(len(at))
+            row = row[gram]
+            frequent = row >= 0
+            place, head, tail = merge_join(place[frequent], row[frequent])
+            if len(place):
+                pairs, gram, times = np.unique(head * len(at) + tail, return_inverse=True, return_counts=True)
+                head, tail = pairs // len(at), pairs % len(at)
+                columns = [*(n[head] for n in numbers), numbers[-1][tail], times]
+                yield from _rows(schema, rows["block"][0].as_py(), rows["lang"][0].as_py(), place, gram, *columns)
+
+    return longer
 
 
 def _numbered(spark: SparkSession, counted: DataFrame, name: str) -> DataFrame:
-    """``counted``, written, each row with a number of its own, written again."""
-    rows = stage(spark, counted, name)
-    return stage(spark, rows.withColumn("id", F.monotonically_increasing_id()), f"{name}-numbered")
+    """``counted``, written, each row with a number of its own, without gaps."""
+    rows = stage(spark, counted.withColumn("mark", F.monotonically_increasing_id()), name)
+    rows = rows.withColumn("piece", F.shiftright("mark", 33))
+    pieces = rows_before(rows.groupBy("piece").agg(F.count("*").alias("rows")), "piece", "rows")
+    number = F.col("rows_before") + F.col("mark") - F.shiftleft("piece", 33)
+    rows = rows.join(pieces.drop("rows"), "piece").withColumn("id", number)
+    return stage(spark, rows.drop("piece", "mark", "rows_before"), f"{name}-numbered")
 
 
-def _count(blocks: DataFrame, *gram: str) -> DataFrame:
+def _count(relation: DataFrame, *gram: str) -> DataFrame:
     """(lang, gram, f): the groups of a relation, summed from their counts by block."""
-    each = blocks.select("lang", F.explode(F.arrays_zip(*gram, "times")).alias("g"))
-    return each.groupBy("lang", *(F.col(f"g.{c}").alias(c) for c in gram)).agg(F.sum("g.times").alias("f"))
+    grams = relation.filter(F.col("at") != _OCCURRENCES)
+    return grams.groupBy("lang", *gram).agg(F.sum("times").alias("f"))
 
 
-def _longer(spark: SparkSession, blocks: DataFrame, frequent: DataFrame, name: str, *gram: str) -> DataFrame:
-    """The relation one word longer: blocks semi-joined with ``frequent``, then with themselves."""
-    each = blocks.select("block", "lang", F.posexplode(F.arrays_zip(*gram)).alias("at", "g"))
-    each = each.select("block", "lang", "at", *(F.col(f"g.{c}").alias(c) for c in gram))
-    keep = each.join(frequent.select("lang", *gram, "id"), ["lang", *gram])
-    # bounded by the grams of a block
-    keep = keep.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("keep"))
-    rows = blocks.select("block", "lang", "place", "gram").join(keep, "block")
-    rows = rows.select("block", "lang", "place", "gram", "keep.at", "keep.id")
-    return stage(spark, rows.mapInArrow(_extend, _GRAMS_DDL), name, "zstd")
+def _longer(spark: SparkSession, relation: DataFrame, keep: DataFrame, size: int) -> DataFrame:
+    """The relation of ``size`` words: the grams of ``keep``, merge-joined with themselves."""
+    words = _names(size - 1)
+    places = relation.filter(F.col("at") == _OCCURRENCES).select("block", "at", "lang", "occurrences")
+    rows = places.unionByName(keep.select("block", "at", *words), allowMissingColumns=True)
+    rows = rows.select("block", "at", "lang", *words, "occurrences")
+    rows = rows.repartition("block").sortWithinPartitions("block", "at")
+    return stage(spark, rows.mapInArrow(extend(size), _gram_ddl(size)), f"occurrences-{size}", "zstd")
 
 
 def frequent_phrases(
@@ -199,36 +241,27 @@ def frequent_phrases(
 ) -> tuple[list[DataFrame], DataFrame]:
     """Frequent grams of each length, and the words of each language (lang, n).
 
-    The first table is (lang, word, f, id); that of length k + 1 is (lang, head, tail, f, id),
-    where head and tail are ids of length k: the first and the last k words.
+    The first table is (lang, w1, word, f), where w1 is the word's number; that of length k is
+    (lang, w1 to wk, f). Numbers differ by language too.
     """
     small_batches(spark)
     texts = documents.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text").filter("text is not null")
-    blocks = texts.mapInArrow(word_blocks(block_words), _WORDS_DDL)
-    blocks = stage(spark, blocks.withColumn("block", F.monotonically_increasing_id()), "words", "zstd")
-    words = stage(spark, _count(blocks, "word"), "word-counts")
+    relation = stage(spark, texts.mapInArrow(word_blocks(block_words), _WORDS_DDL), "words", "zstd")
+    words = stage(spark, _count(relation, "word"), "word-counts")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    tables = [_numbered(spark, words.filter(F.col("f") >= least), "frequent-1")]
-    gram = ("word",)
+    tables = [_numbered(spark, words.filter(F.col("f") >= least), "frequent-1").withColumnRenamed("id", "w1")]
     for size in range(2, longest + 1):
-        blocks = _longer(spark, blocks, tables[-1], f"occurrences-{size}", *gram)
-        gram = ("head", "tail")
-        tables.append(_numbered(spark, _count(blocks, *gram).filter(F.col("f") >= least), f"frequent-{size}"))
+        grams = relation.filter(F.col("at") != _OCCURRENCES)
+        if size == 2:
+            keep = grams.join(tables[0].select("lang", "word", "w1"), ["lang", "word"])
+        else:
+            keep = grams.join(tables[-1], _names(size - 1), "left_semi")
+        relation = _longer(spark, relation, keep, size)
+        frequent = _count(relation, *_names(size)).filter(F.col("f") >= least)
+        tables.append(stage(spark, frequent, f"frequent-{size}"))
     return tables, totals
 
 
-def _spelled(spark: SparkSession, tables: list[DataFrame]) -> list[DataFrame]:
-    """Each table with ``phrase``: the head's words and the last word of the tail."""
-    out = [tables[0].select("lang", "id", "f", F.col("word").alias("phrase"), F.col("word").alias("last"))]
-    for table in tables[1:]:
-        head = out[-1].select(F.col("id").alias("head"), F.col("phrase").alias("begin"))
-        tail = out[-1].select(F.col("id").alias("tail"), F.col("last"))
-        rows = table.join(head, "head").join(tail, "tail")
-        rows = rows.select("lang", "id", "head", "tail", "f", F.concat_ws(" ", "begin", "last").alias("phrase"), "last")
-        out.append(stage(spark, rows, "phrases"))
-    return out
-
-
 def _cuts(size: int) -> Column:
     """The lowest-scoring cut of words 1 to ``size``: struct of score, k, l and r.
 
@@ -251,25 +284,18 @@ def _cuts(size: int) -> Column:
     return cuts[0] if len(cuts) == 1 else F.least(*cuts)
 
 
-def _with_parts(phrases: list[DataFrame], size: int) -> DataFrame:
-    """Grams of ``size`` words with f of every part that a cut leaves.
-
-    A gram's first and last words are its head and tail, theirs are their own heads and
-    tails, so each further part is one step along numbers of frequent grams.
-    """
-    rows = phrases[size - 1].withColumnRenamed("f", "a")
-    rows = rows.withColumns({f"id_1_{size - 1}": F.col("head"), f"id_2_{size}": F.col("tail")})
-    for width in range(size - 1, 0, -1):
-        table = phrases[width - 1]
+def _with_parts(tables: list[DataFrame], size: int) -> DataFrame:
+    """Grams of ``size`` words, spelled, with f of every part that a cut leaves."""
+    rows = tables[size - 1].withColumnRenamed("f", "a")
+    for width in range(1, size):
         for i in (1, size - width + 1):
-            j = i + width - 1
-            down = []
-            if width > 1:  # the part one shorter at the same end of the gram
-                part = f"id_{i}_{j - 1}" if i == 1 else f"id_{i + 1}_{j}"
-                down = [F.col("head" if i == 1 else "tail").alias(part)]
-            found = table.select(F.col("id").alias(f"id_{i}_{j}"), F.col("f").alias(f"part_{i}_{j}"), *down)
-            rows = rows.join(found, f"id_{i}_{j}")
-    return rows
+            own = _names(size)[i - 1 : i - 1 + width]
+            part = tables[width - 1].select(*_names(width), F.col("f").alias(f"part_{i}_{i + width - 1}"))
+            rows = rows.join(part.toDF(*own, part.columns[-1]), own)
+    for name in _names(size):
+        word = tables[0].select(F.col("w1").alias(name), F.col("word").alias(f"word_{name}"))
+        rows = rows.join(word, name)
+    return rows.withColumn("phrase", F.concat_ws(" ", *(f"word_{name}" for name in _names(size))))
 
 
 def mine(
@@ -288,21 +314,20 @@ def mine(
     language counts as ``und``. Repeated rows count again.
     """
     tables, totals = frequent_phrases(spark, documents, longest, least, block_words)
-    phrases = _spelled(spark, tables)
     out, around = [], None
     for size in range(longest, 1, -1):
-        rows = _with_parts(phrases, size).withColumn("cut", _cuts(size))
-        rows = rows.select("lang", F.lit(size).alias("size"), "id", "phrase", "a", "cut.l", "cut.r", "cut.score")
+        words = _names(size)
+        rows = _with_parts(tables, size).withColumn("cut", _cuts(size))
+        rows = rows.select("lang", F.lit(size).alias("size"), *words, "phrase", "a", "cut.l", "cut.r", "cut.score")
         if around is None:
             rows = rows.withColumn("most", F.lit(0).cast("long"))
         else:
-            rows = rows.join(around, "id", "left").withColumn("most", F.coalesce("most", F.lit(0)))
-        out.append(rows.withColumn("dropped", F.col("most") * 100 >= F.col("a") * share).drop("id"))
+            rows = rows.join(around, words, "left").withColumn("most", F.coalesce("most", F.lit(0)))
+        out.append(rows.withColumn("dropped", F.col("most") * 100 >= F.col("a") * share).drop(*words))
         # How often the most frequent gram that is one word longer occurs around each; a gram
         # longer still occurs no more often, and holds one of these.
-        ends = phrases[size - 1].select(F.col("head").alias("id"), "f")
-        ends = ends.union(phrases[size - 1].select("tail", "f"))
-        around = stage(spark, ends.groupBy("id").agg(F.max("f").alias("most")), "around")
+        ends = tables[size - 1].select(*words[:-1], "f").union(tables[size - 1].select(*words[1:], "f"))
+        around = stage(spark, ends.groupBy(*words[:-1]).agg(F.max("f").alias("most")), "around")
     found = reduce(DataFrame.unionByName, out).drop("most")
     return found.join(totals, "lang").select("lang", "size", "phrase", "a", "l", "r", "n", "score", "dropped")
 

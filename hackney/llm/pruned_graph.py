@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import stage
-from .worker import release
+from .worker import groups, release
 
 NEAREST = 5
 EVERY = 50
@@ -241,11 +241,7 @@ _FOUND_SCHEMA = pa.schema(
 def _graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A graph for each shard, of rows (shard, k1, k2, vec_id, dim, vector) sorted by the first four."""
     release()
-    held: list[pa.RecordBatch] = []
-
-    def flush() -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        held.clear()
+    for rows in groups(batches, "shard"):
         k1, k2, ids = (rows[c].to_numpy() for c in ("k1", "k2", "vec_id"))
         first = np.ones(len(ids), bool)
         first[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
@@ -263,18 +259,7 @@ def _graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "vector": vectors,
             "edges": pa.ListArray.from_arrays(ends, edges[own]),
         }
-        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    for batch in batches:
-        shard = batch["shard"].to_numpy()
-        cuts = np.flatnonzero(shard[1:] != shard[:-1]) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(shard)], strict=True):
-            if b > a:
-                if held and held[-1]["shard"][0] != batch["shard"][int(a)]:
-                    yield flush()
-                held.append(batch.slice(a, b - a))
-    if held:
-        yield flush()
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def index(spark: SparkSession, rows: DataFrame, nearest: int = NEAREST) -> DataFrame:
@@ -375,9 +360,9 @@ def search(
     queries = stage(spark, asked.groupBy("k1", "k2", "dim").agg(F.first("vector").alias("vector")), "queries")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     group = F.expr(f"shard div {SHARD_GROUP}").alias("group")
-    groups = graphs.select("dim", group).distinct()  # few rows: one for each group of shards
+    reach = graphs.select("dim", group).distinct()  # few rows: one for each group of shards
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.lit(blocks)))
-    dealt = dealt.join(groups, "dim").groupBy("dim", "group", "block")
+    dealt = dealt.join(reach, "dim").groupBy("dim", "group", "block")
     nodes = graphs.select("*", group, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     nodes = nodes.withColumn("block", F.col("block").cast("long")).groupBy("dim", "group", "block")
     found = stage(spark, dealt.cogroup(nodes).applyInArrow(_meet(beam, nearest), _FOUND), "found")

@@ -7,9 +7,10 @@ another operator, or for other data, begins: memory never adds up over a pipelin
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 
 _HELD: dict[Any, Any] = {}
@@ -27,3 +28,20 @@ def release() -> None:
     """For tasks that keep nothing; what earlier batches took goes back as well."""
     _HELD.clear()
     pa.default_memory_pool().release_unused()
+
+
+def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each value of ``key``, a number, of batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch[key].to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+            if b == a:
+                continue
+            if held and held[-1][key][0] != batch[key][int(a)]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
