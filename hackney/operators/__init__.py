@@ -6,6 +6,7 @@ from hackney.operators.incremental import (
     new_files,
     pending_batches,
 )
+from hackney.operators.intervals import Ranges, as_numbers, as_ranges, pending_ranges
 from hackney.operators.latest import (
     first_by_key,
     latest_by_key,
@@ -19,6 +20,9 @@ from hackney.operators.validation import RULES, clean, rule_counts, validate
 __all__ = [
     "Frame",
     "RULES",
+    "Ranges",
+    "as_numbers",
+    "as_ranges",
     "assign_batches",
     "clean",
     "distinct_batches",
@@ -31,6 +35,7 @@ __all__ = [
     "new_files",
     "number_by_key",
     "pending_batches",
+    "pending_ranges",
     "repeated_keys",
     "rolling_statistics",
     "rows_before",

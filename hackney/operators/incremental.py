@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hackney.operators.intervals import as_numbers, as_ranges, pending_ranges
 from hackney.operators.latest import first_by_key
 
 
@@ -23,7 +24,7 @@ def distinct_batches(rows: DataFrame) -> DataFrame:
 
 def pending_batches(batches: DataFrame, processed: DataFrame) -> DataFrame:
     """Batches that no entry of ``processed`` covers."""
-    return batches.join(processed.select("batch_no"), "batch_no", "left_anti")
+    return as_numbers(pending_ranges(as_ranges(batches), as_ranges(processed)))
 
 
 def max_batch_no(rows: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hackney.operators.incremental import pending_batches
+from hackney.operators.intervals import as_numbers, pending_ranges
 from hackney.plans.ingest import check_load_mode
-from hackney.plans.silver import batch_log, log_batches, silver_table
+from hackney.plans.silver import log_batches, logged_ranges, silver_table
 from hackney.schemas import DIM_DATE, DIM_VENDOR, FACT_TRIPS, SILVER
 from hackney.sources.storage import append_small, control_rows, delete_path, read_or_empty
 from hackney.sources.tables import KeyedTable
@@ -95,13 +95,13 @@ def build_gold(
     check_load_mode(load_mode)
     table = silver_table(spark, warehouse, buckets)
     version = table.version()
-    done = batch_log(spark, warehouse)
+    done = logged_ranges(spark, warehouse)
     if load_mode == "incremental":
-        done = pending_batches(done, batch_log(spark, warehouse, "gold"))
+        done = pending_ranges(done, logged_ranges(spark, warehouse, "gold"))
         if done.isEmpty():
             return False
         changed = table.read(after=seen_version(spark, warehouse))
-        silver = changed.join(done, "batch_no", "left_semi")
+        silver = changed.join(as_numbers(done), "batch_no", "left_semi")
     else:
         silver = table.read()
     stage = f"{warehouse}/gold/stage/silver"

@@ -81,11 +81,11 @@ def file_states(spark: SparkSession, warehouse: str) -> DataFrame:
 
 
 def committed_batches(spark: SparkSession, warehouse: str) -> DataFrame:
-    """(load_id, batch_no) of every committed batch, from the log alone."""
+    """(load_id, first_batch, last_batch): a range for each loaded file, from the log alone."""
     return (
         load_log(spark, warehouse)
         .where("row_count > 0")
-        .select("load_id", F.explode(F.sequence("first_batch", "last_batch")).alias("batch_no"))
+        .select("load_id", "first_batch", "last_batch")
     )
 
 

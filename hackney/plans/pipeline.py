@@ -4,6 +4,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
+from hackney.operators.intervals import Ranges
 from hackney.plans.gold import build_gold
 from hackney.plans.ingest import DEFAULT_CHUNK_SIZE, IngestResult, ingest
 from hackney.plans.silver import build_silver
@@ -12,7 +13,7 @@ from hackney.plans.silver import build_silver
 @dataclass(frozen=True)
 class PipelineResult:
     raw: IngestResult
-    silver_batches: list[int]
+    silver_batches: Ranges
     gold_built: bool
 
 

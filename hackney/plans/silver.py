@@ -3,12 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hackney.operators.incremental import insert_if_absent, pending_batches
+from hackney.operators.intervals import Ranges, as_numbers, pending_ranges
 from hackney.operators.latest import latest_by_key, repeated_keys
 from hackney.operators.validation import clean, validate
 from hackney.plans.ingest import check_load_mode, committed_batches, transactions_raw
-from hackney.schemas import BATCH_LOG, SILVER
-from hackney.sources.storage import append_small, delete_path, read_or_empty
+from hackney.schemas import BATCH_LOG, BATCH_RANGES, SILVER
+from hackney.sources.storage import append_small, control_rows, delete_path, read_or_empty
 from hackney.sources.tables import KeyedTable
 
 
@@ -19,20 +19,31 @@ def silver_table(
     return KeyedTable(spark, path, SILVER, ["id"], buckets, parts)
 
 
+def logged_ranges(spark: SparkSession, warehouse: str, layer: str = "silver") -> DataFrame:
+    """The processed batches as the log holds them: disjoint ranges with their time.
+
+    Logs that name every batch, as they did before, count as well.
+    """
+    single = read_or_empty(spark, f"{warehouse}/{layer}/batch_log", BATCH_LOG)
+    ranges = read_or_empty(spark, f"{warehouse}/{layer}/batch_ranges", BATCH_RANGES)
+    number = [F.col("batch_no").alias(end) for end in ("first_batch", "last_batch")]
+    return ranges.unionByName(single.select(*number, "processed_at"))
+
+
 def batch_log(spark: SparkSession, warehouse: str, layer: str = "silver") -> DataFrame:
-    return read_or_empty(spark, f"{warehouse}/{layer}/batch_log", BATCH_LOG)
+    """One row per processed batch: batch_no, processed_at."""
+    numbers = F.explode(F.sequence("first_batch", "last_batch")).alias("batch_no")
+    return logged_ranges(spark, warehouse, layer).select(numbers, "processed_at")
 
 
 def log_batches(
     spark: SparkSession, warehouse: str, batches: DataFrame, layer: str = "silver"
 ) -> None:
-    """Mark batches as processed; ones already in the log stay as they are."""
-    entries = insert_if_absent(
-        batch_log(spark, warehouse, layer), batches.select("batch_no"), ["batch_no"]
-    )
+    """Mark ranges of batches as processed; ones already in the log stay as they are."""
+    entries = pending_ranges(batches, logged_ranges(spark, warehouse, layer))
     append_small(
         entries.withColumn("processed_at", F.current_timestamp()),
-        f"{warehouse}/{layer}/batch_log",
+        f"{warehouse}/{layer}/batch_ranges",
     )
 
 
@@ -60,32 +71,43 @@ def build_silver(
     buckets: int = 64,
     strict: bool = False,
     parts: int = 1,
-) -> list[int]:
+) -> Ranges:
     """Merge all pending batches in one pass; returns their numbers, ascending.
 
-    ``full`` takes every batch again. With ``strict`` an id that occurs twice
+    They come to the driver as ranges. ``full`` takes every batch again. With ``strict`` an id that occurs twice
     among the valid rows of one batch is an error instead of a last-row win.
     """
     check_load_mode(load_mode)
     batches = committed_batches(spark, warehouse)
-    if load_mode == "incremental":
-        batches = pending_batches(batches, batch_log(spark, warehouse))
+    done = logged_ranges(spark, warehouse)
+    # Fixed once, so that the rows merged and the batches logged are the same.
+    wanted = pending_ranges(batches, done if load_mode == "incremental" else done.limit(0))
+    numbers = Ranges(map(tuple, wanted.collect()))
+    if not numbers:
+        return numbers
+    ends = [(part.start, part.stop - 1) for part in numbers.ranges]
+    wanted = control_rows(spark, ends, ["first_batch", "last_batch"]).select(
+        *[F.col(end).cast("int") for end in ("first_batch", "last_batch")]
+    )
 
-    # Fixed once, so that the rows merged and the batches logged are the same;
-    # read back from files, so that Catalyst sees its real size.
+    # The numbers themselves stay in files, so that Catalyst sees their real size.
     path = f"{warehouse}/silver/stage/pending"
-    batches.select("load_id", "batch_no").write.mode("overwrite").parquet(path)
+    as_numbers(wanted).write.mode("overwrite").parquet(path)
     pending = spark.read.parquet(path)
-    numbers = [r.batch_no for r in pending.select("batch_no").distinct().collect()]
-    if numbers:
-        loads = [r.load_id for r in pending.select("load_id").distinct().collect()]
-        raw = transactions_raw(spark, warehouse, loads)
-        judged = silver_rows(raw.join(pending, ["load_id", "batch_no"], "left_semi"))
-        if strict:
-            twice = repeated_keys(judged.where("is_valid"), ["batch_no", "id"]).first()
-            if twice:
-                raise ValueError(f"id {twice.id!r} occurs twice in batch {twice.batch_no}")
-        silver_table(spark, warehouse, buckets, parts).merge(latest_valid(judged))
-        log_batches(spark, warehouse, pending)
+    # A load's batches follow each other, and no other load has numbers between them.
+    loads = batches.groupBy("load_id").agg(
+        F.min("first_batch").alias("first_batch"), F.max("last_batch").alias("last_batch")
+    )
+    near = [r.load_id for r in loads.collect() if numbers.overlap(r.first_batch, r.last_batch)]
+    raw = transactions_raw(spark, warehouse, near).where(
+        F.col("batch_no").between(ends[0][0], ends[-1][1])
+    )
+    judged = silver_rows(raw.join(pending, "batch_no", "left_semi"))
+    if strict:
+        twice = repeated_keys(judged.where("is_valid"), ["batch_no", "id"]).first()
+        if twice:
+            raise ValueError(f"id {twice.id!r} occurs twice in batch {twice.batch_no}")
+    silver_table(spark, warehouse, buckets, parts).merge(latest_valid(judged))
+    log_batches(spark, warehouse, wanted)
     delete_path(spark, path)
-    return sorted(numbers)
+    return numbers

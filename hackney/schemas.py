@@ -71,6 +71,14 @@ BATCH_LOG = T.StructType(
     ]
 )
 
+BATCH_RANGES = T.StructType(
+    [
+        T.StructField("first_batch", T.IntegerType()),
+        T.StructField("last_batch", T.IntegerType()),
+        T.StructField("processed_at", T.TimestampType()),
+    ]
+)
+
 SILVER = T.StructType(
     [
         T.StructField("id", T.StringType()),
