@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from hackney.operators.numbering import rows_before
+from hackney.operators.selection import newest_span, seconds_of
 from hackney.plans.gold import fact_trips
 from hackney.plans.products import PRODUCTS
 from hackney.sources.storage import delete_path
@@ -40,20 +41,41 @@ def newest_first(product: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFr
 def _first_rows(product: DataFrame, max_rows: int, stage: str) -> DataFrame:
     """Exactly the first ``max_rows`` of ``newest_first``, by many tasks.
 
+    The product is written once. Histograms of its times find the span with the last
+    row to keep; rows newer than that are in, older ones out, and only those in it are
+    sorted to be cut.
+    """
+    product.write.mode("overwrite").parquet(f"{stage}/rows")
+    rows = product.sparkSession.read.schema(product.schema).parquet(f"{stage}/rows")
+    span = newest_span(rows, "pickup_datetime", max_rows)
+    if span is None:
+        return newest_first(rows, ALL_ROWS)
+    at = seconds_of(rows, "pickup_datetime")
+    if span.high is None:
+        newer, last = rows.where(F.lit(False)), rows.where("pickup_datetime IS NULL")
+    else:
+        newer = rows.where((at >= span.high) | F.col("pickup_datetime").isNull())
+        last = rows.where((at >= span.low) & (at < span.high))
+    if span.above + span.inside > max_rows:
+        last = _cut(last, max_rows - span.above, f"{stage}/last")
+    return newest_first(newer.unionByName(last), ALL_ROWS)
+
+
+def _cut(rows: DataFrame, count: int, stage: str) -> DataFrame:
+    """The first ``count`` of ``rows`` in the order of ``newest_first``.
+
     The sorted rows are written with their place in their sort range. Counting the
     ranges tells how many rows lie before each, and so which rows to keep.
     """
-    spark = product.sparkSession
-    newest_first(product, ALL_ROWS).withColumn(
+    newest_first(rows, ALL_ROWS).withColumn(
         "_mark", F.monotonically_increasing_id()
     ).write.mode("overwrite").parquet(stage)
     # The upper bits of a mark are the number of its sort range.
-    rows = spark.read.parquet(stage).withColumn("_range", F.shiftright("_mark", 33))
-    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    marked = rows.sparkSession.read.parquet(stage).withColumn("_range", F.shiftright("_mark", 33))
+    sizes = marked.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = rows_before(sizes, "_range", "_size").select("_range", "rows_before")
     place = F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("rows_before")
-    kept = rows.join(before, "_range").where(place < max_rows)
-    return newest_first(kept.select(*product.columns), ALL_ROWS)
+    return marked.join(before, "_range").where(place < count).select(*rows.columns)
 
 
 def export_product(
