@@ -3,18 +3,19 @@
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hackney.sources.storage import literal, no_rows
+from hackney.sources.storage import control_rows, literal, no_rows
 
-# Files up to this size are hashed by Spark's own sha2 on their content, larger ones
-# as a stream, by one task each. The value is the same.
-WHOLE_FILE_BYTES = 128 * 1024**2
-READ_BYTES = 4 * 1024**2
+# Lines a batch when files are hashed.
+LINES = 10_000
+# The byte order mark of UTF-8.
+MARK = b"\xef\xbb\xbf"
 # A first line longer than this is no header.
 HEADER_BYTES = 1024**2
 
@@ -100,72 +101,89 @@ def rewritten(files: DataFrame, states: DataFrame) -> DataFrame:
     )
 
 
-def _hash_streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
+def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file_path, file_hash, header) of files whose lines come in order, whole files only.
+
+    Lines lack their ends, and the reader leaves out a byte order mark. The length of the
+    file tells whether there was a mark, and whether the last line had an end; as it
+    is checked at the end, one digest begins with the mark and one without.
+    """
+    path = header = None
+    length = read = 0
+    digests: list = []
+
+    def found() -> pa.RecordBatch:
+        # Each line was counted with an end.
+        marked = length - read in (len(MARK), len(MARK) - 1)
+        ended = length - read in (len(MARK), 0)
+        if not marked and not ended and length - read != -1:
+            raise OSError(f"{path}: {length} bytes listed, {read} read")
+        digest = digests[marked]
+        if ended:
+            digest.update(b"\n")
+        row = {"file_path": path, "file_hash": digest.hexdigest(), "header": header}
+        return pa.RecordBatch.from_pylist([row])
 
     for batch in batches:
-        found = []
-        for path in batch["path"]:
-            uri = path.replace("s3a://", "s3://", 1)
-            system, name = fs.FileSystem.from_uri(_as_uri(uri))
-            digest, head = hashlib.sha256(), b""
-            with system.open_input_file(name) as source:
-                while data := source.read(READ_BYTES):
-                    head = head or data[:HEADER_BYTES]
-                    digest.update(data)
-            found.append((digest.hexdigest(), head.partition(b"\n")[0].decode(errors="replace")))
-        hashes, heads = zip(*found, strict=True) if found else ((), ())
-        yield batch[["path"]].assign(file_hash=hashes, header=heads)
-
-
-def _as_uri(path: str) -> str:
-    from urllib.parse import quote
-
-    scheme, colon, rest = path.partition(":")
-    if not colon:
-        return "file://" + quote(path)
-    # Hadoop prints local files with a single slash.
-    if not rest.startswith("//"):
-        rest = "//" + rest
-    return f"{scheme}:{quote(rest)}"
-
-
-def fingerprint(
-    spark: SparkSession, files: DataFrame, whole_file_bytes: int = WHOLE_FILE_BYTES
-) -> DataFrame:
+        names = batch.column("file_path")
+        # A run of lines of one file at a time.
+        bounds = pc.run_end_encode(names)
+        start = 0
+        for end, name in zip(bounds.run_ends.to_pylist(), bounds.values.to_pylist(), strict=True):
+            lines = batch.column("line").slice(start, end - start).to_pylist()
+            data = b"\n".join(lines)
+            if name != path:
+                if path is not None:
+                    yield found()
+                path, read, length = name, 0, batch.column("length")[start].as_py()
+                header = lines[0][:HEADER_BYTES].decode(errors="replace")
+                digests = [hashlib.sha256(), hashlib.sha256(MARK)]
+            else:
+                data = b"\n" + data
+            for digest in digests:
+                digest.update(data)
+            read += sum(map(len, lines)) + len(lines)
+            start = end
+    if path is not None:
+        yield found()
+
+
+def fingerprint(spark: SparkSession, files: DataFrame) -> DataFrame:
     """``files`` plus ``file_hash``, the SHA-256 of the whole content, and ``header``.
 
-    ``files`` is the materialised listing (paths and sizes, no content). A listed file
-    that cannot be read back is an error, never a file less.
+    ``files`` is the materialised listing (paths and sizes, no content). Files of every
+    size and scheme are read by Spark's own line reader, each by one task that holds one
+    batch of lines. A listed file that cannot be read back is an error, never a file less.
     """
-    small = files.where(F.col("length") <= whole_file_bytes)
-    large = files.where(F.col("length") > whole_file_bytes)
-
-    small_paths = [literal(row.path) for row in small.select("path").collect()]
-    if small_paths:
-        head = F.substring("content", 1, HEADER_BYTES).cast("string")
-        hashes = (
-            spark.read.format("binaryFile")
-            .load(small_paths)
-            .select(
-                "path",
-                F.sha2("content", 256).alias("file_hash"),
-                F.substring_index(head, "\n", 1).alias("header"),
-            )
+    listing = files.select("path", "length").collect()
+    if not listing:
+        return files.withColumns({c: F.lit(None).cast("string") for c in ("file_hash", "header")})
+    # In a session of its own, where no file is split: neither the cap nor the cost of
+    # opening a file, which is the least size of a split, is below the longest file.
+    whole = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if not name.startswith("spark."):  # what a file system may need
+            whole.conf.set(name, value)
+    longest = str(max(row.length for row in listing) + 1)
+    whole.conf.set("spark.sql.files.maxPartitionBytes", longest)
+    whole.conf.set("spark.sql.files.openCostInBytes", longest)
+    whole.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", LINES)
+    lines = whole.read.option("lineSep", "\n").text([literal(row.path) for row in listing])
+    hashes = (
+        lines.select(
+            F.col("_metadata.file_path").alias("file_path"),
+            F.col("_metadata.file_size").alias("length"),
+            F.col("value").cast("binary").alias("line"),
         )
-        small = small.join(hashes, "path", "left")
-    else:
-        small = small.withColumns(
-            {c: F.lit(None).cast("string") for c in ("file_hash", "header")}
-        )
-
-    streamed = (
-        large.select("path")
-        .repartition("path")
-        .mapInPandas(_hash_streams, "path string, file_hash string, header string")
+        .mapInArrow(_hash_lines, "file_path string, file_hash string, header string")
+        .collect()
     )
-    large = large.join(streamed, "path", "left")
+    known = control_rows(spark, hashes, ["_file_path", "file_hash", "header"]) if hashes else None
+    if known is None:
+        known = no_rows(spark, FILE).selectExpr("path AS _file_path", "path AS file_hash", "path AS header")
+    # A file that is a byte order mark and nothing else has no line.
+    bare = F.when(F.col("length") == len(MARK), F.lit(hashlib.sha256(MARK).hexdigest()))
     unread = F.raise_error(F.concat(F.lit("listed, but not read: "), F.col("path")))
-    return small.unionByName(large).select(
-        *files.columns, F.coalesce("file_hash", unread).alias("file_hash"), "header"
+    return files.join(known, F.col("file_path") == F.col("_file_path"), "left").select(
+        *files.columns, F.coalesce("file_hash", bare, unread).alias("file_hash"), "header"
     )
