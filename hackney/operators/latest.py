@@ -44,30 +44,25 @@ def merge_by_key(
     incoming: DataFrame,
     keys: Sequence[str],
     keep: str = "incoming",
-    partition_columns: Sequence[str] = (),
-    partitions: int | None = None,
 ) -> DataFrame:
     """``stored`` upserted with ``incoming``; nothing is ever deleted.
 
     On a shared key ``keep="incoming"`` replaces the stored row and
-    ``keep="stored"`` leaves it. Each side holds a key at most once.
-    ``partition_columns`` are functions of the key. Both sides are laid out by
-    them, which is the only shuffle of the merge; with ``partitions`` the first
-    of them is the number of the task itself, so each value gets a task of its own.
+    ``keep="stored"`` leaves it. Each side holds a key at most once; NULL is a key.
     """
     if keep not in ("incoming", "stored"):
         raise ValueError(f"keep must be 'incoming' or 'stored', not {keep!r}")
-    columns = stored.columns
-    both = stored.withColumn("_incoming", F.lit(False)).unionByName(
-        incoming.select(*columns).withColumn("_incoming", F.lit(True))
-    )
-    if partition_columns:
-        if partitions:
-            both = both.repartitionById(partitions, F.col(partition_columns[0]))
-        else:
-            both = both.repartition(*partition_columns)
-    wins = F.col("_incoming").desc() if keep == "incoming" else F.col("_incoming").asc()
-    return first_by_key(both, [*partition_columns, *keys], wins).select(*columns)
+    incoming = incoming.select(*stored.columns)
+    if keep == "stored":
+        return stored.unionByName(matched(incoming, stored, keys, "left_anti"))
+    return matched(stored, incoming, keys, "left_anti").unionByName(incoming)
+
+
+def matched(rows: DataFrame, others: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """``rows`` joined (``left_semi`` or ``left_anti``) with ``others`` by equal keys, NULL equal too."""
+    names = others.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = [rows[k].eqNullSafe(names[f"_{k}"]) for k in keys]
+    return rows.join(names, same, how)
 
 
 def repeated_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hackney.operators.latest import matched, merge_by_key
 from hackney.sources.storage import (
     append_small,
     child_directories,
@@ -17,6 +18,8 @@ from hackney.sources.storage import (
     read_or_empty,
 )
 
+# The part of a key that a file's range keeps.
+KEY_CHARS = 64
 # One row for each file a version adds or takes out.
 FILES = T.StructType(
     [
@@ -25,6 +28,9 @@ FILES = T.StructType(
         T.StructField("buckets", T.IntegerType()),
         T.StructField("file", T.StringType()),
         T.StructField("live", T.BooleanType()),
+        # The least and greatest key as texts, each cut at KEY_CHARS; NULL if not known.
+        T.StructField("low", T.StringType()),
+        T.StructField("high", T.StringType()),
         T.StructField("committed_at", T.TimestampType()),
     ]
 )
@@ -33,12 +39,13 @@ FILES = T.StructType(
 class KeyedTable:
     """A table with at most one row per key.
 
-    Rows lie in files below ``buckets`` directories by a hash of the key. A merge
-    looks for its keys in the key column of the touched buckets, writes the rows of
-    the files that hold some of them, and the new rows, to new files, and then
-    appends one small file to the log that says which files came and went. Keys
-    that are new leave all stored files alone. A job that dies before that append
-    leaves the table as it was.
+    Rows lie in files below ``buckets`` directories by a hash of the key, and the log of
+    files has the range of keys in each. A merge looks for its keys in the key
+    column of those files of the touched buckets whose range meets that of its keys,
+    writes the rows of the files that hold some of them, and the new rows, to new files,
+    and then appends one small file to the log that says which files came and went.
+    Keys that are new leave all stored files alone, and keys past those stored open
+    none. A job that dies before that append leaves the table as it was.
 
     New rows are written by one task per bucket, or ``parts`` tasks for each. Merges
     leave small files; ``compact`` joins them. One writer at a time.
@@ -74,7 +81,12 @@ class KeyedTable:
         live = (
             self._log()
             .groupBy("file", "bucket", "buckets")
-            .agg(F.min("version").alias("version"), F.min("live").alias("live"))
+            .agg(
+                F.min("version").alias("version"),
+                F.min("live").alias("live"),
+                F.max("low").alias("low"),
+                F.max("high").alias("high"),
+            )
             .where("live")
             .collect()
         )
@@ -144,34 +156,40 @@ class KeyedTable:
         stage = f"{self.path}/stage/version={version}"
         rows.write.mode("overwrite").parquet(stage)
         staged = self.spark.read.schema(rows.schema).parquet(stage)
-        touched = {r.bucket for r in staged.select("bucket").distinct().collect()}
+        low, high = self._range()
+        touched = {
+            r.bucket: r for r in staged.groupBy("bucket").agg(low, high).collect()
+        }
         if touched:
             self._merge(staged, touched, version, keep)
         delete_path(self.spark, stage)
 
-    def _merge(self, staged: DataFrame, touched: set[int], version: int, keep: str) -> None:
-        near = {row.file: row for row in self._live() if row.bucket in touched}
+    def _range(self) -> list[Column]:
+        """Aggregates of the least and greatest key, as texts; NULL comes as empty."""
+        key = F.substring(F.coalesce(F.col(self.keys[0]).cast("string"), F.lit("")), 1, KEY_CHARS)
+        return [F.min(key).alias("low"), F.max(key).alias("high")]
+
+    def _merge(self, staged: DataFrame, touched: dict, version: int, keep: str) -> None:
+        near = {
+            row.file: row
+            for row in self._live()
+            if row.bucket in touched and _meet(row, touched[row.bucket])
+        }
         new = staged.drop("bucket")
         if not near:
             self._write(new, version, [])
             return
-        # Only the key columns of the touched buckets are read here.
+        # Only the key columns of those files are read here.
         key_schema = T.StructType([f for f in self.schema.fields if f.name in self.keys])
         stored = self._read(near.values(), key_schema)
         if keep == "stored":
-            fresh = self._matched(new, stored, "left_anti")
+            fresh = matched(new, stored, self.keys, "left_anti")
             self._write(fresh, version, [])
             return
         at = stored.select(*self.keys, F.col("_metadata.file_path").alias("_file"))
-        found = self._matched(at, new, "left_semi").select("_file").distinct().collect()
+        found = matched(at, new, self.keys, "left_semi").select("_file").distinct().collect()
         hit = [near[_relative(row["_file"])] for row in found]
-        kept = self._matched(self._read(hit), new, "left_anti")
-        self._write(kept.unionByName(new), version, hit)
-
-    def _matched(self, rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
-        keys = others.select(*[F.col(k).alias(f"_{k}") for k in self.keys])
-        same = [rows[k].eqNullSafe(keys[f"_{k}"]) for k in self.keys]
-        return rows.join(keys, same, how)
+        self._write(merge_by_key(self._read(hit), new, self.keys), version, hit)
 
     def _write(self, rows: DataFrame, version: int, replaced: list) -> None:
         """New files of ``rows``, then the log entry that also ends ``replaced``."""
@@ -183,12 +201,17 @@ class KeyedTable:
         rows.withColumn("bucket", bucket).repartitionById(
             self.buckets * self.parts, task
         ).write.mode("overwrite").partitionBy("bucket").parquet(data)
-        added = [
-            (version, int(bucket.rpartition("=")[2]), self.buckets, _relative(path), True)
+        names = {
+            _relative(path): int(bucket.rpartition("=")[2])
             for bucket in child_directories(self.spark, data)
             for path in child_files(self.spark, bucket)
+        }
+        ranges = self._ranges(names)
+        added = [
+            (version, bucket, self.buckets, name, True, *ranges.get(name, (None, None)))
+            for name, bucket in names.items()
         ]
-        ended = [(version, r.bucket, r.buckets, r.file, False) for r in replaced]
+        ended = [(version, r.bucket, r.buckets, r.file, False, None, None) for r in replaced]
         if not added and not ended:
             return
         entries = control_rows(self.spark, added + ended, FILES.names[:-1]).withColumn(
@@ -199,6 +222,15 @@ class KeyedTable:
             f"{self.path}/files",
         )
 
+    def _ranges(self, names: Iterable[str]) -> dict[str, tuple[str, str]]:
+        """The range of keys in each of some files just written, from their first key column."""
+        if not names:
+            return {}
+        keys = T.StructType([f for f in self.schema.fields if f.name == self.keys[0]])
+        rows = self.spark.read.schema(keys).parquet(*[literal(f"{self.path}/data/{n}") for n in names])
+        found = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(*self._range())
+        return {_relative(row.file): (row.low, row.high) for row in found.collect()}
+
     def compact(self) -> None:
         """Rewrite the whole table into one file per bucket and part.
 
@@ -209,6 +241,16 @@ class KeyedTable:
             self._write(self._read(live), self.version() + 1, live)
 
 
+def _meet(stored, wanted) -> bool:
+    """Can two ranges of keys share one? Yes where one is not known.
+
+    Texts compare by code points, which is the order of their UTF-8 bytes.
+    """
+    if stored.low is None or stored.high is None:
+        return True
+    return stored.low <= wanted.high and wanted.low <= stored.high
+
+
 def _relative(path: str) -> str:
     """``version=<n>/bucket=<n>/<name>`` of a data file, however the path is spelt."""
     return "/".join(path.split("/")[-3:])

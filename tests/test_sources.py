@@ -1,11 +1,12 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
 from hackney.schemas import DIM_DATE, FACT_TRIPS
-from hackney.sources.files import discover_csv, fingerprint, single_file
+from hackney.sources.files import _hash_lines, discover_csv, fingerprint, single_file
 from hackney.sources.jdbc import batch_query
 from hackney.sources.storage import control_rows
 from hackney.sources.tables import KeyedTable
@@ -15,12 +16,31 @@ def sha(data):
     return hashlib.sha256(data).hexdigest()
 
 
-def hashes(spark, files, **options):
-    return {r.file_name: r.file_hash for r in fingerprint(spark, files, **options).collect()}
+def hashes(spark, files):
+    return {r.file_name: r.file_hash for r in fingerprint(spark, files).collect()}
+
+
+MARK = b"\xef\xbb\xbf"
+CONTENTS = {
+    "a.csv": b"x",
+    "b b.CSV": bytes(range(256)) * 40,
+    "sub/d.csv": b"y" * 5000,
+    "ended.csv": b"x\n",
+    "blank.csv": b"\n",
+    "blanks.csv": b"\n\nx\n\n\n",
+    "mark.csv": MARK,
+    "mark x.csv": MARK + b"x",
+    "mark end.csv": MARK + b"x\ny\n",
+    "mark blank.csv": MARK + b"\n",
+    "marks.csv": MARK + MARK + b"\n" + MARK,
+    "dos.csv": b"a,b\r\n1,2\r\n",
+    "mac.csv": b"a,b\r1,2\r",
+    "sub/é%20.csv": "é,\u2028,\0\n".encode("utf-16"),
+}
 
 
 def test_fingerprints(spark, tmp_path):
-    data = {"a.csv": b"x", "b b.CSV": bytes(range(256)) * 40, "sub/d.csv": b"y" * 5000}
+    data = CONTENTS | {"long.csv": b"\n".join(b"%d" % n for n in range(60_000))}
     for name, content in data.items():
         path = tmp_path / "in" / name
         path.parent.mkdir(parents=True, exist_ok=True)
@@ -29,10 +49,16 @@ def test_fingerprints(spark, tmp_path):
     (tmp_path / "in/empty.csv").write_text("")
     files = discover_csv(spark, str(tmp_path / "in"))
     want = {name.split("/")[-1]: sha(content) for name, content in data.items()}
-    assert hashes(spark, files) == want
-    # The streamed way gives the same value ...
-    assert hashes(spark, files, whole_file_bytes=100) == want
-    # ... and a listed file that is gone is an error.
+    # Whatever the session's splits are.
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1000)
+    try:
+        assert hashes(spark, files) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    headers = {r.file_name: r.header for r in fingerprint(spark, files).collect()}
+    assert headers["dos.csv"] == "a,b\r" and headers["long.csv"] == "0" and headers["mark x.csv"] == "x"
+    # A listed file that is gone is an error.
     listed = files.collect()
     (tmp_path / "in/a.csv").unlink()
     with pytest.raises(Exception, match="not read|PATH_NOT_FOUND|not exist"):
@@ -41,6 +67,28 @@ def test_fingerprints(spark, tmp_path):
     assert [r.file_name for r in one.collect()] == ["e.txt"]
 
 
+def test_a_file_that_comes_in_many_batches_is_hashed_as_one():
+    content = MARK + b"".join(b"line %d\n" % n for n in range(50)) + b"last"
+    lines = content[3:].split(b"\n")
+    rows = [("p", len(content), line) for line in lines] + [("q", 2, b"z"), ("r", 1, b"w")]
+
+    def batches(size):
+        for start in range(0, len(rows), size):
+            part = zip(*rows[start : start + size], strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(part, (pa.string(), pa.int64(), pa.binary()), strict=True)],
+                ["file_path", "length", "line"],
+            )
+
+    want = [("p", sha(content), "line 0"), ("q", sha(b"z\n"), "z"), ("r", sha(b"w"), "w")]
+    for size in (1, 3, 7, 1000):
+        got = [tuple(r.values()) for b in _hash_lines(batches(size)) for r in b.to_pylist()]
+        assert got == want
+    rows[-1] = ("r", 9, b"w")
+    with pytest.raises(OSError, match="9 bytes listed"):
+        list(_hash_lines(batches(4)))
+
+
 def test_keyed_table_rewrites_only_touched_buckets(spark, tmp_path):
     path = str(tmp_path / "t")
     schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("v", T.StringType())])
@@ -87,6 +135,56 @@ def test_new_keys_rewrite_no_stored_file(spark, tmp_path):
     assert other.drop_replaced(keep=1) == 12
 
 
+def test_keys_past_those_stored_open_no_stored_file(spark, tmp_path, monkeypatch):
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.StringType())])
+    table = KeyedTable(spark, str(tmp_path / "t"), schema, ["k"], buckets=4)
+
+    def rows(first, last, value):
+        return spark.range(first, last).selectExpr("printf('id%05d', id) AS k", f"'{value}' AS v")
+
+    table.merge(rows(0, 2000, "a"))
+    opened = []
+    read = KeyedTable._read
+
+    def noted(self, files, *schema):
+        files = list(files)
+        opened.append(len(files))
+        return read(self, files, *schema)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(KeyedTable, "_read", noted)
+        table.merge(rows(2000, 3000, "b"))
+        table.merge(rows(3000, 3500, "c"), keep="stored")
+        assert opened == []
+        # Of twelve files the four of the second merge are looked into, and rewritten.
+        table.merge(rows(2400, 2500, "d"))
+        assert opened == [4, 4]
+    got = {r.v: r["count"] for r in table.read().groupBy("v").count().collect()}
+    assert got == {"a": 2000, "b": 900, "c": 500, "d": 100}
+
+
+def test_key_ranges_of_odd_keys(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.IntegerType())])
+    table = KeyedTable(spark, str(tmp_path / "t"), schema, ["k"], buckets=1)
+    long = "x" * 100
+    keys = [None, "", "a", "é", "\U0001f600", "\uffff", long, long + "y", "10", "9"]
+    want = {}
+    for turn, some in enumerate([keys[:3], keys[3:7], keys[7:], [long + "z"], keys, [keys[6]], [keys[4]]]):
+        table.merge(spark.createDataFrame([(k, turn) for k in some], schema))
+        want |= dict.fromkeys(some, turn)
+        assert dict(map(tuple, table.read().collect())) == want
+        assert table.read().count() == len(want)
+    # A log without ranges, as written before there were any.
+    log = spark.read.parquet(f"{tmp_path}/t/files").drop("low", "high").collect()
+    old = KeyedTable(spark, str(tmp_path / "old"), schema, ["k"], buckets=1)
+    spark.createDataFrame(log).selectExpr(
+        "CAST(version AS INT)", "CAST(bucket AS INT)", "CAST(buckets AS INT)", "file", "live", "committed_at"
+    ).write.parquet(f"{tmp_path}/old/files")
+    (tmp_path / "t/data").rename(tmp_path / "old/data")
+    old.merge(spark.createDataFrame([("a", 70), ("zz", 71)], schema))
+    assert dict(map(tuple, old.read().collect())) == want | {"a": 70, "zz": 71}
+
+
 def test_random_merges_equal_a_dictionary(spark, tmp_path):
     schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("v", T.StringType())])
     table = KeyedTable(spark, str(tmp_path / "t"), schema, ["k"], buckets=3, parts=2)
