@@ -10,7 +10,7 @@ import uuid
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +35,7 @@ from hackney.sources.storage import (
     no_rows,
     read_or_empty,
 )
-from hackney.sources.trip_csv import HeaderError, header_columns, read_trip_csv
+from hackney.sources.trip_csv import HeaderError, header_columns, read_trip_csv, split_session
 
 LOAD_MODES = ("incremental", "full")
 HIDDEN = "Spark reads no file whose name or folder begins with _ or ."
@@ -43,6 +43,8 @@ DEFAULT_CHUNK_SIZE = 100_000
 # A file changed this shortly before it was listed could change again within the same
 # tick of its file system's clock, so its state is not trusted by later runs.
 SETTLED_SECONDS = 10
+# Splits of a load, half a kilobyte each, whose offsets are broadcast.
+BROADCAST_SPLITS = 500_000
 
 RAW_WITH_LOAD = T.StructType([*RAW.fields, T.StructField("load_id", T.StringType())])
 
@@ -213,6 +215,42 @@ def _hashed(spark, listing, warehouse, now, recheck) -> DataFrame:
     return control_rows(spark, found, names)
 
 
+def split_offsets(splits: DataFrame, per_file: DataFrame) -> DataFrame:
+    """One row per split: its file's name and hash, and the rows and batches before it.
+
+    Up to ``BROADCAST_SPLITS`` splits are handed to every executor, so no row of the load
+    is shuffled to find its offset; beyond, Catalyst chooses the join.
+    """
+    offsets = splits.join(per_file, "file_no").select(
+        F.col("file_path").alias("_of_file"),
+        F.col("_split_start").alias("_of_split"),
+        "file_name",
+        "file_hash",
+        "rows_before",
+        "file_rows_before",
+        "file_batches_before",
+    )
+    return F.broadcast(offsets) if splits.count() <= BROADCAST_SPLITS else offsets
+
+
+def numbered_rows(
+    scan: DataFrame, offsets: DataFrame, raw_id: int, batch: int, chunk_size: int
+) -> DataFrame:
+    """The rows of ``scan`` as raw rows, numbered after ``raw_id`` and ``batch``."""
+    index = F.col("_split_row") + F.col("rows_before")
+    same = (F.col("file_path") == F.col("_of_file")) & (
+        F.col("_split_start") == F.col("_of_split")
+    )
+    return scan.join(offsets, same).select(
+        (F.lit(raw_id) + F.col("file_rows_before") + index + 1).alias("raw_id"),
+        batch_of(index, chunk_size, F.lit(batch) + F.col("file_batches_before")).alias("batch_no"),
+        F.col("file_name").alias("source_file"),
+        "file_hash",
+        F.current_timestamp().alias("loaded_at"),
+        *TRIP_COLUMNS,
+    )
+
+
 def _load(spark, fresh, layouts, warehouse, chunk_size, multi_line) -> dict[str, str]:
     """Loads the files that are sound; the others come back with their reason.
 
@@ -229,19 +267,20 @@ def _load(spark, fresh, layouts, warehouse, chunk_size, multi_line) -> dict[str,
         ["file_no", "path", "file_path", "file_name", "file_hash"],
     )
 
-    # 1. Write the rows once with their place in the file. Numbering a second
-    #    scan of the CSV would need both scans to be split alike.
-    scans = [read_trip_csv(spark, paths, list(c), multi_line) for c, paths in layouts.items()]
-    scan = reduce(DataFrame.unionByName, scans).join(
-        chosen.select("file_no", "file_path", "file_name", "file_hash"), "file_path", "left"
+    # 1. Count the rows of every split. The scan that numbers them is split alike.
+    work = split_session(spark)
+    scans = [read_trip_csv(work, paths, list(c), multi_line) for c, paths in layouts.items()]
+    scan = reduce(DataFrame.unionByName, scans)
+    counted = scan.groupBy("file_path", "_split_start").agg(
+        F.count(F.lit(1)).alias("split_rows"), F.count_if("too_long").alias("too_long")
     )
     lost = F.raise_error(F.concat(F.lit("not among the listed files: "), F.col("file_path")))
-    scan.withColumn("file_no", F.coalesce("file_no", lost)).drop("file_path").write.mode(
-        "overwrite"
-    ).parquet(f"{stage}/rows")
-    rows = spark.read.parquet(f"{stage}/rows")
-    long_rows = rows.where("too_long").groupBy("file_no").count().collect()
-    bad = {r["file_no"]: r["count"] for r in long_rows}
+    counted.join(chosen, "file_path", "left").select(
+        F.coalesce("file_no", lost).alias("file_no"), "_split_start", "split_rows", "too_long"
+    ).write.mode("overwrite").parquet(f"{stage}/counts")
+    counts = spark.read.parquet(f"{stage}/counts")
+    too_long = counts.groupBy("file_no").agg(F.sum("too_long").alias("n")).where("n > 0")
+    bad = {r.file_no: r.n for r in too_long.collect()}
     failed = {
         row.path: f"{bad[number]} rows with more fields than the header"
         for number, row in enumerate(fresh)
@@ -251,14 +290,10 @@ def _load(spark, fresh, layouts, warehouse, chunk_size, multi_line) -> dict[str,
         delete_path(spark, stage)
         return failed
     if failed:
-        rows, chosen = (df.where(~F.col("file_no").isin(*bad)) for df in (rows, chosen))
+        counts, chosen = (df.where(~F.col("file_no").isin(*bad)) for df in (counts, chosen))
 
-    # 2. Count the splits; everything from here to step 3 is one row per split
-    #    or per file.
-    splits = rows.groupBy("file_no", "_split_start").agg(
-        F.count(F.lit(1)).alias("split_rows"), F.min("_row_mark").alias("first_mark")
-    )
-    rows_before(splits, "_split_start", "split_rows", group="file_no").write.mode(
+    # 2. Rows and batches before each split; one row per split or per file.
+    rows_before(counts, "_split_start", "split_rows", group="file_no").write.mode(
         "overwrite"
     ).parquet(f"{stage}/splits")
     splits = spark.read.parquet(f"{stage}/splits")
@@ -281,28 +316,23 @@ def _load(spark, fresh, layouts, warehouse, chunk_size, multi_line) -> dict[str,
     per_file.write.mode("overwrite").parquet(f"{stage}/files")
     per_file = spark.read.parquet(f"{stage}/files")
 
-    # 3. Number the rows. The offsets are read back from files, so Catalyst
-    #    knows their real size when it chooses the join.
-    offsets = splits.join(per_file, "file_no").select(
-        "file_no",
-        "_split_start",
-        "first_mark",
-        "rows_before",
-        "file_rows_before",
-        "file_batches_before",
-    )
-    index = F.col("_row_mark") - F.col("first_mark") + F.col("rows_before")
-    after = F.lit(last.batch) + F.col("file_batches_before")
-    rows.join(offsets, ["file_no", "_split_start"]).select(
-        (F.lit(last.raw_id) + F.col("file_rows_before") + index + 1).alias("raw_id"),
-        batch_of(index, chunk_size, after).alias("batch_no"),
-        F.col("file_name").alias("source_file"),
-        "file_hash",
-        F.current_timestamp().alias("loaded_at"),
-        *TRIP_COLUMNS,
-    ).write.mode("overwrite").parquet(
-        f"{warehouse}/raw/transactions_raw/load_id={load_id}"
-    )
+    # 3. Number the rows of a second scan and write them, once. Files that failed have no
+    #    offsets, so their rows end here.
+    totals = per_file.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("rows")).first()
+    offsets = split_offsets(splits, per_file)
+    numbered = numbered_rows(scan, offsets, last.raw_id, last.batch, chunk_size)
+    written = Observation()
+    target = f"{warehouse}/raw/transactions_raw/load_id={load_id}"
+    numbered.observe(
+        written,
+        F.count(F.lit(1)).alias("rows"),
+        F.sum((F.col("raw_id") - last.raw_id).cast("decimal(38,0)")).alias("ids"),
+    ).write.mode("overwrite").parquet(target)
+    n, seen = totals.rows, written.get  # an empty load may show nothing
+    if (seen.get("rows") or 0, int(seen.get("ids") or 0)) != (n, n * (n + 1) // 2):
+        delete_path(spark, target)
+        delete_path(spark, stage)
+        raise OSError("files changed while they were loaded")
 
     # 4. Commit.
     first_batch = F.lit(last.batch) + F.col("file_batches_before") + 1

@@ -49,6 +49,24 @@ def header_columns(header: str) -> list[str]:
     return names
 
 
+def split_session(spark: SparkSession) -> SparkSession:
+    """A session with the caller's settings in which a task reads one split of one file.
+
+    Opening a file costs as much as a whole split there, so splits are never packed, and
+    where they lie follows from the file and ``maxPartitionBytes`` alone, not from the
+    cores at hand: two scans number rows alike. All columns are parsed in both.
+    """
+    work = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name) or not name.startswith("spark."):
+            work.conf.set(name, value)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    work.conf.set("spark.sql.files.openCostInBytes", size)
+    work.conf.unset("spark.sql.files.maxPartitionNum")
+    work.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
+    return work
+
+
 def read_trip_csv(
     spark: SparkSession, paths: list[str], columns: list[str] | None = None, multi_line: bool = False
 ) -> DataFrame:
@@ -57,8 +75,8 @@ def read_trip_csv(
     ``columns`` are those of the header; trip columns it lacks are NULL. The scan
     is splittable unless ``multi_line`` is set (quoted line breaks). ``too_long``
     marks a row with more fields than the header, quotes respected; one with
-    fewer ends in NULLs. ``_split_start`` and ``_row_mark`` order the rows of a
-    file: by split, then by mark.
+    fewer ends in NULLs. ``_split_start`` and ``_split_row``, the place from 0 in the
+    split, order the rows of a file; the session is one of ``split_session``.
     """
     columns = columns or TRIP_COLUMNS
     fields = [T.StructField(c, T.StringType()) for c in columns]
@@ -80,7 +98,8 @@ def read_trip_csv(
     return scan.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("_split_start"),
-        F.monotonically_increasing_id().alias("_row_mark"),
+        # The lower 33 bits count the rows of a task, which reads one split.
+        F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("_split_row"),
         F.col(BEYOND.name).isNotNull().alias("too_long"),
         *texts,
     )

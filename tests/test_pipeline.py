@@ -8,7 +8,9 @@ from hackney.plans.ingest import (
     ingest,
     ingestion_log,
     load_log,
+    numbered_rows,
     raw_batch,
+    split_offsets,
     transactions_raw,
 )
 from hackney.plans.pipeline import run_pipeline
@@ -58,6 +60,66 @@ def test_numbering_across_many_splits(spark, tmp_path):
     assert [r.batch_no for r in rows] == [1 + n // 700 for n in range(3000)]
 
 
+def swap_columns(text):
+    """The same rows with another header: the first two columns change places."""
+    lines = [line.split(",") for line in text.splitlines()]
+    return "\n".join(",".join([b, a, *rest]) for a, b, *rest in lines) + "\n"
+
+
+def test_raw_is_written_once_and_not_shuffled(spark, tmp_path, monkeypatch):
+    for n in range(4):
+        write_csv(tmp_path / f"in/f{n}.csv", many(400, start=1000 * n))
+    (tmp_path / "in/f2.csv").write_text(swap_columns(csv_text(many(400, start=2000))))
+    (tmp_path / "in/f1x.csv").write_text(csv_text(many(300)) + "a," * 20 + "\n")
+    plans = []
+
+    def noted(*args):
+        rows = numbered_rows(*args)
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return rows
+
+    monkeypatch.setattr("hackney.plans.ingest.numbered_rows", noted)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 9000)
+    got = []
+    try:
+        for name, limit in (("a", 500_000), ("b", 0)):
+            monkeypatch.setattr("hackney.plans.ingest.BROADCAST_SPLITS", limit)
+            result = ingest(spark, str(tmp_path / "in"), str(tmp_path / name), chunk_size=150)
+            assert [os.path.basename(p) for p in result.failed_files] == ["f1x.csv"]
+            rows = transactions_raw(spark, str(tmp_path / name)).orderBy("raw_id").collect()
+            got.append([(r.raw_id, r.batch_no, r.id, r.vendor_id) for r in rows])
+            assert not list((tmp_path / name / "raw/stage").iterdir())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    ids = [f"m{1000 * n + k}" for n in range(4) for k in range(400)]
+    want = [(k + 1, 1 + k // 400 * 3 + k % 400 // 150, i, str(1 + k % 2)) for k, i in enumerate(ids)]
+    assert got == [want, want]
+    # The rows go from the scan to the file; only offsets of splits are exchanged.
+    join = plans[0].index("BroadcastHashJoin")
+    assert "SortMergeJoin" not in plans[0] and "BroadcastExchange" in plans[0][join:]
+    scan = plans[0][: plans[0].index("BroadcastExchange")]
+    assert "Scan csv" in scan and "Exchange" not in scan
+
+
+def test_a_file_that_changes_while_it_is_loaded_is_not_committed(spark, tmp_path, monkeypatch):
+    path = write_csv(tmp_path / "in/a.csv", many(50))
+    wh = tmp_path / "wh"
+
+    def shrunk(*args):
+        write_csv(path, many(40))
+        return split_offsets(*args)
+
+    with monkeypatch.context() as patch:
+        patch.setattr("hackney.plans.ingest.split_offsets", shrunk)
+        with pytest.raises(OSError, match="changed while"):
+            ingest(spark, str(tmp_path / "in"), str(wh))
+    assert load_log(spark, str(wh)).count() == 0
+    assert not list((wh / "raw/transactions_raw").iterdir())
+    assert ingest(spark, str(tmp_path / "in"), str(wh)).processed_files
+    assert transactions_raw(spark, str(wh)).count() == 40
+
+
 def test_second_run_changes_nothing(spark, tmp_path):
     write_csv(tmp_path / "in/a.csv", many(12))
     first = run(spark, tmp_path)
