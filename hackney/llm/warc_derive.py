@@ -8,6 +8,9 @@ payload they derive from beside the ``WARC-Block-Digest`` of their own block; th
 metadata record names the conversion record as ``WARC-Concurrent-To``. Record ids follow
 from the contents, so a task that runs again writes the same records.
 
+Responses come from a table of pages (``write_derivatives``) or from the response records
+of WARC files (``derive_files``), whose own ids, headers and digests are kept.
+
 Files have one gzip member a record, so records can be read alone. Tasks write under
 a name of their own attempt; the manifest, written by Spark, names the committed ones.
 """
@@ -15,14 +18,18 @@ a name of their own attempt; the manifest, written by Spark, names the committed
 from __future__ import annotations
 
 import base64
+import codecs
+import gzip
 import hashlib
+import io
 import html as entities
 import posixpath
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -147,11 +154,48 @@ def parse_page(html: str) -> tuple[str, dict[str, list[str]]]:
     return "\n".join(x for x in lines if x), meta
 
 
-def derive(response: Response) -> tuple[Record, Record]:
-    """(metadata, conversion) records of a response, linked to it and to each other."""
+def header_of(http: list[tuple[str, str]], name: str) -> str:
+    """The first value of an HTTP header, whatever its case; empty for none."""
+    return next((v for k, v in http if k.lower() == name), "")
+
+
+def charset_of(response: Response) -> str:
+    """The charset the HTTP header names, else one named in the page, else UTF-8."""
+    head = response.payload[:1024].decode("ascii", "replace")
+    for place in (header_of(response.http, "content-type"), head):
+        if m := _CHARSET.search(place):
+            try:
+                if codecs.lookup(m[1])._is_text_encoding:
+                    return m[1]
+            except LookupError:
+                continue
+    return "utf-8"
+
+
+def is_text(response: Response) -> bool:
+    """Does the payload have a text to convert? So also where no type is named."""
+    kind = header_of(response.http, "content-type").partition(";")[0].strip().lower()
+    return not kind or kind.startswith("text/") or kind == "application/xhtml+xml"
+
+
+def derivatives(response: Response) -> list[Record]:
+    """The records of a response: of a payload that is no text the metadata alone."""
+    if is_text(response):
+        return list(derive(response))
+    metadata, _ = derive(Response(response.headers, response.http, b""), response.payload)
+    del metadata.headers["WARC-Concurrent-To"]
+    return [metadata]
+
+
+def derive(response: Response, payload: bytes | None = None) -> tuple[Record, Record]:
+    """(metadata, conversion) records of a response, linked to it and to each other.
+
+    ``payload`` is what the digest is of where the response names none, else its own.
+    """
     source = response.headers
-    refers, payload_digest = source["WARC-Record-ID"], digest(response.payload)
-    text, found = parse_page(response.payload.decode(errors="replace"))
+    refers = source["WARC-Record-ID"]
+    payload_digest = digest(response.payload if payload is None else payload)
+    text, found = parse_page(response.payload.decode(charset_of(response), errors="replace"))
     shared = {"WARC-Refers-To": refers}
     shared |= {k: source[k] for k in ("WARC-Target-URI", "WARC-Date") if k in source}
     shared["WARC-Payload-Digest"] = source.get("WARC-Payload-Digest", payload_digest)
@@ -169,6 +213,95 @@ def derive(response: Response) -> tuple[Record, Record]:
     return record("metadata", "application/warc-fields", block, link), conversion
 
 
+#: Names of headers that are read here; files may spell them in any case.
+_SPELT = {
+    name.lower(): name
+    for name in "WARC-Type WARC-Record-ID WARC-Target-URI WARC-Date WARC-Payload-Digest Content-Type Content-Length".split()
+}
+
+
+def _fields(lines: list[bytes]) -> list[tuple[str, str]]:
+    """Named fields; a line that begins with a space goes on with the one before."""
+    found: list[tuple[str, str]] = []
+    for line in lines:
+        text = line.decode(errors="replace").rstrip("\r\n")
+        if text[:1] in (" ", "\t") and found:
+            found[-1] = (found[-1][0], f"{found[-1][1]} {text.strip()}")
+        elif ":" in text:
+            name, _, value = text.partition(":")
+            found.append((name.strip(), value.strip()))
+    return found
+
+
+def stored_records(stream: io.BufferedIOBase) -> Iterator[Record]:
+    """The records of a WARC file of version 1.0 or 1.1, one at a time.
+
+    Fields that repeat are joined by commas. A file that breaks off is a ValueError.
+    """
+    while first := stream.readline():
+        if not first.strip():
+            continue
+        if not first.startswith(b"WARC/1."):
+            raise ValueError("a record does not begin with its version")
+        lines: list[bytes] = []
+        while (line := stream.readline()).strip():
+            lines.append(line)
+        headers: dict[str, str] = {}
+        for name, value in _fields(lines):
+            name = _SPELT.get(name.lower(), name)
+            headers[name] = f"{headers[name]}, {value}" if name in headers else value
+        if not line or not headers.get("Content-Length", "").isdigit():
+            raise ValueError("a record has no end of its headers or no length")
+        block = stream.read(int(headers["Content-Length"]))
+        if len(block) != int(headers["Content-Length"]):
+            raise ValueError(f"{headers.get('WARC-Record-ID')} breaks off")
+        yield Record(headers, block)
+
+
+def _joined(chunks: bytes) -> bytes:
+    """The body of a chunked transfer; one that breaks off, as far as it goes."""
+    out, at = [], 0
+    while (end := chunks.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(chunks[at:end].partition(b";")[0], 16)
+        except ValueError:
+            break
+        if size <= 0:
+            break
+        out.append(chunks[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out)
+
+
+def _unpacked(body: bytes, coding: str) -> bytes:
+    """The body without its content coding; as it is where that cannot be read."""
+    bits = {"gzip": [31], "x-gzip": [31], "deflate": [15, -15]}.get(coding.strip().lower(), [])
+    for window in bits:
+        try:
+            unzip = zlib.decompressobj(window)
+            return unzip.decompress(body) + unzip.flush()
+        except zlib.error:
+            continue
+    return body
+
+
+def response_in(record: Record) -> Response | None:
+    """The HTTP response a record holds, its body decoded; None for other records."""
+    if record.headers.get("WARC-Type", "").lower() != "response" or not record.block.startswith(b"HTTP/"):
+        return None
+    if "WARC-Record-ID" not in record.headers:
+        raise ValueError("a response without a record id")
+    head = io.BytesIO(record.block)
+    head.readline()
+    lines = []
+    while (line := head.readline()).strip():
+        lines.append(line)
+    http, body = _fields(lines), head.read()
+    if "chunked" in header_of(http, "transfer-encoding").lower():
+        body = _joined(body)
+    return Response(record.headers, http, _unpacked(body, header_of(http, "content-encoding")))
+
+
 def read_records(data: bytes) -> Iterator[Record]:
     """The records of one or more gzip members; digests and lengths are verified."""
     while data:
@@ -197,62 +330,111 @@ INDEX = """page_id long, warc_type string, record_id string, refers_to string, c
     offset long, length long"""
 
 
-def write_derivatives(pages: DataFrame, path: str, date: str = DATE) -> DataFrame:
-    """Writes the derivatives of ``pages`` (page_id, url, html) below ``path``.
+def _writer(files: str, responses: Callable) -> Callable:
+    """Writes the derivatives of what ``responses`` makes of a task's batches; the index of them.
 
-    Returns the index, one row a record, written by Spark beside the files. Null urls
-    give records without target, null html an empty text. Repeated rows give equal
-    records, each. An empty table gives no files. Other columns are not read.
+    ``responses`` takes the batches and yields (page_id, response).
     """
-    spark = pages.sparkSession
-    small_batches(spark)
-    files = f"{path}/warc"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        task, out, offset = TaskContext.get(), None, 0
+        task, out, offset, rows, schema = TaskContext.get(), None, 0, [], index_schema()
         store, inner = fs.FileSystem.from_uri(files)
         store.create_dir(inner, recursive=True)
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex}.warc.gz"
-        schema = None
-        for batch in batches:
-            rows = []
-            for page_id, url, html in zip(*(batch[k] for k in range(3)), strict=True):
-                if out is None:
-                    out = store.open_output_stream(posixpath.join(inner, name), compression=None)
-                page = page_id.as_py()
-                for record in derive(response_of(page, url.as_py(), html.as_py(), date)):
-                    member, h = member_of(record), record.headers
-                    out.write(member)
-                    rows.append(
-                        (
-                            page,
-                            h["WARC-Type"],
-                            h["WARC-Record-ID"],
-                            h["WARC-Refers-To"],
-                            h.get("WARC-Concurrent-To"),
-                            h.get("WARC-Target-URI"),
-                            h["WARC-Payload-Digest"],
-                            h["WARC-Block-Digest"],
-                            len(record.block),
-                            f"{files}/{name}",
-                            offset,
-                            len(member),
-                        )
+
+        def index() -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True))
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+        for page, response in responses(batches):
+            if out is None:
+                out = store.open_output_stream(posixpath.join(inner, name), compression=None)
+            for record in derivatives(response):
+                member, h = member_of(record), record.headers
+                out.write(member)
+                rows.append(
+                    (
+                        page,
+                        h["WARC-Type"],
+                        h["WARC-Record-ID"],
+                        h["WARC-Refers-To"],
+                        h.get("WARC-Concurrent-To"),
+                        h.get("WARC-Target-URI"),
+                        h["WARC-Payload-Digest"],
+                        h["WARC-Block-Digest"],
+                        len(record.block),
+                        f"{files}/{name}",
+                        offset,
+                        len(member),
                     )
-                    offset += len(member)
-            schema = schema or index_schema()
-            if rows:
-                cols = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema
                 )
+                offset += len(member)
+            if len(rows) >= 1000:
+                yield index()
+        if rows:
+            yield index()
         if out is not None:
             out.close()
 
+    return write
+
+
+def write_derivatives(pages: DataFrame, path: str, date: str = DATE) -> DataFrame:
+    """Writes the derivatives of ``pages`` (page_id, url, html) below ``path``.
+
+    Returns the index, one row a record, written by Spark beside the files. Null urls
+    give records without target, null html an empty text. Repeated rows give equal
+    records, each. An empty table gives no files. Other columns are not read.
+    """
+    spark = pages.sparkSession
+    small_batches(spark)
+
+    def responses(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Response]]:
+        for batch in batches:
+            for page, url, html in zip(*(batch[k] for k in range(3)), strict=True):
+                page = page.as_py()
+                yield page, response_of(page, url.as_py(), html.as_py(), date)
+
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    slim.mapInArrow(write, INDEX).write.parquet(f"{path}/index")
+    slim.mapInArrow(_writer(f"{path}/warc", responses), INDEX).write.parquet(f"{path}/index")
+    return spark.read.parquet(f"{path}/index")
+
+
+def derive_files(spark: SparkSession, source: str, path: str) -> DataFrame:
+    """Writes the derivatives of the WARC files at ``source`` below ``path``; their index.
+
+    Files are plain or gzip, of any member layout; each is read by one task, which holds
+    one record. Ids, target, date and payload digest are those of the response record,
+    and its headers and the HTTP headers are ``source-header`` lines. Other
+    records, and responses that are not HTTP, give none. A payload of another type than
+    text gives a metadata record only. ``page_id`` is null. Repeated records give equal
+    ones, each. An empty file gives none; a broken one fails the job, by its name.
+    """
+
+    def responses(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Response]]:
+        from pyarrow import fs
+
+        for name in (n for batch in batches for n in batch[0].to_pylist()):
+            if name.startswith("file:/"):
+                store, inner = fs.LocalFileSystem(), "/" + name[5:].lstrip("/")
+            else:
+                store, inner = fs.FileSystem.from_uri(quote(name, safe=":/@"))
+            with store.open_input_stream(inner, compression=None, buffer_size=1 << 20) as raw:
+                stream = io.BufferedReader(raw)
+                packed = stream.peek(2)[:2] == b"\x1f\x8b"
+                try:
+                    for record in stored_records(gzip.GzipFile(fileobj=stream) if packed else stream):
+                        if response := response_in(record):
+                            yield None, response
+                except (ValueError, EOFError, OSError, zlib.error) as e:
+                    raise ValueError(f"{name}: {e}") from e
+
+    files = spark.read.format("binaryFile").load(source).select("path")
+    files = files.repartition(max(1, files.count()))
+    files.mapInArrow(_writer(f"{path}/warc", responses), INDEX).write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
 
 
