@@ -72,10 +72,14 @@ def dim_date(spark: SparkSession, warehouse: str) -> KeyedTable:
 
 
 def fact_trips(
-    spark: SparkSession, warehouse: str, buckets: int = 64, parts: int = 1
+    spark: SparkSession,
+    warehouse: str,
+    buckets: int = 64,
+    parts: int = 1,
+    key_filters: bool = False,
 ) -> KeyedTable:
     path = f"{warehouse}/gold/fact_trips"
-    return KeyedTable(spark, path, FACT_TRIPS, ["id"], buckets, parts)
+    return KeyedTable(spark, path, FACT_TRIPS, ["id"], buckets, parts, key_filters)
 
 
 def build_gold(
@@ -84,6 +88,7 @@ def build_gold(
     load_mode: str = "incremental",
     buckets: int = 64,
     parts: int = 1,
+    key_filters: bool = False,
 ) -> bool:
     """Bring the star schema up to date; False when there was nothing to do.
 
@@ -109,7 +114,7 @@ def build_gold(
     silver = spark.read.schema(SILVER).parquet(stage)
     dim_vendor(spark, warehouse).merge(dim_vendor_rows(silver))
     dim_date(spark, warehouse).merge(dim_date_rows(silver))
-    fact_trips(spark, warehouse, buckets, parts).merge(fact_rows(silver))
+    fact_trips(spark, warehouse, buckets, parts, key_filters).merge(fact_rows(silver))
     log_batches(spark, warehouse, done, "gold")
     # After the batches: a run that dies before it reads those versions again.
     append_small(

@@ -26,13 +26,15 @@ def run_pipeline(
     file: str | None = None,
     buckets: int = 64,
     parts: int = 1,
+    key_filters: bool = False,
 ) -> PipelineResult:
     """Ingest what is new, then bring silver and gold up to date.
 
     Later stages look at pending batches rather than at this run's new files,
-    so a run that failed half way is finished by the next one.
+    so a run that failed half way is finished by the next one. ``key_filters`` is for
+    ids without any order: new files get filters that tell which of them a merge needs.
     """
     raw = ingest(spark, source, warehouse, load_mode, chunk_size, file)
-    batches = build_silver(spark, warehouse, load_mode, buckets, parts=parts)
-    built = build_gold(spark, warehouse, load_mode, buckets, parts)
+    batches = build_silver(spark, warehouse, load_mode, buckets, parts=parts, key_filters=key_filters)
+    built = build_gold(spark, warehouse, load_mode, buckets, parts, key_filters)
     return PipelineResult(raw, batches, built)

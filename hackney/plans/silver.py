@@ -13,10 +13,14 @@ from hackney.sources.tables import KeyedTable
 
 
 def silver_table(
-    spark: SparkSession, warehouse: str, buckets: int = 64, parts: int = 1
+    spark: SparkSession,
+    warehouse: str,
+    buckets: int = 64,
+    parts: int = 1,
+    key_filters: bool = False,
 ) -> KeyedTable:
     path = f"{warehouse}/silver/transactions_clean"
-    return KeyedTable(spark, path, SILVER, ["id"], buckets, parts)
+    return KeyedTable(spark, path, SILVER, ["id"], buckets, parts, key_filters)
 
 
 def logged_ranges(spark: SparkSession, warehouse: str, layer: str = "silver") -> DataFrame:
@@ -71,6 +75,7 @@ def build_silver(
     buckets: int = 64,
     strict: bool = False,
     parts: int = 1,
+    key_filters: bool = False,
 ) -> Ranges:
     """Merge all pending batches in one pass; returns their numbers, ascending.
 
@@ -107,7 +112,7 @@ def build_silver(
         twice = repeated_keys(judged.where("is_valid"), ["batch_no", "id"]).first()
         if twice:
             raise ValueError(f"id {twice.id!r} occurs twice in batch {twice.batch_no}")
-    silver_table(spark, warehouse, buckets, parts).merge(latest_valid(judged))
+    silver_table(spark, warehouse, buckets, parts, key_filters).merge(latest_valid(judged))
     log_batches(spark, warehouse, wanted)
     delete_path(spark, path)
     return numbers

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hackney.operators.key_filter import blocks_for, build_filters, may_hold
 from hackney.operators.latest import matched, merge_by_key
 from hackney.sources.storage import (
     append_small,
@@ -31,6 +32,8 @@ FILES = T.StructType(
         # The least and greatest key as texts, each cut at KEY_CHARS; NULL if not known.
         T.StructField("low", T.StringType()),
         T.StructField("high", T.StringType()),
+        # Blocks of the filter of its keys; 0 if it has none, NULL in logs older than filters.
+        T.StructField("blocks", T.IntegerType()),
         T.StructField("committed_at", T.TimestampType()),
     ]
 )
@@ -47,6 +50,10 @@ class KeyedTable:
     Keys that are new leave all stored files alone, and keys past those stored open
     none. A job that dies before that append leaves the table as it was.
 
+    Where keys come in no order, ranges tell nothing. With ``key_filters`` each new file
+    gets a Bloom filter of its keys, three bytes a key, and a merge opens only files
+    whose filter one of its keys passes. Files with and without filters may be mixed.
+
     New rows are written by one task per bucket, or ``parts`` tasks for each. Merges
     leave small files; ``compact`` joins them. One writer at a time.
     """
@@ -59,6 +66,7 @@ class KeyedTable:
         keys: list[str],
         buckets: int = 64,
         parts: int = 1,
+        key_filters: bool = False,
     ):
         self.spark = spark
         self.path = path
@@ -66,6 +74,7 @@ class KeyedTable:
         self.keys = keys
         self.buckets = buckets
         self.parts = parts
+        self.key_filters = key_filters
 
     def _hash(self, modulus: int, seed: int) -> Column:
         return F.pmod(F.xxhash64(F.lit(seed), *self.keys), F.lit(modulus)).cast("int")
@@ -86,6 +95,7 @@ class KeyedTable:
                 F.min("live").alias("live"),
                 F.max("low").alias("low"),
                 F.max("high").alias("high"),
+                F.max("blocks").alias("blocks"),
             )
             .where("live")
             .collect()
@@ -137,6 +147,11 @@ class KeyedTable:
                     if name in gone or name not in known:
                         delete_path(self.spark, path)
                         dropped += 1
+        kept = {row.file.partition("/")[0] for row in log if row.file not in gone}
+        for path in child_directories(self.spark, f"{self.path}/filters"):
+            name = path.rpartition("/")[2]
+            if name not in kept and int(name.rpartition("=")[2]) <= versions[-1]:
+                delete_path(self.spark, path)
         return dropped
 
     def merge(self, incoming: DataFrame, keep: str = "incoming") -> None:
@@ -175,6 +190,7 @@ class KeyedTable:
             for row in self._live()
             if row.bucket in touched and _meet(row, touched[row.bucket])
         }
+        near = self._likely(staged, near)
         new = staged.drop("bucket")
         if not near:
             self._write(new, version, [])
@@ -191,6 +207,19 @@ class KeyedTable:
         hit = [near[_relative(row["_file"])] for row in found]
         self._write(merge_by_key(self._read(hit), new, self.keys), version, hit)
 
+    def _likely(self, staged: DataFrame, near: dict) -> dict:
+        """Those of the files ``near`` whose filters some staged key passes, or that have none."""
+        with_filter = [row for row in near.values() if row.blocks]
+        if not with_filter:
+            return near
+        rows = [(row.file, row.bucket, row.blocks) for row in with_filter]
+        files = control_rows(self.spark, rows, ["file", "bucket", "blocks"])
+        paths = {literal(f"{self.path}/filters/version={row.version}") for row in with_filter}
+        filters = self.spark.read.parquet(*sorted(paths))
+        found = may_hold(staged, files, filters, self.keys, "bucket").collect()
+        passed = {row.file for row in found}
+        return {name: row for name, row in near.items() if not row.blocks or name in passed}
+
     def _write(self, rows: DataFrame, version: int, replaced: list) -> None:
         """New files of ``rows``, then the log entry that also ends ``replaced``."""
         # Each bucket has ``parts`` tasks of its own; those of others have no rows.
@@ -207,11 +236,14 @@ class KeyedTable:
             for path in child_files(self.spark, bucket)
         }
         ranges = self._ranges(names)
+        none = (None, None, 0)
         added = [
-            (version, bucket, self.buckets, name, True, *ranges.get(name, (None, None)))
+            (version, bucket, self.buckets, name, True, *ranges.get(name, none))
             for name, bucket in names.items()
         ]
-        ended = [(version, r.bucket, r.buckets, r.file, False, None, None) for r in replaced]
+        if self.key_filters:
+            self._write_filters(version, {name: found[2] for name, found in ranges.items()})
+        ended = [(version, r.bucket, r.buckets, r.file, False, *none) for r in replaced]
         if not added and not ended:
             return
         entries = control_rows(self.spark, added + ended, FILES.names[:-1]).withColumn(
@@ -222,14 +254,33 @@ class KeyedTable:
             f"{self.path}/files",
         )
 
-    def _ranges(self, names: Iterable[str]) -> dict[str, tuple[str, str]]:
-        """The range of keys in each of some files just written, from their first key column."""
+    def _keys_of(self, names: Iterable[str], keys: list[str]) -> DataFrame:
+        """Key columns of some files just written, with the name of each row's file."""
+        schema = T.StructType([f for f in self.schema.fields if f.name in keys])
+        paths = [literal(f"{self.path}/data/{name}") for name in names]
+        rows = self.spark.read.schema(schema).parquet(*paths)
+        return rows.select(*keys, F.substring_index("_metadata.file_path", "/", -3).alias("file"))
+
+    def _ranges(self, names: Iterable[str]) -> dict[str, tuple[str, str, int]]:
+        """The range of keys in each of some files, from their first key column.
+
+        With ``key_filters`` also the blocks that the filter of the file is to have.
+        """
         if not names:
             return {}
-        keys = T.StructType([f for f in self.schema.fields if f.name == self.keys[0]])
-        rows = self.spark.read.schema(keys).parquet(*[literal(f"{self.path}/data/{n}") for n in names])
-        found = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(*self._range())
-        return {_relative(row.file): (row.low, row.high) for row in found.collect()}
+        rows = self._keys_of(names, self.keys[:1]).groupBy("file")
+        return {
+            row.file: (row.low, row.high, blocks_for(row.rows) if self.key_filters else 0)
+            for row in rows.agg(*self._range(), F.count(F.lit(1)).alias("rows")).collect()
+        }
+
+    def _write_filters(self, version: int, blocks: dict[str, int]) -> None:
+        if not blocks:
+            return
+        sizes = control_rows(self.spark, list(blocks.items()), ["file", "blocks"])
+        rows = self._keys_of(blocks, self.keys).join(sizes, "file")
+        filters = build_filters(rows, self.keys)
+        filters.write.mode("overwrite").parquet(f"{self.path}/filters/version={version}")
 
     def compact(self) -> None:
         """Rewrite the whole table into one file per bucket and part.
