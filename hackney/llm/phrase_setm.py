@@ -4,8 +4,9 @@ The relation of length 1 has every occurrence of a word: its place and its word.
 count upwards through the pieces of a text and skip one at each end of a piece, so
 "same piece, next position" is the place plus one. Each round
 
-1. counts groups: occurrences of a gram in its block, then summed over blocks;
-2. semi-joins the blocks' grams with the frequent ones;
+1. sorts the blocks' grams, which brings together the rows of a gram;
+2. from that one sort both counts the groups, summing a gram's occurrences over
+   blocks, and keeps the rows of those that are frequent;
 3. merge-joins the occurrences left with themselves, place with place plus one, and
    writes the relation that is one word longer.
 
@@ -222,6 +223,18 @@ def _count(relation: DataFrame, *gram: str) -> DataFrame:
     return grams.groupBy("lang", *gram).agg(F.sum("times").alias("f"))
 
 
+def _kept(relation: DataFrame, words: list[str], least: int) -> DataFrame:
+    """The blocks' grams that are frequent, each with f; ``first`` marks one row of a gram.
+
+    Rows of a gram, one a block at most, meet in one sort; it is counted and kept there, so
+    nothing is joined and no gram is shuffled twice. Numbers differ by language.
+    """
+    grams = relation.filter(F.col("at") != _OCCURRENCES).select("block", "at", "lang", *words, "times")
+    same = Window.partitionBy(*words)
+    rows = grams.withColumn("f", F.sum("times").over(same)).withColumn("first", F.col("block") == F.min("block").over(same))
+    return rows.filter(F.col("f") >= least).drop("times")
+
+
 def _longer(spark: SparkSession, relation: DataFrame, keep: DataFrame, size: int) -> DataFrame:
     """The relation of ``size`` words: the grams of ``keep``, merge-joined with themselves."""
     words = _names(size - 1)
@@ -250,15 +263,16 @@ def frequent_phrases(
     words = stage(spark, _count(relation, "word"), "word-counts")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     tables = [_numbered(spark, words.filter(F.col("f") >= least), "frequent-1").withColumnRenamed("id", "w1")]
+    grams = relation.filter(F.col("at") != _OCCURRENCES)
+    keep = grams.join(tables[0].select("lang", "word", "w1"), ["lang", "word"])
     for size in range(2, longest + 1):
-        grams = relation.filter(F.col("at") != _OCCURRENCES)
-        if size == 2:
-            keep = grams.join(tables[0].select("lang", "word", "w1"), ["lang", "word"])
+        relation, own = _longer(spark, relation, keep, size), _names(size)
+        if size < longest:
+            keep = stage(spark, _kept(relation, own, least), f"kept-{size}", "zstd")
+            tables.append(keep.filter("first").select("lang", *own, "f"))
         else:
-            keep = grams.join(tables[-1], _names(size - 1), "left_semi")
-        relation = _longer(spark, relation, keep, size)
-        frequent = _count(relation, *_names(size)).filter(F.col("f") >= least)
-        tables.append(stage(spark, frequent, f"frequent-{size}"))
+            frequent = _count(relation, *own).filter(F.col("f") >= least)
+            tables.append(stage(spark, frequent, f"frequent-{size}"))
     return tables, totals
 
 

@@ -105,3 +105,27 @@ def test_counts_beyond_64_bit_products(spark):
     cut = df.select(phrase_setm._cuts(2).alias("cut")).select("cut.*").first()
     a, left, right = rows[0]
     assert tuple(cut) == (1000000 * a * a // (left * right), 1, left, right)
+
+
+def test_pairs_are_counted_and_kept_from_one_shuffle(spark):
+    """Rows of a gram from many blocks: those of frequent ones stay, one is marked, nothing is joined."""
+    counts = {(0, 1): [4, 6], (0, 2): [9], (1, 2): [1] * 10, (2, 0): [3, 6], (2, 1): [10]}
+    grams = [
+        (block << 33, "en", k, *gram, n, None)
+        for k, (gram, by_block) in enumerate(counts.items())
+        for block, n in enumerate(by_block)
+    ]
+    ends = [(block << 33, "en", -1, None, None, None, b"") for block in range(10)]
+    relation = spark.createDataFrame(grams + ends, phrase_setm._gram_ddl(2)).repartition(3)
+    kept = phrase_setm._kept(relation, ["w1", "w2"], 10)
+    rows = odd_rows.sorted_rows(kept, "w1", "w2", "block", "at", "f")
+    want = [(*r[3:5], r[0], r[2], sum(counts[r[3:5]])) for r in grams if sum(counts[r[3:5]]) >= 10]
+    assert rows == odd_rows.by_plain(want)
+    assert odd_rows.sorted_rows(kept.filter("first"), "lang", "w1", "w2", "f") == [
+        ("en", 0, 1, 10),
+        ("en", 1, 2, 10),
+        ("en", 2, 1, 10),
+    ]
+    plan = phrase_setm._kept(spark.createDataFrame(grams, phrase_setm._gram_ddl(2)), ["w1", "w2"], 10)
+    plan = plan._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
