@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from hackney.operators.numbering import rows_before
 
-from .scratch import small_batches, stage
+from .scratch import dropping_shuffles, small_batches, stage
 from .worker import groups, release
 
 LEAST = 10
@@ -207,14 +207,20 @@ def extend(size: int):
     return longer
 
 
+def _stage(spark: SparkSession, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """A step's table; the shuffles that it took hold more than the table and go with the step."""
+    with dropping_shuffles(spark):
+        return stage(spark, df, name, compression)
+
+
 def _numbered(spark: SparkSession, counted: DataFrame, name: str) -> DataFrame:
     """``counted``, written, each row with a number of its own, without gaps."""
-    rows = stage(spark, counted.withColumn("mark", F.monotonically_increasing_id()), name)
+    rows = _stage(spark, counted.withColumn("mark", F.monotonically_increasing_id()), name)
     rows = rows.withColumn("piece", F.shiftright("mark", 33))
     pieces = rows_before(rows.groupBy("piece").agg(F.count("*").alias("rows")), "piece", "rows")
     number = F.col("rows_before") + F.col("mark") - F.shiftleft("piece", 33)
     rows = rows.join(pieces.drop("rows"), "piece").withColumn("id", number)
-    return stage(spark, rows.drop("piece", "mark", "rows_before"), f"{name}-numbered")
+    return _stage(spark, rows.drop("piece", "mark", "rows_before"), f"{name}-numbered")
 
 
 def _count(relation: DataFrame, *gram: str) -> DataFrame:
@@ -242,7 +248,7 @@ def _longer(spark: SparkSession, relation: DataFrame, keep: DataFrame, size: int
     rows = places.unionByName(keep.select("block", "at", *words), allowMissingColumns=True)
     rows = rows.select("block", "at", "lang", *words, "occurrences")
     rows = rows.repartition("block").sortWithinPartitions("block", "at")
-    return stage(spark, rows.mapInArrow(extend(size), _gram_ddl(size)), f"occurrences-{size}", "zstd")
+    return _stage(spark, rows.mapInArrow(extend(size), _gram_ddl(size)), f"occurrences-{size}", "zstd")
 
 
 def frequent_phrases(
@@ -259,8 +265,8 @@ def frequent_phrases(
     """
     small_batches(spark)
     texts = documents.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text").filter("text is not null")
-    relation = stage(spark, texts.mapInArrow(word_blocks(block_words), _WORDS_DDL), "words", "zstd")
-    words = stage(spark, _count(relation, "word"), "word-counts")
+    relation = _stage(spark, texts.mapInArrow(word_blocks(block_words), _WORDS_DDL), "words", "zstd")
+    words = _stage(spark, _count(relation, "word"), "word-counts")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     tables = [_numbered(spark, words.filter(F.col("f") >= least), "frequent-1").withColumnRenamed("id", "w1")]
     grams = relation.filter(F.col("at") != _OCCURRENCES)
@@ -268,11 +274,11 @@ def frequent_phrases(
     for size in range(2, longest + 1):
         relation, own = _longer(spark, relation, keep, size), _names(size)
         if size < longest:
-            keep = stage(spark, _kept(relation, own, least), f"kept-{size}", "zstd")
+            keep = _stage(spark, _kept(relation, own, least), f"kept-{size}", "zstd")
             tables.append(keep.filter("first").select("lang", *own, "f"))
         else:
             frequent = _count(relation, *own).filter(F.col("f") >= least)
-            tables.append(stage(spark, frequent, f"frequent-{size}"))
+            tables.append(_stage(spark, frequent, f"frequent-{size}"))
     return tables, totals
 
 
@@ -341,7 +347,7 @@ def mine(
         # How often the most frequent gram that is one word longer occurs around each; a gram
         # longer still occurs no more often, and holds one of these.
         ends = tables[size - 1].select(*words[:-1], "f").union(tables[size - 1].select(*words[1:], "f"))
-        around = stage(spark, ends.groupBy(*words[:-1]).agg(F.max("f").alias("most")), "around")
+        around = _stage(spark, ends.groupBy(*words[:-1]).agg(F.max("f").alias("most")), "around")
     found = reduce(DataFrame.unionByName, out).drop("most")
     return found.join(totals, "lang").select("lang", "size", "phrase", "a", "l", "r", "n", "score", "dropped")
 
@@ -355,6 +361,6 @@ def op12(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    rows = stage(spark, mine(spark, documents).filter("not dropped"), "candidates")
+    rows = _stage(spark, mine(spark, documents).filter("not dropped"), "candidates")
     rows = rows.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= TOP)
     return rows.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -1,5 +1,7 @@
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import odd_rows
 import pytest
@@ -129,3 +131,20 @@ def test_pairs_are_counted_and_kept_from_one_shuffle(spark):
     plan = phrase_setm._kept(spark.createDataFrame(grams, phrase_setm._gram_ddl(2)), ["w1", "w2"], 10)
     plan = plan._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    def shuffles():
+        env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+        tops = [d.getPath() for d in env.blockManager().diskBlockManager().localDirs()]
+        return {f for top in tops for f in Path(top).rglob("shuffle_*") if f.suffix in (".data", ".index")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = spark.conf.get(setting), shuffles()
+    rows = phrase_setm._stage(spark, spark.range(1000).repartition(4, "id"), "numbers")
+    until = time.time() + 20
+    while (left := shuffles() - was) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(setting) == before
+    assert rows.count() == 1000
