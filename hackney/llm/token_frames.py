@@ -214,11 +214,12 @@ def write_tokens(
         name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex}.zst"
         writer = None
         for batch in batches:
-            for doc_id, text in zip(batch[0].to_pylist(), batch[1], strict=True):
+            texts = (text.as_py() for text in batch[1])
+            for doc_id, ids in zip(batch[0].to_pylist(), words.encode_all(texts), strict=True):
                 if writer is None:
                     out = store.open_output_stream(posixpath.join(inner, name), compression=None)
                     writer = ShardWriter(out, frame_ids)
-                writer.add(doc_id, _with_end(words.encode(text.as_py()), end))
+                writer.add(doc_id, _with_end(ids, end))
         if writer is not None:
             writer.close()
             out.close()
@@ -240,7 +241,7 @@ def write_tokens(
     return read_manifest(spark, path)
 
 
-def _with_end(ids: Iterator[np.ndarray], end: np.ndarray) -> Iterator[np.ndarray]:
+def _with_end(ids: Iterable[np.ndarray], end: np.ndarray) -> Iterator[np.ndarray]:
     yield from ids
     yield end
 

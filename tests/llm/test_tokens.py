@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from hackney.llm import bin_completion as pack
 from hackney.llm import token_frames as frames
+from hackney.llm import word_tokens
 from hackney.llm.scratch import shared_dir
 from hackney.llm.word_tokens import WordTokenizer, default_path, pieces
 
@@ -44,6 +45,45 @@ def test_special_tokens_in_texts(tokenizer, by_words):
         assert got == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_of_many_texts_are_learnt_in_one_call(tokenizer, monkeypatch):
+    words, calls, learn = WordTokenizer(default_path()), [], WordTokenizer._learn
+    monkeypatch.setattr(WordTokenizer, "_learn", lambda self, new: calls.append(list(new)) or learn(self, new))
+    texts = [None, "", *(f"Word{k % 7} common, text {k}." for k in range(200)), "common word3"]
+    got = [[int(x) for part in parts for x in part] for parts in words.encode_all(texts)]
+    assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(calls) == 1 and len(calls[0]) == len(set(calls[0]))
+    assert got == [[int(x) for part in parts for x in part] for parts in words.encode_all(texts)]
+    assert len(calls) == 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="abS'.,!|<>é 1\n\t\0İ‍ΣK\x1c\x85 -", max_size=60), max_size=8))
+def test_texts_together_give_the_tokenizers_ids(tokenizer, texts):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(word_tokens, "_SLOT_BITS", 2)  # words share slots
+        m.setattr(word_tokens, "PIECE_BYTES", 90)  # several groups
+        words = WordTokenizer(default_path(), cached_words=15)
+        for _ in range(2):
+            got = [[int(x) for part in parts for x in part] for parts in words.encode_all(texts)]
+            assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_alike_at_the_start_have_their_own_ids(tokenizer, by_words):
+    base = "abcdefghijklmnopqrstuvwxyz"
+    text = " ".join([*(base[:n] for n in range(1, 27)), *(base[:n] + "\0" for n in range(1, 20))])
+    for _ in range(2):
+        for t in (text, text.replace("\0", "")):
+            got = [int(x) for parts in by_words.encode_all([t, t]) for part in parts for x in part]
+            assert got == 2 * tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_a_long_text_between_short_ones(tokenizer, by_words):
+    texts = ["Ab c.", "long texts, in pieces " * 60_000, "", "d E"]
+    for text, parts in zip(texts, by_words.encode_all(texts), strict=True):
+        got = np.concatenate([np.empty(0, np.uint32), *parts])
+        assert got.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_pieces_join_to_the_text_and_cut_before_space():
     text = b"aa bb\ncc " * 100 + b"x" * 50
     parts = list(pieces(text, 16))
